@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from salescope.operators import rank
 from salescope.plans import dashboard
 from salescope.plans.params import DashboardParams
-from salescope.sources.testdata import star_from_testdata
+from salescope.plans.sql_twins import CLEAN_STEP_KEYS, FEEDBACK_CTES, STAR_CTES, clean_step_sql
+from salescope.operators import clean, feedback
+from salescope.sources.testdata import raw_feed_from_testdata, star_from_testdata
 
 # Parameters used by the registered queries on the test tables
 # (the country and the product with most lines, a year with many invoices).
@@ -37,14 +39,7 @@ def register(key: str, sql: str | None = None):
 
 # --------------------------------------------------------------------------- star adapter
 
-STAR_SQL = """
-WITH countries AS (SELECT DISTINCT n_name AS country FROM nation),
-products AS (SELECT CAST(p_partkey AS VARCHAR) AS product_code, p_name AS product_name FROM part),
-invoices AS (
-  SELECT o_orderkey AS invoice_no, CAST(o_orderdate AS DATE) AS invoice_date, n_name AS country
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-lines AS (SELECT DISTINCT l_orderkey AS invoice_no, CAST(l_partkey AS VARCHAR) AS product_code FROM lineitem)
-"""
+STAR_SQL = "WITH " + STAR_CTES
 
 
 def _star(spark, sf_dir):
@@ -118,3 +113,45 @@ register("product_top5_countries", _PRODUCT_DRILL_SQL.format(p=P_PRODUCT, year="
 register("product_top5_countries_year", _PRODUCT_DRILL_SQL.format(
     p=P_PRODUCT, year=f"AND EXTRACT(YEAR FROM invoices.invoice_date) = {P_YEAR}"))(
     lambda spark, sf: rank.product_top_countries(_star(spark, sf), P_PRODUCT, P_YEAR))
+
+
+# --------------------------------------------------------------------------- cleaning C1-C14
+
+
+def _raw(spark, sf_dir):
+    return raw_feed_from_testdata(spark, sf_dir)
+
+
+def _visible(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in ("row_pos", "dup_count") if c in df.columns])
+
+
+for _step in CLEAN_STEP_KEYS:
+    register(_step, clean_step_sql(_step))(
+        lambda spark, sf, _step=_step: _visible(clean.run_steps(_raw(spark, sf), upto=_step)))
+
+register("clean_full", clean_step_sql("clean_drop_mailout"))(
+    lambda spark, sf: _visible(clean.clean(_raw(spark, sf))))
+
+
+# --------------------------------------------------------------------------- feedback F1-F4
+
+_FEEDBACK_SQL = "WITH " + FEEDBACK_CTES
+
+register("feedback_counts", _FEEDBACK_SQL + "SELECT * FROM feedback")(
+    lambda spark, sf: feedback.feedback_counts(_raw(spark, sf)))
+register("feedback_removed", _FEEDBACK_SQL + "SELECT file_name, n_original, n_total, n_removed FROM feedback_pct")(
+    lambda spark, sf: feedback.with_removed(feedback.feedback_counts(_raw(spark, sf))).select(
+        "file_name", "n_original", "n_total", "n_removed"))
+register("feedback_percent", _FEEDBACK_SQL + "SELECT file_name, n_removed, pct_removed FROM feedback_pct")(
+    lambda spark, sf: feedback.with_percent(feedback.feedback_counts(_raw(spark, sf))).select(
+        "file_name", "n_removed", "pct_removed"))
+
+_MATRIX_FILES = [f"feed_{i}.csv" for i in range(5)]
+_MATRIX_SQL = _FEEDBACK_SQL + ", long AS (" + " UNION ALL ".join(
+    f"SELECT file_name, {i} AS step_order, '{label}' AS step, CAST({col} AS DOUBLE) AS value FROM feedback_pct"
+    for i, (label, col) in enumerate(feedback.MATRIX_ROWS, 1)) + ")\nSELECT step_order, step, " + ", ".join(
+    f"max(CASE WHEN file_name = '{f}' THEN value END) AS \"{f}\"" for f in _MATRIX_FILES) + \
+    " FROM long GROUP BY step_order, step"
+register("feedback_matrix", _MATRIX_SQL)(
+    lambda spark, sf: feedback.feedback_matrix(feedback.feedback_counts(_raw(spark, sf))))
