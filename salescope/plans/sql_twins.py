@@ -114,3 +114,47 @@ feedback_pct AS (
          round_even(CAST(n_original - n_total AS DOUBLE) / CAST(n_original AS DOUBLE) * 100.0, 2) AS pct_removed
   FROM feedback)
 """
+
+FEED_STAR_CTES = CLEAN_CTES + r""",
+feed_countries AS (SELECT DISTINCT country FROM clean_drop_mailout),
+feed_invoices AS (
+  SELECT CAST(invoice_no AS BIGINT) AS invoice_no, CAST(invoice_date AS DATE) AS invoice_date, country FROM (
+    SELECT *, row_number() OVER (PARTITION BY invoice_no ORDER BY file_name, k1, k2, k3, k4) AS rn
+    FROM clean_drop_mailout WHERE invoice_no = floor(invoice_no)) WHERE rn = 1),
+feed_invoices_per_file AS (
+  SELECT file_name, CAST(invoice_no AS BIGINT) AS invoice_no FROM clean_drop_mailout
+  WHERE invoice_no = floor(invoice_no) GROUP BY file_name, invoice_no),
+feed_first_names AS (
+  SELECT product_code, product_name AS raw_name FROM (
+    SELECT product_code, product_name,
+           row_number() OVER (PARTITION BY product_code ORDER BY file_name DESC, k1, k2, k3, k4) AS rn
+    FROM clean_drop_mailout) WHERE rn = 1),
+feed_names AS (
+  SELECT product_code, raw_name,
+         regexp_replace(raw_name, '\s+$', '') AS name_rtrim,
+         replace(regexp_replace(raw_name, '\s+$', ''), '"', '') AS name_quotes,
+         replace(replace(regexp_replace(raw_name, '\s+$', ''), '"', ''), '/', '') AS name_all
+  FROM feed_first_names),
+feed_products AS (SELECT product_code, name_all AS product_name FROM feed_names),
+feed_lines AS (
+  SELECT DISTINCT CAST(invoice_no AS BIGINT) AS invoice_no, product_code FROM clean_drop_mailout
+  WHERE invoice_no = floor(invoice_no)),
+feed_lines_per_file AS (
+  SELECT DISTINCT file_name, CAST(invoice_no AS BIGINT) AS invoice_no, product_code FROM clean_drop_mailout
+  WHERE invoice_no = floor(invoice_no)),
+""" + STAR_CTES + """,
+loaded_products AS (
+  SELECT product_code, product_name FROM products
+  WHERE product_code NOT IN (SELECT product_code FROM feed_products)
+  UNION ALL SELECT product_code, product_name FROM feed_products),
+loaded_invoices AS (
+  SELECT * FROM invoices UNION ALL
+  SELECT * FROM feed_invoices WHERE invoice_no NOT IN (SELECT invoice_no FROM invoices)
+    AND invoice_no BETWEEN -2147483648 AND 2147483647),
+loaded_lines AS (
+  SELECT invoice_no, product_code FROM lines UNION ALL
+  SELECT f.invoice_no, f.product_code FROM feed_lines f
+  WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.invoice_no = f.invoice_no AND l.product_code = f.product_code)
+    AND f.invoice_no IN (SELECT invoice_no FROM loaded_invoices)
+    AND f.product_code IN (SELECT product_code FROM loaded_products))
+"""
