@@ -240,3 +240,158 @@ UNION ALL SELECT 'products', count(*) FROM feed_products
 UNION ALL SELECT 'invoices', count(*) FROM feed_invoices
 UNION ALL SELECT 'invoice_lines', count(*) FROM feed_lines""")(
     lambda spark, sf: _etl.table_counts(_etl.run_etl(_raw(spark, sf)).star))
+
+
+# --------------------------------------------------------------------------- integrity checks Q1-Q5
+
+from salescope.operators import lookup as _lookup, quality as _quality  # noqa: E402
+
+register("check_primary_keys", "WITH " + STAR_CTES + """
+SELECT 'countries' AS table_name, 'country' AS key_columns, sum(n) AS n_rows,
+       coalesce(sum(CASE WHEN country IS NULL THEN n END), 0) AS n_null_keys,
+       count(*) FILTER (WHERE country IS NOT NULL AND n > 1) AS n_duplicate_keys
+FROM (SELECT country, count(*) AS n FROM countries GROUP BY country)
+UNION ALL
+SELECT 'products', 'product_code', sum(n), coalesce(sum(CASE WHEN product_code IS NULL THEN n END), 0),
+       count(*) FILTER (WHERE product_code IS NOT NULL AND n > 1)
+FROM (SELECT product_code, count(*) AS n FROM products GROUP BY product_code)
+UNION ALL
+SELECT 'invoices', 'invoice_no', sum(n), coalesce(sum(CASE WHEN invoice_no IS NULL THEN n END), 0),
+       count(*) FILTER (WHERE invoice_no IS NOT NULL AND n > 1)
+FROM (SELECT invoice_no, count(*) AS n FROM invoices GROUP BY invoice_no)""")(
+    lambda spark, sf: _quality.check_primary_keys(_star(spark, sf)))
+
+register("check_unique_lines", "WITH " + STAR_CTES + """
+SELECT 'invoice_lines' AS table_name, 'invoice_no,product_code' AS key_columns, sum(n) AS n_rows,
+       coalesce(sum(CASE WHEN invoice_no IS NULL OR product_code IS NULL THEN n END), 0) AS n_null_keys,
+       count(*) FILTER (WHERE invoice_no IS NOT NULL AND product_code IS NOT NULL AND n > 1) AS n_duplicate_keys
+FROM (SELECT invoice_no, product_code, count(*) AS n FROM lines GROUP BY invoice_no, product_code)""")(
+    lambda spark, sf: _quality.check_unique_lines(_star(spark, sf)))
+
+register("check_foreign_keys", "WITH " + STAR_CTES + """
+SELECT 'invoices.country -> countries' AS relation, count(*) AS n_orphans
+FROM invoices i WHERE NOT EXISTS (SELECT 1 FROM countries c WHERE c.country = i.country)
+UNION ALL SELECT 'invoice_lines.invoice_no -> invoices', count(*)
+FROM lines l WHERE NOT EXISTS (SELECT 1 FROM invoices i WHERE i.invoice_no = l.invoice_no)
+UNION ALL SELECT 'invoice_lines.product_code -> products', count(*)
+FROM lines l WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.product_code = l.product_code)""")(
+    lambda spark, sf: _quality.check_foreign_keys(_star(spark, sf)))
+
+_NN = [("countries", "countries", "country"), ("products", "products", "product_code"),
+       ("products", "products", "product_name"), ("invoices", "invoices", "invoice_no"),
+       ("invoices", "invoices", "invoice_date"), ("invoices", "invoices", "country"),
+       ("invoice_lines", "lines", "invoice_no"), ("invoice_lines", "lines", "product_code")]
+register("check_not_null", "WITH " + STAR_CTES + "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_nulls FROM {v}\n"
+    for t, v, c in _NN))(
+    lambda spark, sf: _quality.check_not_null(_star(spark, sf)))
+
+register("check_lengths", "WITH " + STAR_CTES + """
+SELECT 'countries' AS table_name, 'country' AS column_name, CAST(30 AS BIGINT) AS max_allowed,
+       count(*) FILTER (WHERE length(country) > 30) AS n_violations FROM countries
+UNION ALL SELECT 'products', 'product_code', 20, count(*) FILTER (WHERE length(product_code) > 20) FROM products
+UNION ALL SELECT 'products', 'product_name', 50, count(*) FILTER (WHERE length(product_name) > 50) FROM products
+UNION ALL SELECT 'invoices', 'country', 30, count(*) FILTER (WHERE length(country) > 30) FROM invoices
+UNION ALL SELECT 'invoices', 'invoice_no', 2147483647,
+       count(*) FILTER (WHERE NOT (invoice_no BETWEEN -2147483648 AND 2147483647)) FROM invoices""")(
+    lambda spark, sf: _quality.check_lengths(_star(spark, sf)))
+
+
+# --------------------------------------------------------------------------- scans S1-S7
+
+from salescope.sources.testdata import raw_feed_via_csv  # noqa: E402
+from salescope.plans.sql_twins import RAW_CTE  # noqa: E402
+
+_RAW_COLS = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID",
+             "Country"]
+
+register("scan_raw", "WITH " + RAW_CTE + "SELECT * EXCLUDE (k1, k2, k3, k4) FROM raw")(
+    lambda spark, sf: raw_feed_via_csv(spark, sf).drop("row_pos"))
+
+
+def _null_report(spark, sf):
+    df = raw_feed_via_csv(spark, sf)
+    agg = df.groupBy("file_name").agg(*[_F.count_if(_F.col(c).isNull()).alias(c) for c in _RAW_COLS])
+    stack = ", ".join(f"'{c}', `{c}`" for c in _RAW_COLS)
+    return agg.selectExpr("file_name", f"stack({len(_RAW_COLS)}, {stack}) AS (column_name, n_nulls)")
+
+
+register("scan_null_tokens", "WITH " + RAW_CTE + "\nUNION ALL ".join(
+    f"SELECT file_name, '{c}' AS column_name, count(*) FILTER (WHERE \"{c}\" IS NULL) AS n_nulls "
+    f"FROM raw GROUP BY file_name\n" for c in _RAW_COLS))(_null_report)
+
+
+def _multi_file(spark, sf):
+    df = raw_feed_via_csv(spark, sf)
+    return df.groupBy("file_name").agg(
+        _F.count(_F.lit(1)).alias("n_rows"),
+        _F.min_by("InvoiceNo", "row_pos").alias("first_invoice"),
+        _F.min_by("StockCode", "row_pos").alias("first_code"),
+        _F.max_by("InvoiceNo", "row_pos").alias("last_invoice"),
+        _F.max_by("StockCode", "row_pos").alias("last_code"))
+
+
+register("scan_multi_file", "WITH " + RAW_CTE + """,
+ordered AS (SELECT file_name, "InvoiceNo", "StockCode",
+  row_number() OVER (PARTITION BY file_name ORDER BY k1, k2, k3, k4) AS rf,
+  row_number() OVER (PARTITION BY file_name ORDER BY k1 DESC, k2 DESC, k3 DESC, k4 DESC) AS rl FROM raw)
+SELECT file_name, count(*) AS n_rows,
+       max(CASE WHEN rf = 1 THEN "InvoiceNo" END) AS first_invoice,
+       max(CASE WHEN rf = 1 THEN "StockCode" END) AS first_code,
+       max(CASE WHEN rl = 1 THEN "InvoiceNo" END) AS last_invoice,
+       max(CASE WHEN rl = 1 THEN "StockCode" END) AS last_code
+FROM ordered GROUP BY file_name""")(_multi_file)
+
+register("scan_star", "WITH " + STAR_CTES + """
+SELECT 'countries' AS table_name, count(*) AS n_rows FROM countries
+UNION ALL SELECT 'products', count(*) FROM products
+UNION ALL SELECT 'invoices', count(*) FROM invoices
+UNION ALL SELECT 'invoice_lines', count(*) FROM lines""")(
+    lambda spark, sf: _etl.table_counts(_star(spark, sf)))
+
+register("list_countries", "WITH " + STAR_CTES + "SELECT country FROM countries")(
+    lambda spark, sf: _lookup.list_countries(_star(spark, sf)))
+register("list_products", "WITH " + STAR_CTES + "SELECT product_code FROM products")(
+    lambda spark, sf: _lookup.list_products(_star(spark, sf)))
+
+
+# --------------------------------------------------------------------------- lookups and dashboards P1-P6
+
+P_NAME = "large gizmo"
+
+register("lookup_name_by_code", "WITH " + STAR_CTES +
+         f"SELECT product_code, product_name FROM products WHERE product_code = '{P_PRODUCT}'")(
+    lambda spark, sf: _lookup.name_by_code(_star(spark, sf), P_PRODUCT))
+register("lookup_code_by_name", "WITH " + STAR_CTES + f"""
+SELECT product_code, product_name, count(*) OVER () AS n_matches FROM products
+WHERE product_name = '{P_NAME}'""")(
+    lambda spark, sf: _lookup.code_by_name(_star(spark, sf), P_NAME))
+register("ranked_product_options", _PRODUCT_RANK_SQL.replace(
+    "SELECT products.product_code, product_name, COUNT(*) AS sales",
+    "SELECT products.product_code, product_name").replace("ORDER BY sales", "ORDER BY COUNT(*)").format(
+    dir="DESC", limit="LIMIT 10"))(
+    lambda spark, sf: _lookup.ranked_product_options(_star(spark, sf)))
+
+_DASH_C = "WITH " + STAR_CTES + f"""
+(SELECT 'ranking' AS panel, country AS label, COUNT(*) AS sales
+ FROM invoices JOIN lines ON invoices.invoice_no = lines.invoice_no
+ GROUP BY country ORDER BY sales DESC, country LIMIT 10)
+UNION ALL
+(SELECT 'drilldown', product_name, COUNT(*) AS sales
+ FROM products JOIN lines ON products.product_code = lines.product_code
+ JOIN invoices ON lines.invoice_no = invoices.invoice_no
+ WHERE country = '{P_COUNTRY}' GROUP BY product_name ORDER BY sales DESC, product_name LIMIT 5)"""
+register("dashboard_country", _DASH_C)(
+    lambda spark, sf: dashboard.dashboard_country(_star(spark, sf), DashboardParams(country=P_COUNTRY)))
+
+_DASH_P = "WITH " + STAR_CTES + f"""
+(SELECT 'ranking' AS panel, products.product_code AS label, COUNT(*) AS sales
+ FROM products JOIN lines ON products.product_code = lines.product_code
+ GROUP BY products.product_code ORDER BY sales DESC, label LIMIT 10)
+UNION ALL
+(SELECT 'drilldown', country, COUNT(*) AS sales
+ FROM invoices JOIN lines ON invoices.invoice_no = lines.invoice_no
+ JOIN products ON lines.product_code = products.product_code
+ WHERE products.product_code = '{P_PRODUCT}' GROUP BY country ORDER BY sales DESC, country LIMIT 5)"""
+register("dashboard_product", _DASH_P)(
+    lambda spark, sf: dashboard.dashboard_product(_star(spark, sf), DashboardParams(product_code=P_PRODUCT)))

@@ -32,8 +32,9 @@ from salescope.functions.coercion import NA_TOKENS, null_tokens_to_null
 SOURCE_ENCODING = "ISO-8859-1"
 
 
-def _reader(spark: SparkSession, encoding: str, multi_line: bool):
+def _reader(spark: SparkSession, encoding: str, multi_line: bool, recursive: bool = False):
     return (spark.read
+            .option("recursiveFileLookup", recursive)
             .option("header", True)
             .option("encoding", encoding)
             .option("multiLine", multi_line)
@@ -47,14 +48,14 @@ def parse_header(line: str) -> list[str]:
     return next(csv.reader(io.StringIO(line)))
 
 
-def header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False) -> dict[str, list[str]]:
     """{header line: [file paths]} from the first non-blank line of each file.
 
     Distributed: one text scan of the first split of every file, one row per
     file aggregated, and only the distinct header lines with their paths
     (one entry per file, like the file listing) come back to the driver.
     """
-    lines = (spark.read.text(paths)
+    lines = (spark.read.option("recursiveFileLookup", recursive).text(paths)
              .select(F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_block_start").alias("start"),
                      F.monotonically_increasing_id().alias("pos"),
@@ -65,9 +66,9 @@ def header_groups(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]
     return {r["header"]: list(r["paths"]) for r in grouped.collect()}
 
 
-def _read_group(spark, paths, columns, encoding, multi_line, file_key) -> DataFrame:
+def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive=False) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    df = _reader(spark, encoding, multi_line).schema(schema).csv(paths)
+    df = _reader(spark, encoding, multi_line, recursive).schema(schema).csv(paths)
     file_col = F.col("_metadata.file_name") if file_key == "name" else F.col("_metadata.file_path")
     return df.select(
         file_col.alias("file_name"),
@@ -79,7 +80,7 @@ def _read_group(spark, paths, columns, encoding, multi_line, file_key) -> DataFr
 
 def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: str = SOURCE_ENCODING,
                      multi_line: bool = True, uniform_header: bool = False,
-                     null_tokens=NA_TOKENS, file_key: str = "name") -> DataFrame:
+                     null_tokens=NA_TOKENS, file_key: str = "name", recursive: bool = False) -> DataFrame:
     """Raw invoice rows: file_name, row_pos, then one text column per header name.
 
     ``multi_line=True`` (needed for newlines inside quoted fields) makes each
@@ -88,11 +89,11 @@ def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: s
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if uniform_header:
-        probe = _reader(spark, encoding, multi_line).csv(paths[0])
+        probe = _reader(spark, encoding, multi_line, recursive).csv(paths[0])
         groups = {None: (probe.columns, paths)}
     else:
-        groups = {h: (parse_header(h), ps) for h, ps in header_groups(spark, paths).items()}
-    parts = [_read_group(spark, ps, cols, encoding, multi_line, file_key) for cols, ps in groups.values()]
+        groups = {h: (parse_header(h), ps) for h, ps in header_groups(spark, paths, recursive).items()}
+    parts = [_read_group(spark, ps, cols, encoding, multi_line, file_key, recursive) for cols, ps in groups.values()]
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)

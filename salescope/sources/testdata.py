@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salescope.session import scratch_path
+from salescope.sources.csv_files import read_invoice_csv, write_invoice_csv
 from salescope.star_schema import Star
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -154,3 +156,24 @@ def raw_feed_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").cast("string").alias("CustomerID"),
         country.alias("Country"),
     )
+
+
+def raw_feed_via_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw feed written as ISO-8859-1 CSV files into the shared checkpoint
+    folder, then read back with the CSV source (S1-S4 on real files).
+
+    The writer lays each feed file out as ``file_name=<name>/part-*.csv`` with
+    part files in row order; the feed file name and row position are rebuilt
+    from the path: (part file, split start, row id).
+    """
+    import uuid
+
+    path = scratch_path(spark, "feed_csv", uuid.uuid4().hex)
+    write_invoice_csv(raw_feed_from_testdata(spark, sf_dir), path)
+    df = read_invoice_csv(spark, [path], file_key="path", recursive=True)
+    return df.select(
+        F.regexp_extract("file_name", r"file_name=([^/]+)/", 1).alias("file_name"),
+        F.struct(F.col("file_name").alias("part"), F.col("row_pos.block_start").alias("block_start"),
+                 F.col("row_pos.row_id").alias("row_id")).alias("row_pos"),
+        *[c for c in df.columns if c not in ("file_name", "row_pos")],
+    )
