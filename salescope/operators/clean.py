@@ -95,9 +95,12 @@ def drop_bad_dates(df: DataFrame) -> DataFrame:
 
 
 def _null_out(df: DataFrame, cond: Column) -> DataFrame:
-    hit = F.coalesce(cond, F.lit(False))
-    return df.select(*[F.when(~hit, F.col(c)).alias(c) if c not in BOOKKEEPING else F.col(c)
-                       for c in df.columns])
+    # The condition is computed once as a column; the optimizer keeps the two
+    # projections apart rather than copying a non-trivial expression into
+    # every output column.
+    marked = df.withColumn("_hit", F.coalesce(cond, F.lit(False)))
+    return marked.select(*[F.when(~F.col("_hit"), F.col(c)).alias(c) if c not in BOOKKEEPING else F.col(c)
+                           for c in df.columns])
 
 
 def null_code_len_mid(df: DataFrame) -> DataFrame:
@@ -172,34 +175,112 @@ def stage_flags(deduped: DataFrame) -> DataFrame:
     ``k_credits`` is true when the row survives C5, ``k_dates`` C7,
     ``k_codes`` C10, ``k_quantity`` C11 and ``k_country`` C13. Coerced
     ``invoice_no`` (DOUBLE) and ``invoice_date`` (TIMESTAMP_NTZ) replace the text.
+
+    The coercions are evaluated once per row in a first projection; the flags
+    are cheap boolean combinations of the resulting columns.
     """
-    inv = to_number(F.col("invoice_no"))
-    ts = parse_invoice_timestamp(F.col("invoice_date"))
     others = [c for c in data_columns(deduped) if c not in ("invoice_no", "invoice_date")]
     f = lambda e: F.coalesce(e, F.lit(False))
-    k_credits = inv.isNotNull()
-    k_dates = k_credits & ts.isNotNull()
-    k_codes = k_dates & f(~code_length_rejected(F.col("product_code"))) & _all_present(others)
-    k_quantity = k_codes & f(to_number(F.col("quantity")) > 0)
-    k_country = (k_quantity & f(F.col("country") != F.lit(UNSPECIFIED_COUNTRY))
-                 & f(F.col("product_name") != F.lit(MAILOUT_NAME)))
-    return deduped.withColumns({
-        "invoice_no": inv,
-        "invoice_date": ts,
-        "k_credits": k_credits,
-        "k_dates": k_dates,
-        "k_codes": k_codes,
-        "k_quantity": k_quantity,
-        "k_country": k_country,
+    base = deduped.withColumns({
+        "_raw_date": F.col("invoice_date"),
+        "invoice_no": to_number(F.col("invoice_no")),
+        "invoice_date": parse_invoice_timestamp(F.col("invoice_date")),
+        "_code_ok": f(~code_length_rejected(F.col("product_code"))) & _all_present(others),
+        "_qty_ok": f(to_number(F.col("quantity")) > 0),
+        "_place_ok": (f(F.col("country") != F.lit(UNSPECIFIED_COUNTRY))
+                      & f(F.col("product_name") != F.lit(MAILOUT_NAME))),
     })
+    inv_ok = F.col("invoice_no").isNotNull()
+    date_ok = inv_ok & F.col("invoice_date").isNotNull()
+    codes_ok = date_ok & F.col("_code_ok")
+    qty_ok = codes_ok & F.col("_qty_ok")
+    return base.withColumns({
+        "k_credits": inv_ok,
+        "k_dates": date_ok,
+        "k_codes": codes_ok,
+        "k_quantity": qty_ok,
+        "k_country": qty_ok & F.col("_place_ok"),
+    }).drop("_code_ok", "_qty_ok", "_place_ok")
+
 
 
 def flagged(raw: DataFrame) -> DataFrame:
-    """C1-C3 then the survival flags: one row per de-duplicated raw row."""
-    return stage_flags(dedupe_first(upper_code(project(raw))))
+    """C1-C3 then the survival flags: one row per de-duplicated raw row.
+
+    Coercions are per-row and deterministic, so they are evaluated map-side
+    before the de-duplication shuffle, on every raw row, and the survivor
+    keeps the values of its own (first) row -- the same result as coercing
+    after de-duplication. The parsed timestamp (8 bytes) travels through the
+    shuffle instead of the date text, quantity travels as a number plus a
+    presence bit, and after the aggregate the flags are cheap boolean
+    combinations of plain columns (nothing expensive for filter pushdown to
+    copy).
+    """
+    df = upper_code(project(raw))
+    extras = [c for c in data_columns(df) if c not in RENAMES.values()]
+    pre = df.withColumns({
+        "_inv_num": to_number(F.col("invoice_no")),
+        "invoice_date": parse_invoice_timestamp(F.col("invoice_date")),
+        "_qty_num": to_number(F.col("quantity")),
+        "quantity": F.col("quantity").isNotNull(),
+    })
+    d = dedupe_first(pre)
+    f = lambda e: F.coalesce(e, F.lit(False))
+    present = _all_present(["product_code", "product_name", "country", *extras]) & F.col("quantity")
+    k_credits = F.col("_inv_num").isNotNull()
+    k_dates = k_credits & F.col("invoice_date").isNotNull()
+    k_codes = k_dates & f(~code_length_rejected(F.col("product_code"))) & present
+    k_quantity = k_codes & f(F.col("_qty_num") > 0)
+    k_country = (k_quantity & f(F.col("country") != F.lit(UNSPECIFIED_COUNTRY))
+                 & f(F.col("product_name") != F.lit(MAILOUT_NAME)))
+    return d.select(
+        "file_name", "row_pos", F.col("_inv_num").alias("invoice_no"), "product_code", "product_name",
+        F.col("_qty_num").alias("quantity"), "invoice_date", "country", *extras, "dup_count",
+        k_credits.alias("k_credits"), k_dates.alias("k_dates"), k_codes.alias("k_codes"),
+        k_quantity.alias("k_quantity"), k_country.alias("k_country"))
 
 
 def clean(raw: DataFrame) -> DataFrame:
     """C14: clean rows (file_name, row_pos, invoice_no, product_code, product_name,
     invoice_date, country, extra columns)."""
     return flagged(raw).filter("k_country").drop(*FLAGS, "quantity", "dup_count")
+
+
+def upto_step(raw: DataFrame, step: str) -> DataFrame:
+    """The rows as they are after ``step``, computed from the one-pass flags.
+
+    Same result as ``run_steps(raw, step)`` (the tests check this), but the
+    coercions are evaluated once and every later step is a filter on a boolean
+    column, instead of a chain of projections that the optimizer would inline
+    into one large filter expression.
+    """
+    names = [n for n, _ in STEPS]
+    if step not in names:
+        raise ValueError(f"unknown step {step!r}")
+    i = names.index(step)
+    if i <= names.index("clean_dedupe_first"):
+        return run_steps(raw, step)
+    deduped = dedupe_first(upper_code(project(raw)))
+    flags = stage_flags(deduped)
+    hidden = [*FLAGS]
+    if step == "clean_coerce_invoice":
+        return flags.withColumn("invoice_date", F.col("_raw_date")).drop(*hidden, "_raw_date")
+    if step == "clean_drop_credits":
+        return flags.filter("k_credits").withColumn("invoice_date", F.col("_raw_date")).drop(*hidden, "_raw_date")
+    if step == "clean_parse_date":
+        out = flags.filter("k_credits")
+    elif step == "clean_drop_bad_dates":
+        out = flags.filter("k_dates")
+    elif step in ("clean_code_len_mid", "clean_code_len_long"):
+        code = F.col("product_code")
+        hit = code_length_mid(code) if step == "clean_code_len_mid" else code_length_rejected(code)
+        out = _null_out(flags.filter("k_dates"), hit)
+    elif step == "clean_drop_any_null":
+        out = flags.filter("k_codes")
+    elif step == "clean_positive_qty":
+        out = flags.filter("k_quantity").drop("quantity")
+    elif step == "clean_drop_unspecified":
+        out = flags.filter(F.col("k_quantity") & (F.col("country") != F.lit(UNSPECIFIED_COUNTRY))).drop("quantity")
+    else:  # clean_drop_mailout
+        out = flags.filter("k_country").drop("quantity")
+    return out.drop(*hidden, "_raw_date")

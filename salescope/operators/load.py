@@ -112,7 +112,13 @@ def greedy_accept(pairs: DataFrame, files: DataFrame, pre_rejected: DataFrame) -
 def strict_load(old_invoices: DataFrame, old_lines: DataFrame, products_after: DataFrame,
                 clean_rows: DataFrame) -> dict[str, DataFrame]:
     """Per-file all-or-nothing load. Returns invoices, lines (loaded tables) and
-    verdict (one row per file)."""
+    verdict (one row per file).
+
+    The clean rows feed several branches and the fixpoint's rounds, so they
+    are checkpointed once (reliably, to the shared folder) before anything else.
+    """
+    clean_rows = _checkpoint(clean_rows.select("file_name", "row_pos", "invoice_no", "invoice_date",
+                                               "country", "product_code"))
     inv = star_invoices(clean_rows, per_file=True)
     lines = star_invoice_lines(clean_rows, per_file=True)
     files = clean_rows.select("file_name").distinct()

@@ -128,7 +128,7 @@ def _visible(df: DataFrame) -> DataFrame:
 
 for _step in CLEAN_STEP_KEYS:
     register(_step, clean_step_sql(_step))(
-        lambda spark, sf, _step=_step: _visible(clean.run_steps(_raw(spark, sf), upto=_step)))
+        lambda spark, sf, _step=_step: _visible(clean.upto_step(_raw(spark, sf), _step)))
 
 register("clean_full", clean_step_sql("clean_drop_mailout"))(
     lambda spark, sf: _visible(clean.clean(_raw(spark, sf))))

@@ -195,3 +195,13 @@ def test_row_order_within_split_files(spark, scratch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(first) == 1 and first[0]["product_name"] == "NAME 00000" and first[0]["dup_count"] == 3000
+
+
+@pytest.mark.parametrize("step", [n for n, _ in clean.STEPS])
+def test_flag_based_steps_equal_literal_steps(edge_raw, step):
+    drop = [c for c in ("row_pos", "dup_count") if True]
+    a = clean.run_steps(edge_raw, step)
+    b = clean.upto_step(edge_raw, step)
+    a = a.drop(*[c for c in drop if c in a.columns])
+    b = b.drop(*[c for c in drop if c in b.columns]).select(*a.columns)
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), step
