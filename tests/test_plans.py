@@ -51,3 +51,25 @@ def test_rankings_have_no_window_or_cartesian(spark):
 def test_column_pruning(spark):
     p = formatted(E.queries()["product_top10"](spark, SF001))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in p
+
+
+def test_bucketed_star_joins_without_shuffle(spark, scratch):
+    import uuid
+
+    from salescope.operators import rank
+    from salescope.plans import etl
+    from salescope.sources.testdata import star_from_testdata
+
+    prefix = "t" + uuid.uuid4().hex[:8]
+    etl.save_star_tables(star_from_testdata(spark, SF001), scratch, prefix, n_buckets=4)
+    star = etl.table_star(spark, prefix)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = rank.rank_countries(star, "top")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in p
+    # the only exchange left is the small one on country
+    exchanges = [line for line in p.splitlines() if "Exchange" in line and "hashpartitioning" in line]
+    assert exchanges and all("country" in line for line in exchanges), exchanges
