@@ -67,10 +67,16 @@ def dedupe_first(df: DataFrame) -> DataFrame:
     key holding a large share of the rows still reaches the reducer as one
     partial row per map task. Null keys group together, as in the source.
     ``dup_count`` records how many raw rows each survivor stands for.
+
+    The struct buffer makes this a sort-based aggregate; a 64-bit hash of the
+    key is added as the leading grouping column (it is determined by the key,
+    so the groups are unchanged) to give the sorter a discriminating prefix
+    instead of the file name shared by every row of a file.
     """
     rest = ["row_pos"] + [c for c in df.columns if c not in DEDUPE_KEYS and c != "row_pos"]
     first = F.min(F.struct(*[F.col(c) for c in rest])).alias("_first")
-    grouped = df.groupBy(*DEDUPE_KEYS).agg(first, F.count(F.lit(1)).alias("dup_count"))
+    grouped = df.groupBy(F.xxhash64(*DEDUPE_KEYS).alias("_key_hash"), *DEDUPE_KEYS).agg(
+        first, F.count(F.lit(1)).alias("dup_count"))
     return grouped.select(*DEDUPE_KEYS, *[F.col(f"_first.{c}").alias(c) for c in rest], "dup_count")
 
 

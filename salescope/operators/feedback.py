@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescope.operators.clean import flagged
+from salescope.session import ensure_checkpoint_dir
 
 COUNT_COLUMNS = ("n_original", "n_dedupe", "n_credits", "n_dates", "n_codes", "n_quantity",
                  "n_country", "n_total")
@@ -69,6 +70,11 @@ def feedback_matrix(counts: DataFrame, file_names: list[str] | None = None) -> D
     distinct file names first (a small extra job over one row per file).
     """
     full = with_percent(counts)
+    if not file_names:
+        # One row per file: checkpointed (shared folder) so that finding the
+        # pivot values and the pivot itself do not both recompute the cleaning.
+        ensure_checkpoint_dir(full.sparkSession)
+        full = full.checkpoint(eager=True)
     stack = ", ".join(f"{i}, '{label}', CAST({col} AS DOUBLE)" for i, (label, col) in enumerate(MATRIX_ROWS, 1))
     long = full.selectExpr("file_name", f"stack({len(MATRIX_ROWS)}, {stack}) AS (step_order, step, value)")
     pivot = long.groupBy("step_order", "step")

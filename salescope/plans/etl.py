@@ -43,7 +43,7 @@ class EtlResult:
 
 
 def run_etl(raw: DataFrame, old: Star | None = None, mode: str = "insert_new",
-            materialise: bool = False) -> EtlResult:
+            materialise: bool = True) -> EtlResult:
     spark = raw.sparkSession
     old = old or empty_star(spark)
     flags = clean.flagged(raw)

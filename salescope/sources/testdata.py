@@ -114,9 +114,13 @@ def raw_feed_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
 
+    # Order context first (orders -> customer -> nation, one row per order),
+    # so the line items are shuffled once by order key and once by part key,
+    # never by customer key.
     cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    rows = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-            .join(cust, orders.o_custkey == cust.c_custkey)
+    order_ctx = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        "o_orderkey", "o_custkey", "o_orderdate", "n_name", "n_regionkey")
+    rows = (li.join(order_ctx, li.l_orderkey == order_ctx.o_orderkey)
             .join(part, li.l_partkey == part.p_partkey))
 
     key = F.col("l_orderkey")
