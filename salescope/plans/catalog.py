@@ -247,23 +247,23 @@ UNION ALL SELECT 'invoice_lines', count(*) FROM feed_lines""")(
 from salescope.operators import lookup as _lookup, quality as _quality  # noqa: E402
 
 register("check_primary_keys", "WITH " + STAR_CTES + """
-SELECT 'countries' AS table_name, 'country' AS key_columns, sum(n) AS n_rows,
-       coalesce(sum(CASE WHEN country IS NULL THEN n END), 0) AS n_null_keys,
+SELECT 'countries' AS table_name, 'country' AS key_columns, CAST(sum(n) AS BIGINT) AS n_rows,
+       CAST(coalesce(sum(CASE WHEN country IS NULL THEN n END), 0) AS BIGINT) AS n_null_keys,
        count(*) FILTER (WHERE country IS NOT NULL AND n > 1) AS n_duplicate_keys
 FROM (SELECT country, count(*) AS n FROM countries GROUP BY country)
 UNION ALL
-SELECT 'products', 'product_code', sum(n), coalesce(sum(CASE WHEN product_code IS NULL THEN n END), 0),
+SELECT 'products', 'product_code', CAST(sum(n) AS BIGINT), CAST(coalesce(sum(CASE WHEN product_code IS NULL THEN n END), 0) AS BIGINT),
        count(*) FILTER (WHERE product_code IS NOT NULL AND n > 1)
 FROM (SELECT product_code, count(*) AS n FROM products GROUP BY product_code)
 UNION ALL
-SELECT 'invoices', 'invoice_no', sum(n), coalesce(sum(CASE WHEN invoice_no IS NULL THEN n END), 0),
+SELECT 'invoices', 'invoice_no', CAST(sum(n) AS BIGINT), CAST(coalesce(sum(CASE WHEN invoice_no IS NULL THEN n END), 0) AS BIGINT),
        count(*) FILTER (WHERE invoice_no IS NOT NULL AND n > 1)
 FROM (SELECT invoice_no, count(*) AS n FROM invoices GROUP BY invoice_no)""")(
     lambda spark, sf: _quality.check_primary_keys(_star(spark, sf)))
 
 register("check_unique_lines", "WITH " + STAR_CTES + """
-SELECT 'invoice_lines' AS table_name, 'invoice_no,product_code' AS key_columns, sum(n) AS n_rows,
-       coalesce(sum(CASE WHEN invoice_no IS NULL OR product_code IS NULL THEN n END), 0) AS n_null_keys,
+SELECT 'invoice_lines' AS table_name, 'invoice_no,product_code' AS key_columns, CAST(sum(n) AS BIGINT) AS n_rows,
+       CAST(coalesce(sum(CASE WHEN invoice_no IS NULL OR product_code IS NULL THEN n END), 0) AS BIGINT) AS n_null_keys,
        count(*) FILTER (WHERE invoice_no IS NOT NULL AND product_code IS NOT NULL AND n > 1) AS n_duplicate_keys
 FROM (SELECT invoice_no, product_code, count(*) AS n FROM lines GROUP BY invoice_no, product_code)""")(
     lambda spark, sf: _quality.check_unique_lines(_star(spark, sf)))

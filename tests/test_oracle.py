@@ -24,3 +24,24 @@ def test_entry_smoke(spark):
 def test_every_query_has_twin_or_is_listed():
     no_twin = set(E.queries()) - set(E.oracle_sql())
     assert no_twin == {"load_strict_verdict"}
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
+def test_result_types_match_sql_twins(spark):
+    from conftest import SF001
+    from oracle_harness import duck
+
+    con = duck(SF001)
+    qs = E.queries()
+    bad = []
+    for k, sql in sorted(E.oracle_sql().items()):
+        rel = con.sql(sql)
+        want = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        got = {f.name: f.dataType.simpleString() for f in qs[k](spark, SF001).schema.fields}
+        for c, t in got.items():
+            if SPARK_TO_DUCK.get(t, t) != want.get(c):
+                bad.append((k, c, t, want.get(c)))
+    assert not bad, bad
