@@ -33,10 +33,14 @@ from salescope.operators.star import in_int32, star_invoice_lines, star_invoices
 MAX_ROUNDS = 10_000
 
 
+def fresh_countries(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Countries not in the table yet (the rows an append writes)."""
+    return new.select("country").join(old.select("country"), "country", "left_anti")
+
+
 def upsert_countries(old: DataFrame, new: DataFrame) -> DataFrame:
     """L3: countries are a key-only table; add the new ones."""
-    return new.select("country").join(old.select("country"), "country", "left_anti").unionByName(
-        old.select("country"))
+    return fresh_countries(old, new).unionByName(old.select("country"))
 
 
 def upsert_products(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -45,21 +49,31 @@ def upsert_products(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.select("product_code", "product_name").unionByName(new.select("product_code", "product_name"))
 
 
+def fresh_invoices(old: DataFrame, offered: DataFrame) -> DataFrame:
+    """Offered invoices whose number is new and fits the 32-bit column."""
+    return (offered.filter(in_int32(F.col("invoice_no")))
+            .join(old.select("invoice_no"), "invoice_no", "left_anti")
+            .select("invoice_no", "invoice_date", "country"))
+
+
 def append_invoices(old: DataFrame, offered: DataFrame) -> DataFrame:
     """L5 (insert_new): old invoices plus offered ones whose number is new."""
-    fresh = offered.filter(in_int32(F.col("invoice_no"))).join(
-        old.select("invoice_no"), "invoice_no", "left_anti")
-    return old.unionByName(fresh.select("invoice_no", "invoice_date", "country"))
+    return old.select("invoice_no", "invoice_date", "country").unionByName(fresh_invoices(old, offered))
+
+
+def fresh_lines(old: DataFrame, offered: DataFrame, invoices: DataFrame, products: DataFrame) -> DataFrame:
+    """New (invoice, product) pairs whose invoice and product exist after the load."""
+    return (offered.select("invoice_no", "product_code").distinct()
+            .join(old.select("invoice_no", "product_code"), ["invoice_no", "product_code"], "left_anti")
+            .join(invoices.select("invoice_no"), "invoice_no", "left_semi")
+            .join(products.select("product_code"), "product_code", "left_semi")
+            .select("invoice_no", "product_code"))
 
 
 def append_lines(old: DataFrame, offered: DataFrame, invoices: DataFrame, products: DataFrame) -> DataFrame:
     """L6 (insert_new): old lines plus new (invoice, product) pairs whose invoice and
     product exist in the loaded tables."""
-    fresh = (offered.select("invoice_no", "product_code").distinct()
-             .join(old.select("invoice_no", "product_code"), ["invoice_no", "product_code"], "left_anti")
-             .join(invoices.select("invoice_no"), "invoice_no", "left_semi")
-             .join(products.select("product_code"), "product_code", "left_semi"))
-    return old.select("invoice_no", "product_code").unionByName(fresh.select("invoice_no", "product_code"))
+    return old.select("invoice_no", "product_code").unionByName(fresh_lines(old, offered, invoices, products))
 
 
 # ----------------------------------------------------------------------------- strict mode
@@ -163,7 +177,9 @@ def strict_load(old_invoices: DataFrame, old_lines: DataFrame, products_after: D
                        F.coalesce("invoices_accepted", F.lit(False)).alias("invoices_accepted"),
                        F.coalesce("lines_offered", F.lit(0)).cast("bigint").alias("lines_offered"),
                        F.coalesce("lines_accepted", F.lit(False)).alias("lines_accepted")))
-    return {"invoices": invoices_after, "lines": lines_after, "verdict": verdict}
+    return {"invoices": invoices_after, "lines": lines_after, "verdict": verdict,
+            "new_invoices": accepted_inv.select("invoice_no", "invoice_date", "country"),
+            "new_lines": accepted_lines.select("invoice_no", "product_code")}
 
 
 def insert_new_verdict(old_invoices: DataFrame, old_lines: DataFrame, clean_rows: DataFrame) -> DataFrame:

@@ -40,6 +40,9 @@ class EtlResult:
     feedback: DataFrame
     star: Star
     verdict: DataFrame
+    new_countries: DataFrame
+    new_invoices: DataFrame
+    new_lines: DataFrame
 
 
 def run_etl(raw: DataFrame, old: Star | None = None, mode: str = "insert_new",
@@ -52,20 +55,25 @@ def run_etl(raw: DataFrame, old: Star | None = None, mode: str = "insert_new",
         flags = flags.checkpoint(eager=True)
     rows = flags.filter("k_country").drop(*clean.FLAGS, "quantity", "dup_count")
 
-    countries = load.upsert_countries(old.countries, star.star_countries(rows))
+    new_countries = load.fresh_countries(old.countries, star.star_countries(rows))
+    countries = new_countries.unionByName(old.countries.select("country"))
     products = load.upsert_products(old.products, star.star_products(rows))
     if mode == "insert_new":
-        invoices = load.append_invoices(old.invoices, star.star_invoices(rows))
-        lines = load.append_lines(old.lines, star.star_invoice_lines(rows), invoices, products)
+        new_invoices = load.fresh_invoices(old.invoices, star.star_invoices(rows))
+        invoices = old.invoices.select("invoice_no", "invoice_date", "country").unionByName(new_invoices)
+        new_lines = load.fresh_lines(old.lines, star.star_invoice_lines(rows), invoices, products)
+        lines = old.lines.select("invoice_no", "product_code").unionByName(new_lines)
         verdict = load.insert_new_verdict(old.invoices, old.lines, rows)
     elif mode == "strict":
         out = load.strict_load(old.invoices, old.lines, products, rows)
         invoices, lines, verdict = out["invoices"], out["lines"], out["verdict"]
+        new_invoices, new_lines = out["new_invoices"], out["new_lines"]
     else:
         raise ValueError(f"mode must be insert_new or strict, not {mode!r}")
     return EtlResult(feedback=feedback.counts_from_flags(flags),
                      star=Star(countries=countries, products=products, invoices=invoices, lines=lines),
-                     verdict=verdict)
+                     verdict=verdict, new_countries=new_countries, new_invoices=new_invoices,
+                     new_lines=new_lines)
 
 
 def table_counts(s: Star) -> DataFrame:
@@ -111,3 +119,37 @@ def save_star_tables(s: Star, path: str, prefix: str, n_buckets: int, mode: str
 def table_star(spark: SparkSession, prefix: str) -> Star:
     return Star(countries=spark.table(f"{prefix}_countries"), products=spark.table(f"{prefix}_products"),
                 invoices=spark.table(f"{prefix}_invoices"), lines=spark.table(f"{prefix}_invoice_lines"))
+
+
+def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
+                     mode: str = "insert_new") -> EtlResult:
+    """Load a raw batch into stored star tables (created on first use).
+
+    Countries, invoices and lines are append-only: only the new rows are
+    written (``mode("append")``, same bucketing), never the whole table.
+    Products are an upsert (a later file renames a code), which Parquet
+    cannot do in place: the new product table is first checkpointed (shared
+    folder), then written over the old one. Products are a dimension, small
+    next to the lines. Returns the ETL result (feedback and verdict frames
+    are lazy and can be written by the caller).
+    """
+    spark = raw.sparkSession
+    names = [f"{prefix}_{t}" for t in ("countries", "products", "invoices", "invoice_lines")]
+    exists = all(spark.catalog.tableExists(n) for n in names)
+    old = table_star(spark, prefix) if exists else None
+    result = run_etl(raw, old, mode=mode)
+    if not exists:
+        save_star_tables(result.star, path, prefix, n_buckets)
+        return result
+    ensure_checkpoint_dir(spark)
+    products = result.star.products.checkpoint(eager=True)
+    deltas = {"countries": result.new_countries.checkpoint(eager=True),
+              "invoices": result.new_invoices.checkpoint(eager=True),
+              "invoice_lines": result.new_lines.checkpoint(eager=True)}
+    for name, df in deltas.items():
+        w = df.write.mode("append").option("path", f"{path}/{name}")
+        if name in ("invoices", "invoice_lines"):
+            w = w.bucketBy(n_buckets, "invoice_no").sortBy("invoice_no")
+        w.saveAsTable(f"{prefix}_{name}")
+    products.write.mode("overwrite").option("path", f"{path}/products").saveAsTable(f"{prefix}_products")
+    return result
