@@ -230,8 +230,11 @@ FULL JOIN (
         _F.col("file_name"), "invoices_offered", "invoices_clashing", "lines_offered", "lines_clashing"))
 
 # Strict, per-file all-or-nothing load into the existing tables: sequential by
-# definition, no SQL twin (checked against a file-by-file loop in the tests).
-register("load_strict_verdict")(
+# definition; its SQL twin walks the files with a recursive CTE (and the tests
+# also check it against a file-by-file loop).
+from salescope.plans.sql_twins import STRICT_VERDICT_SQL  # noqa: E402
+
+register("load_strict_verdict", STRICT_VERDICT_SQL)(
     lambda spark, sf: _etl.run_etl(_raw(spark, sf), _star(spark, sf), mode="strict").verdict)
 
 register("etl_star", _FS + """

@@ -158,3 +158,41 @@ loaded_lines AS (
     AND f.invoice_no IN (SELECT invoice_no FROM loaded_invoices)
     AND f.product_code IN (SELECT product_code FROM loaded_products))
 """
+
+# Strict load: files in name order, each step accepting or rejecting one file's
+# invoice batch and line batch against everything accepted before it. The
+# accepted keys travel through the recursion as lists.
+STRICT_VERDICT_SQL = "WITH RECURSIVE " + FEED_STAR_CTES + """,
+sf AS (SELECT file_name, row_number() OVER (ORDER BY file_name) AS i
+       FROM (SELECT DISTINCT file_name FROM clean_drop_mailout)),
+fi AS (SELECT sf.i, list(p.invoice_no) AS invs, count(*) AS n_inv,
+              bool_and(p.invoice_no BETWEEN -2147483648 AND 2147483647) AS in_range
+       FROM feed_invoices_per_file p JOIN sf ON p.file_name = sf.file_name GROUP BY sf.i),
+fl AS (SELECT sf.i, list(l.invoice_no) AS line_invs, list(l.product_code) AS codes,
+              list(CAST(l.invoice_no AS VARCHAR) || '|' || l.product_code) AS pairs, count(*) AS n_lines
+       FROM feed_lines_per_file l JOIN sf ON l.file_name = sf.file_name GROUP BY sf.i),
+steps(i, acc_inv, acc_pairs, inv_ok, lines_ok) AS (
+  SELECT 0, (SELECT list(invoice_no) FROM invoices),
+         (SELECT list(CAST(invoice_no AS VARCHAR) || '|' || product_code) FROM lines),
+         CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN)
+  UNION ALL
+  SELECT y.i, y.acc_inv2,
+         CASE WHEN y.lines_ok THEN list_concat(y.acc_pairs, y.pairs) ELSE y.acc_pairs END,
+         y.inv_ok, y.lines_ok
+  FROM (
+    SELECT x.*, (NOT list_has_any(x.acc_pairs, x.pairs)) AND list_has_all(x.acc_inv2, x.line_invs)
+                AND list_has_all((SELECT list(product_code) FROM loaded_products), x.codes) AS lines_ok
+    FROM (
+      SELECT s.i + 1 AS i, s.acc_pairs,
+             coalesce(fl.pairs, []) AS pairs, coalesce(fl.line_invs, []) AS line_invs,
+             coalesce(fl.codes, []) AS codes,
+             (NOT list_has_any(s.acc_inv, coalesce(fi.invs, []))) AND coalesce(fi.in_range, true) AS inv_ok,
+             CASE WHEN (NOT list_has_any(s.acc_inv, coalesce(fi.invs, []))) AND coalesce(fi.in_range, true)
+                  THEN list_concat(s.acc_inv, coalesce(fi.invs, [])) ELSE s.acc_inv END AS acc_inv2
+      FROM steps s JOIN sf ON sf.i = s.i + 1
+      LEFT JOIN fi ON fi.i = s.i + 1 LEFT JOIN fl ON fl.i = s.i + 1) x) y)
+SELECT sf.file_name, coalesce(fi.n_inv, 0) AS invoices_offered, s.inv_ok AS invoices_accepted,
+       coalesce(fl.n_lines, 0) AS lines_offered, s.lines_ok AS lines_accepted
+FROM steps s JOIN sf ON sf.i = s.i LEFT JOIN fi ON fi.i = s.i LEFT JOIN fl ON fl.i = s.i
+WHERE s.i > 0
+"""
