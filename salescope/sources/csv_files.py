@@ -8,7 +8,7 @@
   hidden ``_metadata`` column) keys everything per file.
 * S4: ``row_pos`` = (start offset of the split, row id inside the task)
   orders rows as they appear in each file, so "first row" means the same as
-  in a file read top to bottom.
+  in a file read top to bottom, also when a large file is split.
 
 Spark's CSV reader binds columns by position. Files whose header lists the
 columns in another order are therefore grouped by header line and each group
@@ -48,8 +48,8 @@ def parse_header(line: str) -> list[str]:
     return next(csv.reader(io.StringIO(line)))
 
 
-def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False) -> dict[str, list[str]]:
-    """{header line: [file paths]} from the first non-blank line of each file.
+def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False) -> dict[str, list[tuple[str, int]]]:
+    """{header line: [(file path, file size)]} from the first non-blank line of each file.
 
     Distributed: one text scan of the first split of every file, one row per
     file aggregated, and only the distinct header lines with their paths
@@ -57,13 +57,32 @@ def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False
     """
     lines = (spark.read.option("recursiveFileLookup", recursive).text(paths)
              .select(F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_size").alias("size"),
                      F.col("_metadata.file_block_start").alias("start"),
                      F.monotonically_increasing_id().alias("pos"),
                      "value")
              .filter((F.col("start") == 0) & (F.trim("value") != "")))
-    firsts = lines.groupBy("path").agg(F.min_by("value", "pos").alias("header"))
-    grouped = firsts.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return {r["header"]: list(r["paths"]) for r in grouped.collect()}
+    firsts = lines.groupBy("path", "size").agg(F.min_by("value", "pos").alias("header"))
+    grouped = firsts.groupBy("header").agg(F.sort_array(F.collect_list(F.struct("path", "size"))).alias("files"))
+    return {r["header"]: [(f["path"], f["size"]) for f in r["files"]] for r in grouped.collect()}
+
+
+def file_sizes(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[tuple[str, int]]:
+    """(path, size) of every file, from a listing that does not read file contents."""
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
+               .select("path", "length"))
+    return [(r["path"], r["length"]) for r in listing.collect()]
+
+
+_UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """spark.sql.files.maxPartitionBytes in bytes."""
+    raw = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")).strip().lower()
+    num = raw.rstrip("bkmg")
+    unit = raw[len(num):] or "b"
+    return int(float(num) * _UNITS[unit])
 
 
 def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive=False) -> DataFrame:
@@ -78,22 +97,40 @@ def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive
     )
 
 
+def _by_mode(files: list[tuple[str, int]], multi_line: bool | None, limit: int) -> dict[bool, list[str]]:
+    """Paths per multiLine setting. Auto (None): a file up to one split is read in
+    multi-line mode (it is one task either way); a larger file is read splittable."""
+    out: dict[bool, list[str]] = {}
+    for path, size in files:
+        mode = (size <= limit) if multi_line is None else multi_line
+        out.setdefault(mode, []).append(path)
+    return out
+
+
 def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: str = SOURCE_ENCODING,
-                     multi_line: bool = True, uniform_header: bool = False,
+                     multi_line: bool | None = None, uniform_header: bool = False,
                      null_tokens=NA_TOKENS, file_key: str = "name", recursive: bool = False) -> DataFrame:
     """Raw invoice rows: file_name, row_pos, then one text column per header name.
 
-    ``multi_line=True`` (needed for newlines inside quoted fields) makes each
-    file one task; for large files without such fields pass ``False`` to let
-    Spark split them.
+    ``multi_line``: newlines inside quoted fields need Spark's multi-line
+    mode, in which a file cannot be split and is read by one task. The
+    default (None) reads files up to ``spark.sql.files.maxPartitionBytes``
+    that way -- they would be a single split anyway -- and reads larger
+    files splittable, so no single file, however large, is funnelled
+    through one task. Pass True to force multi-line mode for large files
+    known to contain such fields (one task per file), False to split all.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    limit = split_bytes(spark)
+    # Both branches end with a list of individual files (no directory recursion needed below).
     if uniform_header:
-        probe = _reader(spark, encoding, multi_line, recursive).csv(paths[0])
-        groups = {None: (probe.columns, paths)}
+        listing = file_sizes(spark, paths, recursive)
+        probe = _reader(spark, encoding, True).csv(listing[0][0])
+        groups = [(probe.columns, listing)]
     else:
-        groups = {h: (parse_header(h), ps) for h, ps in header_groups(spark, paths, recursive).items()}
-    parts = [_read_group(spark, ps, cols, encoding, multi_line, file_key, recursive) for cols, ps in groups.values()]
+        groups = [(parse_header(h), files) for h, files in header_groups(spark, paths, recursive).items()]
+    parts = [_read_group(spark, ps, cols, encoding, ml, file_key)
+             for cols, files in groups for ml, ps in _by_mode(files, multi_line, limit).items()]
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)

@@ -16,6 +16,9 @@ overwrite, so a replayed batch rewrites its own partition instead of
 duplicating it. The flagged rows are checkpointed once per batch (shared
 checkpoint folder) because two outputs read them.
 
+``multi_line=True`` (newlines inside quoted fields) makes each file one task;
+pass False when single uploads can be large.
+
 The stream binds columns by position to the canonical header; the reader is
 told to check every file's header against it (``enforceSchema=false``), so a
 file with reordered columns fails the batch rather than loading scrambled

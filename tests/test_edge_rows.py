@@ -205,3 +205,38 @@ def test_flag_based_steps_equal_literal_steps(edge_raw, step):
     a = a.drop(*[c for c in drop if c in a.columns])
     b = b.drop(*[c for c in drop if c in b.columns]).select(*a.columns)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), step
+
+
+def test_auto_mode_splits_large_files_only(spark, scratch):
+    big = [dict(BASE, InvoiceNo=str(800000 + i), Description=f"ITEM {i:05d}", CaseId=str(i)) for i in range(4000)]
+    small = [dict(BASE, InvoiceNo="1", Description="TWO\nLINES", CaseId="nl")]
+    pb, ps = os.path.join(scratch, "big.csv"), os.path.join(scratch, "small.csv")
+    write_csv(pb, HEADER, big)
+    write_csv(ps, HEADER, small)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        auto = read_invoice_csv(spark, [pb, ps])
+        n_parts = auto.rdd.getNumPartitions()
+        rows = {r["CaseId"]: r for r in auto.collect()}
+        uni = read_invoice_csv(spark, [pb, ps], uniform_header=True)
+        uni_n = uni.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert n_parts > 2                              # the big file is split
+    assert rows["nl"]["Description"] == "TWO\nLINES"  # the small one keeps its quoted newline
+    assert len(rows) == 4001 and uni_n == 4001
+    assert rows["3999"]["Description"] == "ITEM 03999"
+
+
+def test_split_file_keeps_row_order_for_first_pick(spark, scratch):
+    rows = [dict(BASE, InvoiceNo="424242", Description=f"N {i:05d}", CaseId=str(i)) for i in range(5000)]
+    p = os.path.join(scratch, "order.csv")
+    write_csv(p, HEADER, rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        raw = read_invoice_csv(spark, [p])
+        assert raw.rdd.getNumPartitions() > 3
+        names = star.star_products(clean.clean(raw)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["product_name"] for r in names] == ["N 00000"]
