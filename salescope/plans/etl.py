@@ -8,6 +8,7 @@ de-duplication shuffle.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,14 +88,16 @@ def table_counts(s: Star) -> DataFrame:
 
 
 def write_star(s: Star, path: str, mode: str = "overwrite") -> None:
-    """Store the star as Parquet. Lines and invoices are clustered by invoice number
-    on write so later joins and per-invoice counts read co-located data."""
+    """Store the star as plain Parquet, invoices and lines clustered by invoice number
+    (file min/max statistics then prune by invoice range). Lines are range-partitioned
+    on (invoice, product), so an invoice with a huge number of lines is spread over
+    several write tasks instead of one."""
     s.countries.write.mode(mode).parquet(f"{path}/countries")
     s.products.write.mode(mode).parquet(f"{path}/products")
-    s.invoices.repartition("invoice_no").sortWithinPartitions("invoice_no").write.mode(mode).parquet(
+    s.invoices.repartitionByRange("invoice_no").sortWithinPartitions("invoice_no").write.mode(mode).parquet(
         f"{path}/invoices")
-    s.lines.repartition("invoice_no").sortWithinPartitions("invoice_no").write.mode(mode).parquet(
-        f"{path}/lines")
+    (s.lines.repartitionByRange("invoice_no", "product_code").sortWithinPartitions("invoice_no", "product_code")
+     .write.mode(mode).parquet(f"{path}/lines"))
 
 
 def read_star(spark: SparkSession, path: str) -> Star:
@@ -116,9 +119,47 @@ def save_star_tables(s: Star, path: str, prefix: str, n_buckets: int, mode: str
         w.saveAsTable(f"{prefix}_{name}")
 
 
-def table_star(spark: SparkSession, prefix: str) -> Star:
+_BUCKET_ID = re.compile(r"_(\d{5})(?:\.c\d{3})?(?:\.[A-Za-z0-9]+)*$")
+
+
+def bucket_sizes(spark: SparkSession, location: str) -> dict[int, int]:
+    """Bytes per bucket of a bucketed table, from a file listing (contents are not read)."""
+    listing = spark.read.format("binaryFile").load(location).select("path", "length")
+    sizes: dict[int, int] = {}
+    for r in listing.collect():
+        m = _BUCKET_ID.search(r["path"].rsplit("/", 1)[-1])
+        if m:
+            b = int(m.group(1))
+            sizes[b] = sizes.get(b, 0) + r["length"]
+    return sizes
+
+
+def bucket_skewed(spark: SparkSession, location: str, factor: float = 4.0) -> bool:
+    """True when the largest bucket is over ``factor`` times the mean and larger than one split.
+
+    A bucketed scan reads each bucket in one task and has no shuffle that AQE
+    could split, so a bucket holding a large share of the rows (one hot
+    invoice) would become one huge task."""
+    from salescope.sources.csv_files import split_bytes
+
+    sizes = bucket_sizes(spark, location)
+    if not sizes:
+        return False
+    mean = sum(sizes.values()) / len(sizes)
+    biggest = max(sizes.values())
+    return biggest > factor * mean and biggest > split_bytes(spark)
+
+
+def table_star(spark: SparkSession, prefix: str, path: str | None = None) -> Star:
+    """The stored star. With ``path`` (the tables' location) the bucket sizes are
+    checked first: if a bucket is outsized, invoices and lines are read as plain
+    Parquet instead, so scans split by size and joins shuffle with map-side
+    pre-aggregation (skew-safe) rather than read one bucket per task."""
+    invoices, lines = spark.table(f"{prefix}_invoices"), spark.table(f"{prefix}_invoice_lines")
+    if path is not None and bucket_skewed(spark, f"{path}/invoice_lines"):
+        invoices, lines = spark.read.parquet(f"{path}/invoices"), spark.read.parquet(f"{path}/invoice_lines")
     return Star(countries=spark.table(f"{prefix}_countries"), products=spark.table(f"{prefix}_products"),
-                invoices=spark.table(f"{prefix}_invoices"), lines=spark.table(f"{prefix}_invoice_lines"))
+                invoices=invoices, lines=lines)
 
 
 def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
@@ -136,7 +177,7 @@ def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
     spark = raw.sparkSession
     names = [f"{prefix}_{t}" for t in ("countries", "products", "invoices", "invoice_lines")]
     exists = all(spark.catalog.tableExists(n) for n in names)
-    old = table_star(spark, prefix) if exists else None
+    old = table_star(spark, prefix, path) if exists else None
     result = run_etl(raw, old, mode=mode)
     if not exists:
         save_star_tables(result.star, path, prefix, n_buckets)

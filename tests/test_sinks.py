@@ -30,3 +30,28 @@ def test_load_into_tables_appends_only_new_rows(spark, scratch):
         assert _same(stored.tables()[name], once.tables()[name]), name
     assert all(r["n_duplicate_keys"] == 0 for r in quality.check_primary_keys(stored).collect())
     assert all(r["n_orphans"] == 0 for r in quality.check_foreign_keys(stored).collect())
+
+
+def test_hot_bucket_falls_back_to_plain_reads(spark, scratch):
+    from pyspark.sql import functions as F
+
+    from salescope.star_schema import Star
+
+    # one invoice holds most of the lines
+    lines = spark.range(20000).select(F.when(F.col("id") < 15000, F.lit(7)).otherwise(F.col("id")).alias("invoice_no"),
+                                      F.col("id").cast("string").alias("product_code"))
+    invoices = lines.select("invoice_no").distinct().select("invoice_no", F.current_date().alias("invoice_date"),
+                                                            F.lit("X").alias("country"))
+    products = lines.select("product_code", F.lit("n").alias("product_name"))
+    countries = spark.range(1).select(F.lit("X").alias("country"))
+    prefix = "hot" + uuid.uuid4().hex[:8]
+    etl.save_star_tables(Star(countries, products, invoices, lines), scratch, prefix, n_buckets=8)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert etl.bucket_skewed(spark, f"{scratch}/invoice_lines")
+        star = etl.table_star(spark, prefix, scratch)
+        plan = star.lines._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert "Bucketed: true" not in plan
+    assert not etl.bucket_skewed(spark, f"{scratch}/invoices")
