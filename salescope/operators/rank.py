@@ -102,14 +102,16 @@ def product_top_countries(star: Star, product_code: str, year: int | None = None
                           k: int = DRILL_LIMIT) -> DataFrame:
     """The k countries with most lines of one product.
 
-    The product table is joined on its key filtered to the one code (at most
-    one row), which keeps the inner-join semantics of the source query
-    without a full products scan reaching a shuffle.
+    The inner join with products (a line counts only if its product exists)
+    is kept as a join with the distinct codes of products filtered to this one
+    code: that side has at most one row by construction, so broadcasting it is
+    safe, and the lines (all with the same code) are never shuffled on the code.
+    Lines are then counted per invoice before meeting the invoices.
     """
     code = F.lit(product_code)
     lines = star.lines.filter(F.col(PRODUCT_CODE) == code)
-    known = star.products.filter(F.col(PRODUCT_CODE) == code).select(PRODUCT_CODE)
-    per_invoice = (lines.join(known, PRODUCT_CODE)
+    known = star.products.filter(F.col(PRODUCT_CODE) == code).select(PRODUCT_CODE).distinct()
+    per_invoice = (lines.join(F.broadcast(known), PRODUCT_CODE)
                    .groupBy(INVOICE_NO).agg(F.count(F.lit(1)).alias("n_lines")))
     counted = (per_invoice.join(_invoices(star, year).select(INVOICE_NO, COUNTRY), INVOICE_NO)
                .groupBy(COUNTRY).agg(F.sum("n_lines").cast("bigint").alias(SALES)))
