@@ -97,7 +97,13 @@ def _stock_code(partkey):
             .when(m50 == 2, F.lit(SPECIAL_CODES[2]))
             .when(m50 == 3, F.lit(None).cast("string"))
             .when(m50 == 4, F.lit(SPECIAL_CODES[4]))
-            .otherwise(F.concat(F.format_string("%05d", partkey), suffix)))
+            .otherwise(F.concat(_pad5(partkey), suffix)))
+
+
+def _pad5(n):
+    """printf('%05d', n) for the key range; lpad is a plain string function,
+    format_string runs a java.util.Formatter per row."""
+    return F.when((n >= 0) & (n < 100000), F.lpad(n.cast("string"), 5, "0")).otherwise(F.format_string("%05d", n))
 
 
 def raw_feed_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
