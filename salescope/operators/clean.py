@@ -182,8 +182,10 @@ def stage_flags(deduped: DataFrame) -> DataFrame:
     ``k_codes`` C10, ``k_quantity`` C11 and ``k_country`` C13. Coerced
     ``invoice_no`` (DOUBLE) and ``invoice_date`` (TIMESTAMP_NTZ) replace the text.
 
-    The coercions are evaluated once per row in a first projection; the flags
-    are cheap boolean combinations of the resulting columns.
+    This form keeps the raw texts through de-duplication (``upto_step`` shows
+    them for the early steps); ``flagged`` is the production form. The
+    coercions are evaluated once per row in a first projection; the flags are
+    cheap boolean combinations of the resulting columns.
     """
     others = [c for c in data_columns(deduped) if c not in ("invoice_no", "invoice_date")]
     f = lambda e: F.coalesce(e, F.lit(False))
@@ -209,7 +211,6 @@ def stage_flags(deduped: DataFrame) -> DataFrame:
     }).drop("_code_ok", "_qty_ok", "_place_ok")
 
 
-
 def flagged(raw: DataFrame) -> DataFrame:
     """C1-C3 then the survival flags: one row per de-duplicated raw row.
 

@@ -55,3 +55,13 @@ def test_hot_bucket_falls_back_to_plain_reads(spark, scratch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert "Bucketed: true" not in plan
     assert not etl.bucket_skewed(spark, f"{scratch}/invoices")
+
+
+def test_plain_parquet_star_round_trip(spark, scratch):
+    from salescope.sources.testdata import star_from_testdata
+
+    star = star_from_testdata(spark, SF001)
+    etl.write_star(star, scratch)
+    back = etl.read_star(spark, scratch)
+    for name in ("countries", "products", "invoices", "invoice_lines"):
+        assert _same(back.tables()[name], star.tables()[name]), name
