@@ -61,3 +61,12 @@ def test_loaded_feed_star_passes_checks(spark):
     star = etl.run_etl(raw_feed_from_testdata(spark, SF01)).star
     assert all(r["n_orphans"] == 0 for r in quality.check_foreign_keys(star).collect())
     assert all(r["n_duplicate_keys"] == 0 for r in quality.check_unique_lines(star).collect())
+
+
+def test_clean_rows_equal_last_count(spark):
+    from salescope.operators import clean
+
+    raw = raw_feed_from_testdata(spark, SF01)
+    per_file = {r["file_name"]: r["count"] for r in clean.clean(raw).groupBy("file_name").count().collect()}
+    totals = {r["file_name"]: r["n_total"] for r in feedback.feedback_counts(raw).collect()}
+    assert per_file == {k: v for k, v in totals.items() if v}
