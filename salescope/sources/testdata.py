@@ -27,15 +27,17 @@ def invoices_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """invoice_no, invoice_date, country: orders -> customer -> nation.
 
     ``nation`` is a fixed 25-row dimension; the planner broadcasts it from its
-    file size. orders-customer is an equi-join of two large tables and is left
-    to the planner (sort-merge, or broadcast if AQE sees a small side).
+    file size. orders-customer joins two large tables: it carries a sort-merge
+    hint, because Spark's static size estimate of a join (the product of its
+    inputs) would otherwise make the planner broadcast the orders and stream
+    the small customer file -- one task for the whole join.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     cust_country = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
         "c_custkey", F.col("n_name").alias("country"))
-    return orders.join(cust_country, orders.o_custkey == cust_country.c_custkey).select(
+    return orders.join(cust_country.hint("merge"), orders.o_custkey == cust_country.c_custkey).select(
         F.col("o_orderkey").alias("invoice_no"),
         F.to_date("o_orderdate").alias("invoice_date"),
         "country",
@@ -121,11 +123,14 @@ def raw_feed_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Order context first (orders -> customer -> nation, one row per order),
     # so the line items are shuffled once by order key and once by part key,
-    # never by customer key.
+    # never by customer key. The two large joins carry sort-merge hints: the
+    # static estimate of a join's size (product of its inputs) would otherwise
+    # have the planner broadcast the line items themselves and run the whole
+    # join in the one task that reads the small customer file.
     cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    order_ctx = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+    order_ctx = orders.join(cust.hint("merge"), orders.o_custkey == cust.c_custkey).select(
         "o_orderkey", "o_custkey", "o_orderdate", "n_name", "n_regionkey")
-    rows = (li.join(order_ctx, li.l_orderkey == order_ctx.o_orderkey)
+    rows = (li.join(order_ctx.hint("merge"), li.l_orderkey == order_ctx.o_orderkey)
             .join(part, li.l_partkey == part.p_partkey))
 
     key = F.col("l_orderkey")
