@@ -96,12 +96,14 @@ def greedy_accept(pairs: DataFrame, files: DataFrame, pre_rejected: DataFrame) -
     pairs = pairs.select("file_name", "key").distinct()
     shared = (pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n_files"))
               .filter("n_files > 1").select("key"))
-    contested = pairs.join(shared, "key", "left_semi")
+    contested = _checkpoint(pairs.join(shared, "key", "left_semi"))
     state = (files.select("file_name").distinct()
              .join(pre_rejected.select("file_name").distinct().withColumn("_r", F.lit(True)), "file_name", "left")
              .select("file_name", F.when(F.col("_r"), F.lit("R")).otherwise(F.lit("U")).alias("status")))
+    if contested.isEmpty():
+        # No key is offered by two files: nothing is decided by file order.
+        return state.select("file_name", (F.col("status") == "U").alias("accepted"))
     state = _checkpoint(state)
-    contested = _checkpoint(contested)
     for _ in range(MAX_ROUNDS):
         if state.filter("status = 'U'").isEmpty():
             break
@@ -124,15 +126,18 @@ def greedy_accept(pairs: DataFrame, files: DataFrame, pre_rejected: DataFrame) -
 
 
 def strict_load(old_invoices: DataFrame, old_lines: DataFrame, products_after: DataFrame,
-                clean_rows: DataFrame) -> dict[str, DataFrame]:
+                clean_rows: DataFrame, materialised: bool = False) -> dict[str, DataFrame]:
     """Per-file all-or-nothing load. Returns invoices, lines (loaded tables) and
     verdict (one row per file).
 
-    The clean rows feed several branches and the fixpoint's rounds, so they
-    are checkpointed once (reliably, to the shared folder) before anything else.
+    The clean rows feed several branches and the fixpoint's rounds, so unless
+    the caller already ``materialised`` them they are checkpointed once
+    (reliably, to the shared folder) before anything else.
     """
-    clean_rows = _checkpoint(clean_rows.select("file_name", "row_pos", "invoice_no", "invoice_date",
-                                               "country", "product_code"))
+    clean_rows = clean_rows.select("file_name", "row_pos", "invoice_no", "invoice_date", "country",
+                                   "product_code")
+    if not materialised:
+        clean_rows = _checkpoint(clean_rows)
     inv = star_invoices(clean_rows, per_file=True)
     lines = star_invoice_lines(clean_rows, per_file=True)
     files = clean_rows.select("file_name").distinct()
@@ -153,7 +158,9 @@ def strict_load(old_invoices: DataFrame, old_lines: DataFrame, products_after: D
                 .join(first_acc, "invoice_no", "left"))
     fk_missing = line_inv.filter(~F.coalesce(F.col("_old"), F.lit(False))
                                  & ~F.coalesce(F.col("acc_file") <= F.col("file_name"), F.lit(False)))
-    prod_missing = lines.join(products_after.select("product_code"), "product_code", "left_anti")
+    # distinct (file, code) first: a frequent code meets the anti-join once per file
+    prod_missing = (lines.select("file_name", "product_code").distinct()
+                    .join(products_after.select("product_code"), "product_code", "left_anti"))
     line_clash_old = lines.join(old_lines.select("invoice_no", "product_code"),
                                 ["invoice_no", "product_code"], "left_semi")
     pre = (fk_missing.select("file_name").unionByName(prod_missing.select("file_name"))

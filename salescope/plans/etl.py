@@ -66,7 +66,7 @@ def run_etl(raw: DataFrame, old: Star | None = None, mode: str = "insert_new",
         lines = old.lines.select("invoice_no", "product_code").unionByName(new_lines)
         verdict = load.insert_new_verdict(old.invoices, old.lines, rows)
     elif mode == "strict":
-        out = load.strict_load(old.invoices, old.lines, products, rows)
+        out = load.strict_load(old.invoices, old.lines, products, rows, materialised=materialise)
         invoices, lines, verdict = out["invoices"], out["lines"], out["verdict"]
         new_invoices, new_lines = out["new_invoices"], out["new_lines"]
     else:
