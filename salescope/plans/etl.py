@@ -171,26 +171,34 @@ def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
     Products are an upsert (a later file renames a code), which Parquet
     cannot do in place: the new product table is first checkpointed (shared
     folder), then written over the old one. Products are a dimension, small
-    next to the lines. Returns the ETL result (feedback and verdict frames
-    are lazy and can be written by the caller).
+    next to the lines. Returns the result with feedback, verdict and deltas
+    materialised (checkpointed) and ``star`` reading the updated tables.
     """
     spark = raw.sparkSession
     names = [f"{prefix}_{t}" for t in ("countries", "products", "invoices", "invoice_lines")]
     exists = all(spark.catalog.tableExists(n) for n in names)
     old = table_star(spark, prefix, path) if exists else None
     result = run_etl(raw, old, mode=mode)
+    ensure_checkpoint_dir(spark)
+    # Everything derived from the old tables is materialised before any table is
+    # written: the products table is rewritten below, and lazy frames still
+    # pointing at its old files could not be evaluated afterwards.
+    keep = {"feedback": result.feedback, "verdict": result.verdict, "new_countries": result.new_countries,
+            "new_invoices": result.new_invoices, "new_lines": result.new_lines}
+    if exists:
+        keep["products"] = result.star.products
+    done = {k: v.checkpoint(eager=True) for k, v in keep.items()}
     if not exists:
         save_star_tables(result.star, path, prefix, n_buckets)
-        return result
-    ensure_checkpoint_dir(spark)
-    products = result.star.products.checkpoint(eager=True)
-    deltas = {"countries": result.new_countries.checkpoint(eager=True),
-              "invoices": result.new_invoices.checkpoint(eager=True),
-              "invoice_lines": result.new_lines.checkpoint(eager=True)}
-    for name, df in deltas.items():
-        w = df.write.mode("append").option("path", f"{path}/{name}")
-        if name in ("invoices", "invoice_lines"):
-            w = w.bucketBy(n_buckets, "invoice_no").sortBy("invoice_no")
-        w.saveAsTable(f"{prefix}_{name}")
-    products.write.mode("overwrite").option("path", f"{path}/products").saveAsTable(f"{prefix}_products")
-    return result
+    else:
+        for name, key in (("countries", "new_countries"), ("invoices", "new_invoices"),
+                          ("invoice_lines", "new_lines")):
+            w = done[key].write.mode("append").option("path", f"{path}/{name}")
+            if name in ("invoices", "invoice_lines"):
+                w = w.bucketBy(n_buckets, "invoice_no").sortBy("invoice_no")
+            w.saveAsTable(f"{prefix}_{name}")
+        done["products"].write.mode("overwrite").option("path", f"{path}/products").saveAsTable(
+            f"{prefix}_products")
+    return EtlResult(feedback=done["feedback"], star=table_star(spark, prefix, path), verdict=done["verdict"],
+                     new_countries=done["new_countries"], new_invoices=done["new_invoices"],
+                     new_lines=done["new_lines"])
