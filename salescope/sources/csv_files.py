@@ -48,14 +48,27 @@ def parse_header(line: str) -> list[str]:
     return next(csv.reader(io.StringIO(line)))
 
 
-def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False) -> dict[str, list[tuple[str, int]]]:
+def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False,
+                  encoding: str = SOURCE_ENCODING) -> dict[str, list[tuple[str, int]]]:
     """{header line: [(file path, file size)]} from the first non-blank line of each file.
 
-    Distributed: one text scan of the first split of every file, one row per
-    file aggregated, and only the distinct header lines with their paths
-    (one entry per file, like the file listing) come back to the driver.
+    Lines are read with the CSV reader itself (so the file encoding applies),
+    set to one raw column per physical line: quoting off, a separator that
+    does not occur in text. Distributed: only the splits starting at offset 0
+    contribute, one row per file is aggregated, and only the distinct header
+    lines with their paths (one entry per file, like the file listing) come
+    back to the driver.
     """
-    lines = (spark.read.option("recursiveFileLookup", recursive).text(paths)
+    raw_lines = (spark.read
+                 .option("recursiveFileLookup", recursive)
+                 .option("encoding", encoding)
+                 .option("header", False)
+                 .option("multiLine", False)
+                 .option("sep", "\u0001")
+                 .option("quote", "\u0000")
+                 .schema("value STRING")
+                 .csv(paths))
+    lines = (raw_lines
              .select(F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_size").alias("size"),
                      F.col("_metadata.file_block_start").alias("start"),
@@ -128,7 +141,8 @@ def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: s
         probe = _reader(spark, encoding, True).csv(listing[0][0])
         groups = [(probe.columns, listing)]
     else:
-        groups = [(parse_header(h), files) for h, files in header_groups(spark, paths, recursive).items()]
+        groups = [(parse_header(h), files)
+                  for h, files in header_groups(spark, paths, recursive, encoding).items()]
     parts = [_read_group(spark, ps, cols, encoding, ml, file_key)
              for cols, files in groups for ml, ps in _by_mode(files, multi_line, limit).items()]
     df = parts[0]

@@ -240,3 +240,12 @@ def test_split_file_keeps_row_order_for_first_pick(spark, scratch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r["product_name"] for r in names] == ["N 00000"]
+
+
+def test_non_ascii_header_names_bind(spark, scratch):
+    header = HEADER + ["Catégorie"]
+    p = os.path.join(scratch, "latin.csv")
+    write_csv(p, header, [dict(BASE, CaseId="x", **{"Catégorie": "Décor"})])
+    raw = read_invoice_csv(spark, [p])
+    row = raw.collect()[0]
+    assert "Catégorie" in raw.columns and row["Catégorie"] == "Décor" and row["Country"] == "France"
