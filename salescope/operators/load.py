@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescope.session import ensure_checkpoint_dir
-from salescope.operators.star import in_int32, star_invoice_lines, star_invoices
+from salescope.operators.star import in_int32, star_invoice_lines, star_invoices, whole_invoice_no
 
 MAX_ROUNDS = 10_000
 
@@ -163,8 +163,16 @@ def strict_load(old_invoices: DataFrame, old_lines: DataFrame, products_after: D
                     .join(products_after.select("product_code"), "product_code", "left_anti"))
     line_clash_old = lines.join(old_lines.select("invoice_no", "product_code"),
                                 ["invoice_no", "product_code"], "left_semi")
+    # Two raw invoice texts ('536365', '536365.0') survive de-duplication but
+    # coerce to one number: the file then offers the same line twice, which a
+    # unique constraint rejects for the whole batch.
+    dup_in_file = (clean_rows.select("file_name", whole_invoice_no(F.col("invoice_no")).alias("invoice_no"),
+                                     "product_code")
+                   .filter(F.col("invoice_no").isNotNull())
+                   .groupBy("file_name", "invoice_no", "product_code").agg(F.count(F.lit(1)).alias("n"))
+                   .filter("n > 1"))
     pre = (fk_missing.select("file_name").unionByName(prod_missing.select("file_name"))
-           .unionByName(line_clash_old.select("file_name")))
+           .unionByName(line_clash_old.select("file_name")).unionByName(dup_in_file.select("file_name")))
     line_pairs = lines.select("file_name", F.struct("invoice_no", "product_code").alias("key"))
     lines_ok = greedy_accept(line_pairs, files, pre)
     accepted_lines = lines.join(lines_ok.filter("accepted"), "file_name", "left_semi")

@@ -168,9 +168,13 @@ sf AS (SELECT file_name, row_number() OVER (ORDER BY file_name) AS i
 fi AS (SELECT sf.i, list(p.invoice_no) AS invs, count(*) AS n_inv,
               bool_and(p.invoice_no BETWEEN -2147483648 AND 2147483647) AS in_range
        FROM feed_invoices_per_file p JOIN sf ON p.file_name = sf.file_name GROUP BY sf.i),
-fl AS (SELECT sf.i, list(l.invoice_no) AS line_invs, list(l.product_code) AS codes,
-              list(CAST(l.invoice_no AS VARCHAR) || '|' || l.product_code) AS pairs, count(*) AS n_lines
-       FROM feed_lines_per_file l JOIN sf ON l.file_name = sf.file_name GROUP BY sf.i),
+fl AS (SELECT sf.i, list(DISTINCT l.invoice_no) AS line_invs, list(DISTINCT l.product_code) AS codes,
+              list(DISTINCT l.pair) AS pairs, count(DISTINCT l.pair) AS n_lines,
+              count(*) = count(DISTINCT l.pair) AS no_dup
+       FROM (SELECT file_name, CAST(invoice_no AS BIGINT) AS invoice_no, product_code,
+                    CAST(CAST(invoice_no AS BIGINT) AS VARCHAR) || '|' || product_code AS pair
+             FROM clean_drop_mailout WHERE invoice_no = floor(invoice_no)) l
+       JOIN sf ON l.file_name = sf.file_name GROUP BY sf.i),
 steps(i, acc_inv, acc_pairs, inv_ok, lines_ok) AS (
   SELECT 0, (SELECT list(invoice_no) FROM invoices),
          (SELECT list(CAST(invoice_no AS VARCHAR) || '|' || product_code) FROM lines),
@@ -180,12 +184,12 @@ steps(i, acc_inv, acc_pairs, inv_ok, lines_ok) AS (
          CASE WHEN y.lines_ok THEN list_concat(y.acc_pairs, y.pairs) ELSE y.acc_pairs END,
          y.inv_ok, y.lines_ok
   FROM (
-    SELECT x.*, (NOT list_has_any(x.acc_pairs, x.pairs)) AND list_has_all(x.acc_inv2, x.line_invs)
+    SELECT x.*, x.no_dup AND (NOT list_has_any(x.acc_pairs, x.pairs)) AND list_has_all(x.acc_inv2, x.line_invs)
                 AND list_has_all((SELECT list(product_code) FROM loaded_products), x.codes) AS lines_ok
     FROM (
       SELECT s.i + 1 AS i, s.acc_pairs,
              coalesce(fl.pairs, []) AS pairs, coalesce(fl.line_invs, []) AS line_invs,
-             coalesce(fl.codes, []) AS codes,
+             coalesce(fl.codes, []) AS codes, coalesce(fl.no_dup, true) AS no_dup,
              (NOT list_has_any(s.acc_inv, coalesce(fi.invs, []))) AND coalesce(fi.in_range, true) AS inv_ok,
              CASE WHEN (NOT list_has_any(s.acc_inv, coalesce(fi.invs, []))) AND coalesce(fi.in_range, true)
                   THEN list_concat(s.acc_inv, coalesce(fi.invs, [])) ELSE s.acc_inv END AS acc_inv2

@@ -85,3 +85,18 @@ def test_greedy_chain(spark):
     res = load.greedy_accept(pairs, files, spark.createDataFrame([], "file_name string"))
     got = {r["file_name"]: r["accepted"] for r in res.collect()}
     assert got == {"f0": True, "f1": False, "f2": True, "f3": False}
+
+
+def test_same_line_twice_after_coercion_rejects_lines(spark):
+    ts = dt.datetime(2011, 1, 1, 8, 0)
+    # f0 offers invoice 5 twice with code A (two raw texts, one number); f1 is clean
+    rows = [("f0.csv", 1, 5.0, "A", "a", ts, "FR"), ("f0.csv", 2, 5.0, "A", "a", ts, "FR"),
+            ("f0.csv", 3, 6.0, "B", "b", ts, "FR"), ("f1.csv", 1, 7.0, "A", "a", ts, "FR")]
+    df = spark.createDataFrame(rows, ROWS_SCHEMA)
+    empty_i = spark.createDataFrame([], INV_SCHEMA)
+    empty_l = spark.createDataFrame([], LINE_SCHEMA)
+    prods = spark.createDataFrame([("A", "a"), ("B", "b")], PROD_SCHEMA)
+    out = load.strict_load(empty_i, empty_l, prods, df)
+    got = {r["file_name"]: (r["invoices_accepted"], r["lines_accepted"]) for r in out["verdict"].collect()}
+    assert got == {"f0.csv": (True, False), "f1.csv": (True, True)}
+    assert sorted((r["invoice_no"], r["product_code"]) for r in out["lines"].collect()) == [(7, "A")]
