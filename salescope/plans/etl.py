@@ -9,6 +9,7 @@ de-duplication shuffle.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -169,8 +170,10 @@ def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
     Countries, invoices and lines are append-only: only the new rows are
     written (``mode("append")``, same bucketing), never the whole table.
     Products are an upsert (a later file renames a code), which Parquet
-    cannot do in place: the new product table is first checkpointed (shared
-    folder), then written over the old one. Products are a dimension, small
+    cannot do in place: the new product table is checkpointed (shared
+    folder), written to a fresh directory, and the table is re-pointed to it.
+    Every append is one write job (atomic through the commit protocol), and a
+    rerun after a failure only adds what is still missing (insert-new). Products are a dimension, small
     next to the lines. Returns the result with feedback, verdict and deltas
     materialised (checkpointed) and ``star`` reading the updated tables.
     """
@@ -197,8 +200,13 @@ def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
             if name in ("invoices", "invoice_lines"):
                 w = w.bucketBy(n_buckets, "invoice_no").sortBy("invoice_no")
             w.saveAsTable(f"{prefix}_{name}")
-        done["products"].write.mode("overwrite").option("path", f"{path}/products").saveAsTable(
-            f"{prefix}_products")
+        # The new product table goes to a fresh directory and the table is then
+        # re-pointed in one catalog operation: a failure while writing leaves the
+        # old table untouched (an in-place overwrite would delete it first).
+        fresh = f"{path}/products_{uuid.uuid4().hex}"
+        done["products"].write.mode("errorifexists").parquet(fresh)
+        spark.sql(f"ALTER TABLE {prefix}_products SET LOCATION '{fresh}'")
+        spark.sql(f"REFRESH TABLE {prefix}_products")
     return EtlResult(feedback=done["feedback"], star=table_star(spark, prefix, path), verdict=done["verdict"],
                      new_countries=done["new_countries"], new_invoices=done["new_invoices"],
                      new_lines=done["new_lines"])
