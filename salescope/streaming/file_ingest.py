@@ -35,6 +35,7 @@ from pyspark.sql.streaming import StreamingQuery
 from salescope.functions.coercion import NA_TOKENS, null_tokens_to_null
 from salescope.operators import clean, feedback
 from salescope.operators.clean import RAW_COLUMNS
+from salescope.session import ensure_checkpoint_dir
 from salescope.sources.csv_files import SOURCE_ENCODING
 
 def raw_stream(spark: SparkSession, landing_dir: str, multi_line: bool = True,
@@ -68,6 +69,7 @@ def _batch_raw(batch: DataFrame) -> DataFrame:
 
 
 def process_batch(batch: DataFrame, batch_id: int, sink_dir: str) -> None:
+    ensure_checkpoint_dir(batch.sparkSession)
     flags = clean.flagged(_batch_raw(batch)).checkpoint(eager=True)
     counts = feedback.counts_from_flags(flags).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
     rows = (flags.filter("k_country").drop(*clean.FLAGS, "quantity", "dup_count", "row_pos")
