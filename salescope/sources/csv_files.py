@@ -55,9 +55,8 @@ def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False
     Lines are read with the CSV reader itself (so the file encoding applies),
     set to one raw column per physical line: quoting off, a separator that
     does not occur in text. Distributed: only the splits starting at offset 0
-    contribute, one row per file is aggregated, and only the distinct header
-    lines with their paths (one entry per file, like the file listing) come
-    back to the driver.
+    contribute and one row per file (path, size, header line) comes back to
+    the driver, as a file listing would.
     """
     raw_lines = (spark.read
                  .option("recursiveFileLookup", recursive)
@@ -76,8 +75,12 @@ def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False
                      "value")
              .filter((F.col("start") == 0) & (F.trim("value") != "")))
     firsts = lines.groupBy("path", "size").agg(F.min_by("value", "pos").alias("header"))
-    grouped = firsts.groupBy("header").agg(F.sort_array(F.collect_list(F.struct("path", "size"))).alias("files"))
-    return {r["header"]: [(f["path"], f["size"]) for f in r["files"]] for r in grouped.collect()}
+    # One small row per file comes back (the driver lists every file anyway to
+    # plan the reads); grouping by header happens there, not in one task.
+    groups: dict[str, list[tuple[str, int]]] = {}
+    for r in firsts.collect():
+        groups.setdefault(r["header"], []).append((r["path"], r["size"]))
+    return {h: sorted(files) for h, files in groups.items()}
 
 
 def file_sizes(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[tuple[str, int]]:
