@@ -10,13 +10,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from salescope.operators import rank
+from pyspark.sql import functions as _F
+
+from salescope.functions import names as _names
+from salescope.operators import clean, feedback, rank
+from salescope.operators import load as _load
+from salescope.operators import lookup as _lookup
+from salescope.operators import quality as _quality
+from salescope.operators import star as _starops
 from salescope.plans import dashboard
+from salescope.plans import etl as _etl
 from salescope.plans.params import DashboardParams
-from salescope.plans.sql_twins import CLEAN_STEP_KEYS, FEEDBACK_CTES, STAR_CTES, clean_step_sql
-from salescope.operators import clean, feedback
-from salescope.sources.testdata import raw_feed_from_testdata, star_from_testdata
+from salescope.plans.sql_twins import (
+    CLEAN_STEP_KEYS,
+    FEED_STAR_CTES,
+    FEEDBACK_CTES,
+    RAW_CTE,
+    STAR_CTES,
+    STRICT_VERDICT_SQL,
+    clean_step_sql,
+)
+from salescope.sources.testdata import raw_feed_from_testdata, raw_feed_via_csv, star_from_testdata
 
 # Parameters used by the registered queries on the test tables
 # (the country and the product with most lines, a year with many invoices).
@@ -159,11 +173,6 @@ register("feedback_matrix", _MATRIX_SQL)(
 
 # --------------------------------------------------------------------------- star derivation and load L1-L11
 
-from salescope.operators import load as _load, star as _starops  # noqa: E402
-from salescope.functions import names as _names  # noqa: E402
-from salescope.plans import etl as _etl  # noqa: E402
-from salescope.plans.sql_twins import FEED_STAR_CTES  # noqa: E402
-from pyspark.sql import functions as _F  # noqa: E402
 
 _FS = "WITH " + FEED_STAR_CTES
 
@@ -232,7 +241,6 @@ FULL JOIN (
 # Strict, per-file all-or-nothing load into the existing tables: sequential by
 # definition; its SQL twin walks the files with a recursive CTE (and the tests
 # also check it against a file-by-file loop).
-from salescope.plans.sql_twins import STRICT_VERDICT_SQL  # noqa: E402
 
 register("load_strict_verdict", STRICT_VERDICT_SQL)(
     lambda spark, sf: _etl.run_etl(_raw(spark, sf), _star(spark, sf), mode="strict").verdict)
@@ -247,7 +255,6 @@ UNION ALL SELECT 'invoice_lines', count(*) FROM feed_lines""")(
 
 # --------------------------------------------------------------------------- integrity checks Q1-Q5
 
-from salescope.operators import lookup as _lookup, quality as _quality  # noqa: E402
 
 register("check_primary_keys", "WITH " + STAR_CTES + """
 SELECT 'countries' AS table_name, 'country' AS key_columns, CAST(sum(n) AS BIGINT) AS n_rows,
@@ -302,8 +309,6 @@ UNION ALL SELECT 'invoices', 'invoice_no', 2147483647,
 
 # --------------------------------------------------------------------------- scans S1-S7
 
-from salescope.sources.testdata import raw_feed_via_csv  # noqa: E402
-from salescope.plans.sql_twins import RAW_CTE  # noqa: E402
 
 _RAW_COLS = ["InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID",
              "Country"]
