@@ -31,9 +31,16 @@ def counts_from_flags(flags: DataFrame) -> DataFrame:
     )
 
 
-def feedback_counts(raw: DataFrame) -> DataFrame:
-    """per file, rows left after each step."""
-    return counts_from_flags(flagged(raw))
+def feedback_counts(raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """per file, rows left after each step.
+
+    ``files`` (a ``file_name`` column, e.g. from ``sources.csv_files.list_files``)
+    makes files without any data row appear too, with zero counts."""
+    counts = counts_from_flags(flagged(raw))
+    if files is None:
+        return counts
+    return (files.select("file_name").distinct().join(counts, "file_name", "left")
+            .select("file_name", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in COUNT_COLUMNS]))
 
 
 def with_removed(counts: DataFrame) -> DataFrame:

@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from salescope.operators import feedback, lookup
 from salescope.plans import dashboard, etl
 from salescope.plans.params import DashboardParams
-from salescope.sources.csv_files import read_invoice_csv
+from salescope.sources.csv_files import list_files, read_invoice_csv
 from salescope.star_schema import Star
 
 
 def upload_report(spark: SparkSession, paths: list[str], **csv_options) -> tuple[DataFrame, DataFrame]:
-    """(per-file counts with n_removed and pct_removed, report matrix)."""
-    counts = feedback.with_percent(feedback.feedback_counts(read_invoice_csv(spark, paths, **csv_options)))
+    """(per-file counts with n_removed and pct_removed, report matrix). Every input
+    file is listed, also one with no data row (its percent is NULL)."""
+    files = list_files(spark, paths, csv_options.get("recursive", False))
+    counts = feedback.with_percent(feedback.feedback_counts(read_invoice_csv(spark, paths, **csv_options), files))
     return counts, feedback.feedback_matrix(counts.drop("n_removed", "pct_removed"))
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import csv
 import io
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,18 @@ def _reader(spark: SparkSession, encoding: str, multi_line: bool, recursive: boo
             .option("mode", "PERMISSIVE"))
 
 
+def _as_read_path(uri: str) -> str:
+    """File paths in ``_metadata`` / binaryFile listings are URI strings (a space is
+    ``%20``); readers take plain paths."""
+    return unquote(uri)
+
+
+def file_name_of(c) -> "F.Column":
+    """Plain file name from a URI-encoded ``_metadata`` name ('a%20b.csv' -> 'a b.csv').
+    A literal '+' is protected first: form decoding would turn it into a blank."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def parse_header(line: str) -> list[str]:
     return next(csv.reader(io.StringIO(line)))
 
@@ -79,7 +92,7 @@ def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False
     # plan the reads); grouping by header happens there, not in one task.
     groups: dict[str, list[tuple[str, int]]] = {}
     for r in firsts.collect():
-        groups.setdefault(r["header"], []).append((r["path"], r["size"]))
+        groups.setdefault(r["header"], []).append((_as_read_path(r["path"]), r["size"]))
     return {h: sorted(files) for h, files in groups.items()}
 
 
@@ -87,7 +100,17 @@ def file_sizes(spark: SparkSession, paths: list[str], recursive: bool = False) -
     """(path, size) of every file, from a listing that does not read file contents."""
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
                .select("path", "length"))
-    return [(r["path"], r["length"]) for r in listing.collect()]
+    return [(_as_read_path(r["path"]), r["length"]) for r in listing.collect()]
+
+
+def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
+    """(file_name, file_path, file_size) of every input file, contents not read.
+
+    Lets per-file reports include files that hold no data row (a header only)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
+    return listing.select(file_name_of(F.col("_metadata.file_name")).alias("file_name"),
+                          F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("file_size"))
 
 
 _UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
@@ -104,7 +127,7 @@ def split_bytes(spark: SparkSession) -> int:
 def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive=False) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     df = _reader(spark, encoding, multi_line, recursive).schema(schema).csv(paths)
-    file_col = F.col("_metadata.file_name") if file_key == "name" else F.col("_metadata.file_path")
+    file_col = file_name_of(F.col("_metadata.file_name")) if file_key == "name" else F.col("_metadata.file_path")
     return df.select(
         file_col.alias("file_name"),
         F.struct(F.col("_metadata.file_block_start").alias("block_start"),

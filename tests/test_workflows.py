@@ -15,13 +15,15 @@ def test_upload_save_and_view(spark, scratch):
     write_csv(os.path.join(landing, "a.csv"), HEADER, rows)
     write_csv(os.path.join(landing, "b.csv"), HEADER, [dict(BASE, InvoiceNo="999001", Country="Spain",
                                                             CaseId="b1")])
+    write_csv(os.path.join(landing, "c.csv"), HEADER, [])          # header only
     paths = [os.path.join(landing, f) for f in ("a.csv", "b.csv")]
 
-    counts, matrix = workflows.upload_report(spark, paths)
+    counts, matrix = workflows.upload_report(spark, paths + [os.path.join(landing, "c.csv")])
     by_file = {r["file_name"]: r for r in counts.collect()}
+    assert by_file["c.csv"]["n_original"] == 0 and by_file["c.csv"]["pct_removed"] is None
     assert by_file["a.csv"]["n_original"] == len(rows)
     assert by_file["b.csv"]["n_total"] == 1 and by_file["b.csv"]["pct_removed"] == 0.0
-    assert set(matrix.columns) >= {"step", "a.csv", "b.csv"} and matrix.count() == 10
+    assert set(matrix.columns) >= {"step", "a.csv", "b.csv", "c.csv"} and matrix.count() == 10
 
     prefix = "wf" + uuid.uuid4().hex[:8]
     verdict = workflows.save_batch(spark, paths, os.path.join(scratch, "tables"), prefix, n_buckets=2,
@@ -45,3 +47,14 @@ def test_upload_save_and_view(spark, scratch):
                                     mode="strict")
     assert all(not r["invoices_accepted"] and not r["lines_accepted"] for r in verdict2.collect())
     assert workflows.stored_star(spark, os.path.join(scratch, "tables"), prefix).lines.count() == before
+
+
+def test_listed_names_match_reader_names(spark, scratch):
+    from salescope.operators import feedback
+    from salescope.sources.csv_files import list_files, read_invoice_csv
+
+    p = os.path.join(scratch, "my file é+1%.csv")
+    write_csv(p, HEADER, [dict(BASE, CaseId="1")])
+    files = list_files(spark, [p])
+    counts = feedback.feedback_counts(read_invoice_csv(spark, [p]), files).collect()
+    assert [(r["file_name"], r["n_original"]) for r in counts] == [("my file é+1%.csv", 1)]
