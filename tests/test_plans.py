@@ -73,3 +73,33 @@ def test_bucketed_star_joins_without_shuffle(spark, scratch):
     # the only exchange left is the small one on country
     exchanges = [line for line in p.splitlines() if "Exchange" in line and "hashpartitioning" in line]
     assert exchanges and all("country" in line for line in exchanges), exchanges
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _partial_before_exchange(plan: str, func: str) -> bool:
+    """True if a partial aggregate of ``func`` appears below (after, in the text) an Exchange."""
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            if any(f"partial_{func}" in below for below in lines[i + 1:i + 4]):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("key,func", [("clean_dedupe_first", "min"), ("feedback_counts", "min"),
+                                      ("star_products", "min"), ("star_invoices", "min"),
+                                      ("country_top10", "count"), ("product_top10", "count"),
+                                      ("country_top5_products_year", "count"),
+                                      ("product_top5_countries", "count")])
+def test_hot_keys_are_pre_aggregated_map_side(spark, key, func):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # the large-table shape
+    try:
+        plan = _physical(E.queries()[key](spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert _partial_before_exchange(plan, func), (key, plan[:3000])
+    assert "Window" not in plan, key
