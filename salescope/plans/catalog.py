@@ -63,12 +63,12 @@ def _star(spark, sf_dir):
 # --------------------------------------------------------------------------- rankings A1-A17
 
 _COUNTRY_RANK_SQL = STAR_SQL + """
-SELECT country, COUNT(country) AS sales
+SELECT country, COUNT(*) AS sales
 FROM invoices INNER JOIN lines ON invoices.invoice_no = lines.invoice_no
 {where}
 GROUP BY country ORDER BY sales {dir}, country {limit}
 """
-_YEAR_WHERE = "WHERE EXTRACT(YEAR FROM invoices.invoice_date) = {y} OR EXTRACT(YEAR FROM invoices.invoice_date) = {y}"
+_YEAR_WHERE = "WHERE EXTRACT(YEAR FROM invoices.invoice_date) = {y}"
 
 for _mode, _dir, _limit in (("top10", "DESC", "LIMIT 10"), ("all", "DESC", ""), ("flop10", "ASC", "LIMIT 10")):
     _m = {"top10": "top", "all": "all", "flop10": "flop"}[_mode]
