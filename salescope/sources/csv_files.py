@@ -58,7 +58,21 @@ def file_name_of(c) -> "F.Column":
 
 
 def parse_header(line: str) -> list[str]:
-    return next(csv.reader(io.StringIO(line)))
+    """Column names of a header line, made unique as the pandas reader does, left to
+    right against the names seen so far: an empty name becomes ``Unnamed: <position>``,
+    a repeat of ``A`` becomes ``A.1``, then ``A.2``, ... (``A.1.1`` if ``A.1`` was taken)."""
+    names = [n if n != "" else f"Unnamed: {i}" for i, n in enumerate(next(csv.reader(io.StringIO(line))))]
+    counts: dict[str, int] = {}
+    out = []
+    for name in names:
+        n = counts.get(name, 0)
+        while n > 0:
+            counts[name] = n + 1
+            name = f"{name}.{n}"
+            n = counts.get(name, 0)
+        counts[name] = n + 1
+        out.append(name)
+    return out
 
 
 def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False,
@@ -124,9 +138,15 @@ def split_bytes(spark: SparkSession) -> int:
     return int(float(num) * _UNITS[unit])
 
 
-def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive=False) -> DataFrame:
+def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive=False,
+                check_header=True) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    df = _reader(spark, encoding, multi_line, recursive).schema(schema).csv(paths)
+    reader = _reader(spark, encoding, multi_line, recursive)
+    if not check_header:
+        # names were made unique, so they differ from the file's header text; the
+        # probe already established the column order of every file in the group
+        reader = reader.option("enforceSchema", True)
+    df = reader.schema(schema).csv(paths)
     file_col = file_name_of(F.col("_metadata.file_name")) if file_key == "name" else F.col("_metadata.file_path")
     return df.select(
         file_col.alias("file_name"),
@@ -165,12 +185,12 @@ def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: s
     if uniform_header:
         listing = file_sizes(spark, paths, recursive)
         probe = _reader(spark, encoding, True).csv(listing[0][0])
-        groups = [(probe.columns, listing)]
+        groups = [(probe.columns, listing, True)]
     else:
-        groups = [(parse_header(h), files)
+        groups = [(parse_header(h), files, parse_header(h) == next(csv.reader(io.StringIO(h))))
                   for h, files in header_groups(spark, paths, recursive, encoding).items()]
-    parts = [_read_group(spark, ps, cols, encoding, ml, file_key)
-             for cols, files in groups for ml, ps in _by_mode(files, multi_line, limit).items()]
+    parts = [_read_group(spark, ps, cols, encoding, ml, file_key, check_header=plain)
+             for cols, files, plain in groups for ml, ps in _by_mode(files, multi_line, limit).items()]
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)

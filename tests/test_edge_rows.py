@@ -249,3 +249,20 @@ def test_non_ascii_header_names_bind(spark, scratch):
     raw = read_invoice_csv(spark, [p])
     row = raw.collect()[0]
     assert "Catégorie" in raw.columns and row["Catégorie"] == "Décor" and row["Country"] == "France"
+
+
+def test_duplicate_and_empty_header_names(spark, scratch):
+    from salescope.sources.csv_files import parse_header
+
+    assert parse_header("A,B,A,,A,A.1") == ["A", "B", "A.1", "Unnamed: 3", "A.2", "A.1.1"]
+    p = os.path.join(scratch, "dups.csv")
+    header = HEADER + ["Note", "Note", ""]
+    with open(p, "w", encoding="ISO-8859-1", newline="") as fh:
+        fh.write(",".join(header) + "\n")
+        vals = [BASE[h] if h in BASE else "" for h in HEADER]
+        vals[HEADER.index("CaseId")] = "d"
+        fh.write(",".join(vals + ["n1", "n2", "x"]) + "\n")
+    raw = read_invoice_csv(spark, [p])
+    row = raw.collect()[0]
+    assert row["Note"] == "n1" and row["Note.1"] == "n2" and row["Unnamed: 11"] == "x"
+    assert row["InvoiceNo"] == "536365"
