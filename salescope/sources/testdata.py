@@ -9,6 +9,8 @@ files, so Catalyst prunes columns and pushes filters into the scans.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,21 @@ from salescope.star_schema import Star
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
+_SCHEMAS: dict[tuple, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One test table. The schema inferred from a local file's footer is remembered
+    per (path, mtime, size), so later reads skip the small inference job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        st = os.stat(path)
+        key = (path, st.st_mtime_ns, st.st_size)
+    except OSError:
+        return spark.read.parquet(path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def invoices_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
