@@ -32,6 +32,15 @@ from salescope.functions.coercion import NA_TOKENS, null_tokens_to_null
 
 SOURCE_ENCODING = "ISO-8859-1"
 
+# The columns of an invoice file.
+INVOICE_COLUMNS = ("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice",
+                   "CustomerID", "Country")
+EMPTY_RAW_SCHEMA = T.StructType(
+    [T.StructField("file_name", T.StringType()),
+     T.StructField("row_pos", T.StructType([T.StructField("block_start", T.LongType()),
+                                            T.StructField("row_id", T.LongType())]))]
+    + [T.StructField(c, T.StringType()) for c in INVOICE_COLUMNS])
+
 
 def _reader(spark: SparkSession, encoding: str, multi_line: bool, recursive: bool = False):
     return (spark.read
@@ -120,7 +129,8 @@ def file_sizes(spark: SparkSession, paths: list[str], recursive: bool = False) -
 def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
     """(file_name, file_path, file_size) of every input file, contents not read.
 
-    Lets per-file reports include files that hold no data row (a header only)."""
+    Lets per-file reports include files that hold no data row (a header only).
+    Zero-byte files are skipped by Spark's file scans and are not listed."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
     return listing.select(file_name_of(F.col("_metadata.file_name")).alias("file_name"),
@@ -184,13 +194,18 @@ def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: s
     # Both branches end with a list of individual files (no directory recursion needed below).
     if uniform_header:
         listing = file_sizes(spark, paths, recursive)
-        probe = _reader(spark, encoding, True).csv(listing[0][0])
-        groups = [(probe.columns, listing, True)]
+        groups = []
+        if listing:
+            probe = _reader(spark, encoding, True).csv(listing[0][0])
+            groups = [(probe.columns, listing, True)]
     else:
         groups = [(parse_header(h), files, parse_header(h) == next(csv.reader(io.StringIO(h))))
                   for h, files in header_groups(spark, paths, recursive, encoding).items()]
     parts = [_read_group(spark, ps, cols, encoding, ml, file_key, check_header=plain)
              for cols, files, plain in groups for ml, ps in _by_mode(files, multi_line, limit).items()]
+    if not parts:
+        # no file with a header line (e.g. only empty files): an empty raw frame
+        return spark.createDataFrame([], EMPTY_RAW_SCHEMA)
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)

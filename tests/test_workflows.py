@@ -58,3 +58,17 @@ def test_listed_names_match_reader_names(spark, scratch):
     files = list_files(spark, [p])
     counts = feedback.feedback_counts(read_invoice_csv(spark, [p]), files).collect()
     assert [(r["file_name"], r["n_original"]) for r in counts] == [("my file é+1%.csv", 1)]
+
+
+def test_only_empty_files(spark, scratch):
+    from salescope.operators import feedback
+    from salescope.sources.csv_files import list_files, read_invoice_csv
+
+    p = os.path.join(scratch, "empty.csv")
+    open(p, "w").close()
+    raw = read_invoice_csv(spark, [p])
+    assert raw.count() == 0
+    # Spark's file scans skip zero-byte files, so such a file is not listed (a file
+    # with a header line and no rows is: see test_upload_save_and_view)
+    counts = feedback.feedback_counts(raw, list_files(spark, [p])).collect()
+    assert counts == []
