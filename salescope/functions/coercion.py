@@ -42,6 +42,7 @@ NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # with or without a leading zero) and the range of a nanosecond timestamp,
 # cut to whole minutes.
 INVOICE_TS_FORMAT = "M/d/yyyy H:m"
+INVOICE_TS_TEXT = r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{1,2}$"
 TS_MIN = "1677-09-21 00:13:00"
 TS_MAX = "2262-04-11 23:47:00"
 
@@ -56,7 +57,16 @@ def to_number(c: Column) -> Column:
 
 
 def parse_invoice_timestamp(c: Column) -> Column:
-    """Text -> TIMESTAMP_NTZ with format ``M/d/yyyy H:m``; invalid or out of range -> NULL."""
-    ts = F.try_to_timestamp(c, F.lit(INVOICE_TS_FORMAT)).cast("timestamp_ntz")
+    """Text -> TIMESTAMP_NTZ with format ``M/d/yyyy H:m``; invalid or out of range -> NULL.
+
+    The text must match the format exactly (month, day, hour and minute with one
+    or two digits, a four-digit year); the parts are then assembled with
+    ``try_make_timestamp_ntz``, which gives NULL for impossible values (month 13,
+    30 February, hour 24). No time zone takes part, so the result does not
+    depend on the session time zone.
+    """
+    parts = F.split(c, "[/ :]")
+    part = lambda i: parts.getItem(i).try_cast("int")
+    ts = F.try_make_timestamp_ntz(part(2), part(0), part(1), part(3), part(4), F.lit(0))
     in_range = ts.between(F.lit(TS_MIN).cast("timestamp_ntz"), F.lit(TS_MAX).cast("timestamp_ntz"))
-    return F.when(in_range, ts)
+    return F.when(c.rlike(INVOICE_TS_TEXT) & in_range, ts)

@@ -61,3 +61,13 @@ def test_name_normalisation(spark):
     vals = ['e "', "NAME\xa0", "NAME\x85", "NAME\x1c", "NAME \t", '1/2" BOLT', "A/B", " LEAD"]
     assert _apply(spark, vals, normalise_product_name) == ["e ", "NAME", "NAME", "NAME", "NAME", "12 BOLT",
                                                            "AB", " LEAD"]
+
+
+def test_dates_do_not_depend_on_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = _apply(spark, ["3/13/2011 2:30", "11/6/2011 1:30"], parse_invoice_timestamp)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2011, 3, 13, 2, 30), dt.datetime(2011, 11, 6, 1, 30)]
