@@ -72,3 +72,25 @@ def test_only_empty_files(spark, scratch):
     # with a header line and no rows is: see test_upload_save_and_view)
     counts = feedback.feedback_counts(raw, list_files(spark, [p])).collect()
     assert counts == []
+
+
+def test_command_line(spark, scratch):
+    from salescope.__main__ import main
+
+    landing = os.path.join(scratch, "in")
+    os.makedirs(landing)
+    rows = [r for _, r, _ in CASES]
+    write_csv(os.path.join(landing, "a.csv"), HEADER, rows)
+    out = os.path.join(scratch, "out")
+    assert main(["report", "--out", out, os.path.join(landing, "a.csv")]) == 0
+    assert spark.read.parquet(f"{out}/feedback").count() == 1
+    # the save runs in the catalog of this session, so the views can read the tables
+    tables = os.path.join(scratch, "tables")
+    prefix = "cli" + uuid.uuid4().hex[:6]
+    assert main(["save", "--tables", tables, "--prefix", prefix, "--buckets", "2",
+                 os.path.join(landing, "a.csv")]) == 0
+    assert main(["countries", "--tables", tables, "--prefix", prefix, "--country", "France",
+                 "--out", out]) == 0
+    got = {r["label"]: r["sales"] for r in spark.read.parquet(f"{out}/countries").collect()
+           if r["panel"] == "ranking"}
+    assert got["France"] > 0
