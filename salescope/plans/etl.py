@@ -49,6 +49,11 @@ class EtlResult:
 
 def run_etl(raw: DataFrame, old: Star | None = None, mode: str = "insert_new",
             materialise: bool = True) -> EtlResult:
+    """Clean ``raw``, report on it, and load it into ``old`` (an empty star by default).
+
+    ``mode`` is ``insert_new`` or ``strict`` (see ``operators.load``). The
+    result holds the feedback counts, the loaded star, the per-file verdict,
+    and the new rows of the append-only tables (what a sink appends)."""
     spark = raw.sparkSession
     old = old or empty_star(spark)
     flags = clean.flagged(raw)
