@@ -266,3 +266,18 @@ def test_duplicate_and_empty_header_names(spark, scratch):
     row = raw.collect()[0]
     assert row["Note"] == "n1" and row["Note.1"] == "n2" and row["Unnamed: 11"] == "x"
     assert row["InvoiceNo"] == "536365"
+
+
+def test_uniform_header_still_checks_each_header(spark, scratch):
+    a = os.path.join(scratch, "u1.csv")
+    b = os.path.join(scratch, "u2.csv")
+    write_csv(a, HEADER, [dict(BASE, CaseId="a")])
+    shuffled = ["Country", "CaseId", "InvoiceDate", "StockCode", "UnitPrice", "Description", "CustomerID",
+                "Quantity", "InvoiceNo"]
+    write_csv(b, shuffled, [dict(BASE, CaseId="b")])
+    with pytest.raises(Exception) as err:
+        read_invoice_csv(spark, [a, b], uniform_header=True).collect()
+    assert "header" in str(err.value).lower() or "schema" in str(err.value).lower()
+    # the default (header binding by name) reads both correctly
+    got = {r["CaseId"]: r["InvoiceNo"] for r in read_invoice_csv(spark, [a, b]).collect()}
+    assert got == {"a": "536365", "b": "536365"}
