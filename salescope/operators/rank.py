@@ -18,7 +18,16 @@ from typing import Literal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescope.star_schema import COUNTRY, INVOICE_DATE, INVOICE_NO, PRODUCT_CODE, PRODUCT_NAME, SALES, Star
+from salescope.star_schema import (
+    COUNTRY,
+    INVOICE_DATE,
+    INVOICE_NO,
+    INVOICE_YEAR,
+    PRODUCT_CODE,
+    PRODUCT_NAME,
+    SALES,
+    Star,
+)
 
 Mode = Literal["top", "all", "flop"]
 
@@ -39,6 +48,9 @@ def _invoices(star: Star, year: int | None, country: str | None = None) -> DataF
     inv = star.invoices
     if year is not None:
         inv = inv.filter(year_range(year))
+        if INVOICE_YEAR in inv.columns:
+            # stored invoices partitioned by year: prune to the one partition
+            inv = inv.filter(F.col(INVOICE_YEAR) == F.lit(int(year)))
     if country is not None:
         inv = inv.filter(F.col(COUNTRY) == F.lit(country))
     return inv

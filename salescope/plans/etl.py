@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from salescope.operators import clean, feedback, load, star
 from salescope.session import ensure_checkpoint_dir
-from salescope.star_schema import Star
+from salescope.star_schema import INVOICE_YEAR, Star
 
 STAR_SCHEMAS = {
     "countries": T.StructType([T.StructField("country", T.StringType())]),
@@ -95,13 +95,16 @@ def table_counts(s: Star) -> DataFrame:
 
 def write_star(s: Star, path: str, mode: str = "overwrite") -> None:
     """Store the star as plain Parquet, invoices and lines clustered by invoice number
-    (file min/max statistics then prune by invoice range). Lines are range-partitioned
+    (file min/max statistics then prune by invoice range); invoices are also
+    partitioned by year (column ``invoice_year``). Lines are range-partitioned
     on (invoice, product), so an invoice with a huge number of lines is spread over
     several write tasks instead of one."""
     s.countries.write.mode(mode).parquet(f"{path}/countries")
     s.products.write.mode(mode).parquet(f"{path}/products")
-    s.invoices.repartitionByRange("invoice_no").sortWithinPartitions("invoice_no").write.mode(mode).parquet(
-        f"{path}/invoices")
+    # Invoices are partitioned by year: a year filter then skips the other years' files.
+    (s.invoices.withColumn(INVOICE_YEAR, F.year("invoice_date"))
+     .repartitionByRange(INVOICE_YEAR, "invoice_no").sortWithinPartitions("invoice_no")
+     .write.mode(mode).partitionBy(INVOICE_YEAR).parquet(f"{path}/invoices"))
     (s.lines.repartitionByRange("invoice_no", "product_code").sortWithinPartitions("invoice_no", "product_code")
      .write.mode(mode).parquet(f"{path}/lines"))
 

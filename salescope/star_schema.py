@@ -13,6 +13,8 @@ PRODUCT_NAME = "product_name"
 INVOICE_NO = "invoice_no"
 INVOICE_DATE = "invoice_date"
 SALES = "sales"
+# Optional partition column of stored invoices (year of invoice_date).
+INVOICE_YEAR = "invoice_year"
 
 # Declared widths of the source model's character columns and the integer range
 # of the invoice number column (fixed values of the source schema).
