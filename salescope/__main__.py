@@ -29,26 +29,28 @@ def _emit(df, out: str | None, name: str) -> None:
 
 
 def main(argv: list[str] | None = None) -> int:
-    ap = argparse.ArgumentParser(prog="salescope")
+    ap = argparse.ArgumentParser(prog="salescope", description=__doc__,
+                                 formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = ap.add_subparsers(dest="cmd", required=True)
-    rep = sub.add_parser("report")
-    rep.add_argument("--out")
-    rep.add_argument("files", nargs="+")
-    sav = sub.add_parser("save")
-    sav.add_argument("--tables", required=True)
-    sav.add_argument("--prefix", required=True)
-    sav.add_argument("--mode", choices=["insert_new", "strict"], default="insert_new")
-    sav.add_argument("--buckets", type=int, default=64)
-    sav.add_argument("files", nargs="+")
+    rep = sub.add_parser("report", help="per-file cleaning report")
+    rep.add_argument("--out", help="write feedback and feedback_matrix as Parquet below this folder")
+    rep.add_argument("files", nargs="+", help="CSV files, folders or globs")
+    sav = sub.add_parser("save", help="load files into the stored star tables")
+    sav.add_argument("--tables", required=True, help="folder of the star tables")
+    sav.add_argument("--prefix", required=True, help="table name prefix in the catalog")
+    sav.add_argument("--mode", choices=["insert_new", "strict"], default="insert_new",
+                     help="strict: a clash rejects the file's whole batch")
+    sav.add_argument("--buckets", type=int, default=64, help="buckets for invoices and lines")
+    sav.add_argument("files", nargs="+", help="CSV files, folders or globs")
     for name in ("countries", "products"):
-        p = sub.add_parser(name)
-        p.add_argument("--tables", required=True)
-        p.add_argument("--prefix", required=True)
+        p = sub.add_parser(name, help=f"{name} ranking with its drill-down")
+        p.add_argument("--tables", required=True, help="folder of the star tables")
+        p.add_argument("--prefix", required=True, help="table name prefix in the catalog")
         p.add_argument("--rank", choices=["top", "all", "flop"], default="top")
-        p.add_argument("--year", type=int)
-        p.add_argument("--country", default=DashboardParams().country)
-        p.add_argument("--product", default=DashboardParams().product_code)
-        p.add_argument("--out")
+        p.add_argument("--year", type=int, help="one year (default: all years)")
+        p.add_argument("--country", default=DashboardParams().country, help="country for the drill-down")
+        p.add_argument("--product", default=DashboardParams().product_code, help="product code for the drill-down")
+        p.add_argument("--out", help="write the view as Parquet below this folder")
     args = ap.parse_args(argv)
 
     spark = build_session(app_name=f"salescope-{args.cmd}")
