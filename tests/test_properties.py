@@ -49,3 +49,43 @@ def test_one_pass_equals_literal_chain(spark, rows):
     a = clean.clean(raw).select(*cols)
     b = clean.run_steps(raw).select(*cols)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+CLEAN_SCHEMA = T.StructType([
+    T.StructField("file_name", T.StringType()), T.StructField("row_pos", T.LongType()),
+    T.StructField("invoice_no", T.DoubleType()), T.StructField("product_code", T.StringType()),
+    T.StructField("product_name", T.StringType()), T.StructField("invoice_date", T.TimestampNTZType()),
+    T.StructField("country", T.StringType())])
+
+clean_row = st.tuples(st.sampled_from(["f1.csv", "f2.csv", "f3.csv"]), st.sampled_from([1.0, 2.0, 3.0, 2.5]),
+                      st.sampled_from(["A", "B", "M"]), st.sampled_from(["n1", "n2 ", 'n"3/', "n4"]),
+                      st.sampled_from([0, 1, 2]), st.sampled_from(["FR", "ES"]))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(clean_row, min_size=1, max_size=30))
+def test_star_picks_match_their_definition(spark, rows):
+    import datetime as dt
+
+    from salescope.operators import star
+
+    base = dt.datetime(2011, 1, 1)
+    data = [(f, i, inv, code, name, base + dt.timedelta(days=d), c)
+            for i, (f, inv, code, name, d, c) in enumerate(rows)]
+    df = spark.createDataFrame(data, CLEAN_SCHEMA)
+    # products: per code, the first row (by position) of the last file (by name) that has it
+    want_p = {}
+    for code in {r[3] for r in data}:
+        rs = [r for r in data if r[3] == code]
+        last = max(r[0] for r in rs)
+        first = min((r for r in rs if r[0] == last), key=lambda r: r[1])
+        want_p[code] = first[4].rstrip().replace('"', "").replace("/", "")
+    got_p = {r["product_code"]: r["product_name"] for r in star.star_products(df).collect()}
+    assert got_p == want_p
+    # invoices: per whole invoice number, the first row by (file name, position)
+    want_i = {}
+    for inv in {r[2] for r in data if r[2] == int(r[2])}:
+        first = min((r for r in data if r[2] == inv), key=lambda r: (r[0], r[1]))
+        want_i[int(inv)] = (first[5].date(), first[6])
+    got_i = {r["invoice_no"]: (r["invoice_date"], r["country"]) for r in star.star_invoices(df).collect()}
+    assert got_i == want_i
