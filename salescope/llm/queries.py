@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from salescope.llm import chat, exact_dedup, mixing, url_filter
+from salescope.llm import chat, exact_dedup, jaccard_join, mixing, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 
