@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salescope.llm import chat, exact_dedup, jaccard_join, mixing, toxicity, url_filter
+from salescope.llm import chat, decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op9_url_filter": url_filter.op9_url_filter,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 ORACLE = {

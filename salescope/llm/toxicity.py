@@ -1,6 +1,7 @@
 """Operator 4: a counterfactual-regularised toxicity classifier.
 
-A sparse logistic model over the distinct words of a text, hashed to 2^BITS features. It is
+A sparse logistic model over the distinct words of a text and their beginnings (3 to 5
+letters, for compounds and inflected forms), hashed to 2^BITS features. It is
 fitted on a bounded sample of labelled rows (``sample``: the rows with the smallest hash of
 doc_id). For each training text that names a group, a copy with the identity terms swapped
 for another group's is made, and the squared change of the score's argument is penalised: the
@@ -30,6 +31,7 @@ ship(__name__)
 BITS = 18
 SAMPLE = 8000
 THRESHOLD = 0.7
+STEMS = (3, 4, 5)
 TOKEN = re.compile(r"[^\W_]+")
 #: Identity terms that may stand for each other.
 IDENTITY = (
@@ -49,7 +51,9 @@ def bucket(word: str) -> int:
 
 
 def features(text: str) -> list[int]:
-    return sorted({bucket(w) for w in set(TOKEN.findall(text.lower()))})
+    found = set(TOKEN.findall(text.lower()))
+    starts = {"^" + w[:k] for w in found for k in STEMS if len(w) > k}
+    return sorted(set(map(bucket, found)) | set(map(bucket, starts)))
 
 
 def swap_identities(found: list[int], identity=IDENTITY) -> list[int]:
@@ -136,7 +140,7 @@ def toxicity(docs: DataFrame, model: tuple[dict, float] | None) -> Column:
 
     def score(texts: pd.Series) -> pd.Series:
         get = weights.get
-        total = [bias + sum(get(i, 0.0) for i in {bucket(w) for w in set(TOKEN.findall(t.lower()))}) for t in texts]
+        total = [bias + sum(get(i, 0.0) for i in features(t)) for t in texts]
         return pd.Series(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
     return F.pandas_udf(score, "double")(text_of(docs))
