@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salescope.llm import chat, decontamination, exact_dedup, jaccard_join, mixing, substring_dedup, toxicity, url_filter
+from salescope.llm import chat, decontamination, exact_dedup, jaccard_join, lm_score, mixing, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_lm_score": lm_score.op7_lm_score,
+    "op8_warc": warc.op8_warc,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
@@ -18,5 +20,6 @@ QUERIES = {
 ORACLE = {
     "op1_chat_formatting": chat.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
 }
