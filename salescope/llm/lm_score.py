@@ -33,8 +33,8 @@ from salescope.llm.common import ascii_lower, attach, crc_mod, ship, stored, tab
 
 ship(__name__)
 
-DEPTH = 4
-CONTEXTS = 8192
+DEPTH = 5
+CONTEXTS = 32768
 END = 255
 #: Bytes that are counted or scored together in a task.
 CHUNK = 1 << 20
