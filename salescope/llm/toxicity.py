@@ -82,11 +82,16 @@ class Rows:
         return np.bincount(self.at, g[self.row], size)
 
 
-def fit(rows: list, labels: np.ndarray, penalty: float = 1.0, l1: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias, by accelerated proximal gradient."""
-    size = 1 << BITS
+def fit(rows: list, labels: np.ndarray, penalty: float = 1.0, l1: float = 1e-3, steps: int = 300, seen: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias, by accelerated proximal gradient, over features that ``seen`` rows have at least."""
     # a penalised swap changes a score only through the identity features
     turned = [(r, s) for r in rows if (s := swap_identities(r)) != list(r)]
+    often = np.bincount(np.concatenate([*rows, np.empty(0, int)]).astype(int), minlength=1 << BITS) >= seen
+    often[[f for r, s in turned for f in set(r) ^ set(s)]] = True
+    used, size = np.flatnonzero(often), int(often.sum())
+    number = np.cumsum(often) - 1
+    compact = lambda r: number[np.asarray(r, int)[often[np.asarray(r, int)]]]
+    rows, turned = [compact(r) for r in rows], [(compact(a), compact(b)) for a, b in turned]
     x, one, two = Rows(rows), Rows([a for a, _ in turned]), Rows([b for _, b in turned])
     y = labels.astype(float)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
@@ -113,7 +118,9 @@ def fit(rows: list, labels: np.ndarray, penalty: float = 1.0, l1: float = 1e-3,
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = new + (t - 1) / later * (new - w), new_b + (t - 1) / later * (new_b - b)
         w, b, t = new, new_b, later
-    return w, float(b)
+    whole = np.zeros(1 << BITS)
+    whole[used] = w
+    return whole, float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> tuple[dict, float] | None:
