@@ -5,7 +5,9 @@
    one band or in neighbouring ones, and differ in at most d = (100 - percent)(a + b) / (100 + percent) shingles. In the scheme of
    a band (its sets and the next band's) the hash space is cut into d + 1 parts; a part's
    key is the XOR of the set's hashes in it. At most d parts can differ, so at least one key is
-   equal (pigeonhole). A key of an empty part says little and is refined by a second and third cut.
+   equal (pigeonhole). Keys of empty parts would say little: there are some more parts, so that
+   the equal ones outnumber the empty ones; a set with more empty parts than that is cut anew by
+   another hash (its partner finds it by a filled part, or is cut anew as well).
 3. Candidates are filtered by 512-bit parity sketches: a bit is the parity of the shingles
    that fall on it, so the Hamming distance never exceeds the symmetric difference.
 4. The rest is verified on the whole sets.
@@ -24,8 +26,9 @@ unless all are null; an empty table gives an empty result; other columns are ign
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,9 @@ ship(__name__)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TO_LOWER = str.maketrans(UPPER, LOWER)
-LEVELS = 3
+LEVELS = 4
+#: Share of sets that may have more empty parts than their scheme allows for.
+RARE = 1e-5
 SKETCH_LONGS = 8
 #: Rows of one Arrow batch that leave a Python task.
 OUT_ROWS = 256
@@ -84,18 +89,41 @@ def most_apart(percent: int, end: int) -> int:
     return (100 - percent) * (end + end * 100 // percent) // (100 + percent)
 
 
-def part_keys(hashes: np.ndarray, scheme: int, parts: int, level: int = 0, salt: int = 0) -> list[np.ndarray]:
-    """XOR key of each part; keys of empty parts are refined."""
+@cache
+def parts_of(percent: int, low: int, end: int) -> tuple[int, int]:
+    """Number of parts, and of them the empty ones that a set with ``low`` elements may have.
+
+    With apart + 1 + spare parts at least spare + 1 are equal in a link, so with ``spare`` empty
+    parts at most one filled part is equal.
+    """
+    apart = most_apart(percent, end)
+    best = (2.0, 0)
+    for spare in range(apart + 4):
+        m = apart + 1 + spare
+        mean = m * math.exp(-low / m)
+        # Poisson tail: more than ``spare`` empty parts
+        term = total = math.exp(-mean)
+        for k in range(1, spare + 1):
+            term *= mean / k
+            total += term
+        best = min(best, (1 - total, spare))
+        if 1 - total < RARE:
+            break
+    return apart + 1 + best[1], best[1]
+
+
+def part_keys(hashes: np.ndarray, scheme: int, parts: int, spare: int, level: int = 0) -> list[np.ndarray]:
+    """XOR key of each filled part; a set with too many empty parts is cut anew, and after LEVELS cuts has one key with its like."""
     at = ((mixed(hashes, 101 + level) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    filled, first = np.unique(at[order], return_index=True)
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     xor = np.bitwise_xor.reduceat(hashes[order], first)
-    place = np.uint64(salt) + mixed(filled.astype(np.uint64) + np.uint64(scheme << 32), 7 + level)
+    place = mixed(at[first].astype(np.uint64) + np.uint64(scheme << 32), 7 + level)
     keys = [mixed(xor + place, 3)]
-    if len(filled) < parts:
-        for p in np.setdiff1d(np.arange(parts), filled):
-            own = int(mixed(np.array([p + (scheme << 32)], np.uint64) + np.uint64(salt), 50 + level)[0])
-            keys += part_keys(hashes, scheme, parts, level + 1, own) if level + 1 < LEVELS else [np.array([own], np.uint64)]
+    if parts - len(first) > spare:
+        last = level + 1 == LEVELS
+        keys += [mixed(np.array([scheme], np.uint64), 50)] if last else part_keys(hashes, scheme, parts, spare, level + 1)
     return keys
 
 
@@ -104,9 +132,9 @@ def all_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
     band = len(ends) - 1
     keys = []
     for scheme in {band, max(0, band - 1)}:
-        apart = most_apart(percent, ends[scheme])
-        if apart:
-            keys += part_keys(hashes, scheme, apart + 1)
+        if most_apart(percent, ends[scheme]):
+            low = ends[scheme - 1] + 1 if scheme else 1
+            keys += part_keys(hashes, scheme, *parts_of(percent, low, ends[scheme]))
     return np.unique(np.concatenate(keys)) if keys else np.empty(0, np.uint64)
 
 
@@ -116,7 +144,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node, sketch, keys."""
+    """Per row: doc_id, n_shingles, node, sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches):
@@ -129,11 +157,26 @@ def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([node_of(s) for s in sets], pa.int64()),
                     pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
-                    pa.array([all_keys(s, percent).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                ], ["doc_id", "n_shingles", "node", "sketch", "keys"])
+                ], ["doc_id", "n_shingles", "node", "sketch"])
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node long, sketch array<long>, keys array<long>")
+    return rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node long, sketch array<long>")
+
+
+def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, node) of all rows."""
+
+    def emit(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, OUT_ROWS):
+                keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for t in batch.column(0).slice(lo, OUT_ROWS).to_pylist():
+                    if len(s := shingles(t, width)):
+                        keys.append(all_keys(s, percent).view(np.int64))
+                        nodes.append(np.full(len(keys[-1]), node_of(s)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+    return docs.select(text_of(docs).alias("text")).mapInArrow(emit, "key long, node long")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -215,13 +258,12 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     facts = rows.groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(facts, "jaccard-nodes")
-    # keys of several nodes; of equal sets only the first row's keys count
-    keys = rows.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("members"))
-    total = keys.count()
-    shared = shared.filter("lo <> hi").select("key", "members")
-    members = attach(keys, shared, "key", "members", F.lit(total)).filter("members is not null").distinct()
-    members = stored(members, "jaccard-members")
+    # only keys that occur twice are shuffled with their nodes; equal sets then count once
+    keys = _keys(docs, width, percent)
+    shared = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "jaccard-shared")
+    members = stored(keys.join(shared.hint("merge"), "key", "left_semi").distinct(), "jaccard-nodes-of-keys")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = stored(members.join(sizes, "key"), "jaccard-members")
     popular = members.groupBy("node").agg(F.sum("members").alias("popular"))
     members = stored(members.join(popular, "node").select("key", "node", "popular"), "jaccard-popular")
 

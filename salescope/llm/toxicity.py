@@ -29,7 +29,7 @@ from salescope.llm.common import crc_mod, ship, stored, table, text_of
 ship(__name__)
 
 BITS = 18
-SAMPLE = 8000
+SAMPLE = 4000
 THRESHOLD = 0.7
 STEMS = (3, 4, 5)
 TOKEN = re.compile(r"[^\W_]+")
@@ -72,8 +72,8 @@ class Rows:
 
     def __init__(self, rows: list):
         self.n = len(rows)
-        self.at = np.concatenate([np.asarray(r, np.int64) for r in rows] + [np.empty(0, np.int64)])
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.at = np.concatenate([np.asarray(r, np.int32) for r in rows] + [np.empty(0, np.int32)])
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(r) for r in rows])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at], self.n)
@@ -86,11 +86,14 @@ def fit(rows: list, labels: np.ndarray, penalty: float = 1.0, l1: float = 1e-3,
     """Weights and bias, by accelerated proximal gradient, over features that ``seen`` rows have at least."""
     # a penalised swap changes a score only through the identity features
     turned = [(r, s) for r in rows if (s := swap_identities(r)) != list(r)]
-    often = np.bincount(np.concatenate([*rows, np.empty(0, int)]).astype(int), minlength=1 << BITS) >= seen
+    often = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        often[r] += 1
+    often = often >= seen
     often[[f for r, s in turned for f in set(r) ^ set(s)]] = True
     used, size = np.flatnonzero(often), int(often.sum())
     number = np.cumsum(often) - 1
-    compact = lambda r: number[np.asarray(r, int)[often[np.asarray(r, int)]]]
+    compact = lambda r: number[np.asarray(r, np.int32)[often[np.asarray(r, np.int32)]]].astype(np.int32)
     rows, turned = [compact(r) for r in rows], [(compact(a), compact(b)) for a, b in turned]
     x, one, two = Rows(rows), Rows([a for a, _ in turned]), Rows([b for _, b in turned])
     y = labels.astype(float)
@@ -135,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     labels = rows["toxic"].to_numpy(int)
     if not 0 < labels.sum() < len(labels):
         return None
-    w, b = fit([np.asarray(f, np.int64) for f in rows["f"]], labels)
+    w, b = fit([np.asarray(f, np.int32) for f in rows["f"]], labels)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}, b
 
 
