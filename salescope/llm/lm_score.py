@@ -113,7 +113,7 @@ def bit_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Zeros and ones of the 255 bit nodes (heap order) from 256 byte counts per row."""
     zero, one = np.zeros((len(byte_counts), 255)), np.zeros((len(byte_counts), 255))
     for level in range(8):
-        sums = byte_counts.reshape(len(byte_counts), 2 << level, -1).sum(axis=2)
+        sums = byte_counts.reshape(len(byte_counts), 2 << level, 128 >> level).sum(axis=2)
         zero[:, (1 << level) - 1 : (2 << level) - 1] = sums[:, 0::2]
         one[:, (1 << level) - 1 : (2 << level) - 1] = sums[:, 1::2]
     return zero, one
