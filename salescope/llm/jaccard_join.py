@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm.common import UPPER, LOWER, attach, ship, stored, table, text_of
+from salescope.llm.common import UPPER, LOWER, attach, broadcast_if_small, ship, stored, table, text_of
 
 ship(__name__)
 
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                     [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"]
                 )
 
-    ids = reps.select("rep").distinct()
+    ids = broadcast_if_small(stored(reps.select("rep").distinct(), "jaccard-reps"))
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     return texts.select("text").mapInArrow(build, "node long, set binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -303,9 +303,11 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 def keep_one_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` that stay: of each component those with the smallest doc_id; empty sets stay."""
-    found = stored(similar_components(docs, width, percent), "jaccard-found")
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    found = similar_components(docs, width, percent)
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = found.groupBy("doc_id").agg(stays.alias("stays")).filter("not stays").select(F.col("doc_id").alias("_gone"))
+    gone = broadcast_if_small(stored(gone, "jaccard-gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
