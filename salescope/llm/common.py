@@ -31,6 +31,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` narrow rows; a larger one is shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+
+
 def ship(module: str) -> None:
     """Send the Python functions of ``module`` to executors by value, which may not have the package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])

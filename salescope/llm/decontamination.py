@@ -7,7 +7,7 @@ are compared word by word, and at least ``equal`` of the SPAN words must be the
 substituted word always leaves one mask untouched; several do when they fall on
 one mask's ignored words or leave some window of the passage clean.
 
-The benchmark's hashes are broadcast only if there are at most BROADCAST_ROWS; a larger
+The benchmark's hashes and the ids of hit documents are broadcast only if there are at most BROADCAST_ROWS; a larger
 table is joined by shuffle.
 
 Defined cases: an item with fewer than SPAN words is one window of its own length, without
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm.common import ascii_lower, stored, table, text_of, words
+from salescope.llm.common import ascii_lower, broadcast_if_small, stored, table, text_of, words
 
 SPAN, EQUAL = 12, 10
 #: Words that each mask selects.
@@ -62,13 +62,13 @@ def leaks(docs: DataFrame, items: DataFrame, equal: int = EQUAL) -> DataFrame:
     windows = tests.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     windows = windows.select("item_id", "words", F.explode(own).alias("s"))
     windows = stored(windows.select("item_id", "s.h", "s.length", F.slice("words", F.col("s.pos") + 1, F.col("s.length")).alias("theirs")), "leak-windows")
-    wanted = stored(windows.select("h").distinct(), "leak-hashes")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = broadcast_if_small(stored(windows.select("h").distinct(), "leak-hashes"), BROADCAST_ROWS)
     texts = docs.select("doc_id", words(ascii_lower(text_of(docs))).alias("words"))
     hits = _exploded(texts, "doc_id", lengths).join(wanted, "h", "left_semi")
     # a document's hits are at most its own windows
     hits = stored(hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("h", "pos", "length")).alias("hits")), "leak-hits")
+    ids = broadcast_if_small(hits.select("_doc"), BROADCAST_ROWS)
+    texts = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_doc")), "left_semi")
     around = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).select(
         "doc_id",
         F.explode(F.transform("hits", lambda x: F.struct(
@@ -87,7 +87,8 @@ def leaks(docs: DataFrame, items: DataFrame, equal: int = EQUAL) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of ``docs`` that share no window with an item."""
-    found = leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
+    found = stored(leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct(), "leak-ids")
+    found = broadcast_if_small(found, BROADCAST_ROWS)
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_leak"]), "left_anti")
 
 
