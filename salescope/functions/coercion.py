@@ -66,7 +66,7 @@ def parse_invoice_timestamp(c: Column) -> Column:
     depend on the session time zone.
     """
     parts = F.split(c, "[/ :]")
-    part = lambda i: parts.getItem(i).try_cast("int")
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("int")
     ts = F.try_make_timestamp_ntz(part(2), part(0), part(1), part(3), part(4), F.lit(0))
     in_range = ts.between(F.lit(TS_MIN).cast("timestamp_ntz"), F.lit(TS_MAX).cast("timestamp_ntz"))
     return F.when(c.rlike(INVOICE_TS_TEXT) & in_range, ts)

@@ -33,7 +33,8 @@ def test_parse_invoice_timestamp(spark):
     ok = {"12/1/2010 8:26": dt.datetime(2010, 12, 1, 8, 26), "1/2/2011 8:5": dt.datetime(2011, 1, 2, 8, 5),
           "12/01/2010 08:26": dt.datetime(2010, 12, 1, 8, 26)}
     bad = ["13/1/2010 8:26", "2010-12-01 08:26", "12/1/2010 8:26:00", "12/1/10 8:26", "2/30/2011 1:00",
-           " 12/1/2010 8:26", "12/1/2010 24:00", "1/1/1500 0:00", None]
+           " 12/1/2010 8:26", "12/1/2010 24:00", "1/1/1500 0:00", None,
+           "garbage", "1/2", "12/1/2010", "x y", "//:", ""]
     got = dict(zip(list(ok) + bad, _apply(spark, list(ok) + bad, parse_invoice_timestamp)))
     for k, v in ok.items():
         assert got[k] == v, k
