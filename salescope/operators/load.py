@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from salescope.session import ensure_checkpoint_dir
 from salescope.operators.star import in_int32, star_invoice_lines, star_invoices, whole_invoice_no
 
-MAX_ROUNDS = 10_000
-
 
 def fresh_countries(old: DataFrame, new: DataFrame) -> DataFrame:
     """Countries not in the table yet (the rows an append writes)."""
@@ -104,9 +102,12 @@ def greedy_accept(pairs: DataFrame, files: DataFrame, pre_rejected: DataFrame) -
         # No key is offered by two files: nothing is decided by file order.
         return state.select("file_name", (F.col("status") == "U").alias("accepted"))
     state = _checkpoint(state)
-    for _ in range(MAX_ROUNDS):
-        if state.filter("status = 'U'").isEmpty():
-            break
+    # Every round decides at least the first open file, so the rounds end by themselves.
+    before = None
+    while (open_files := state.filter("status = 'U'").count()):
+        if before is not None and open_files >= before:
+            raise RuntimeError(f"strict load: no progress, {open_files} files undecided")
+        before = open_files
         tagged = contested.join(state, "file_name")
         per_key = tagged.groupBy("key").agg(
             F.min(F.when(F.col("status") != "R", F.col("file_name"))).alias("first_live"),
