@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm.common import attach, ship, stored, table
+from salescope.llm.common import attach, broadcast_if_small, ship, stored, table
 from salescope.session import scratch_path
 
 ship(__name__)
@@ -122,6 +122,7 @@ def write_warc(pages: DataFrame, uri: str, ids_per_shard: int = IDS_PER_SHARD, r
     keys = rows.filter("digest is not null").select("page_id", "digest")
     found = attach(keys, groups, "digest", "pages", F.lit(pages.count())).filter("pages is not null")
     found = found.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first", F.lit(True).alias("shared")).distinct()
+    found = broadcast_if_small(stored(found.filter(~F.col("_p").eqNullSafe(F.col("first"))), "warc-revisits"))
     rows = rows.join(found, rows["page_id"].eqNullSafe(F.col("_p")) & (rows["digest"] == F.col("_d")), "left")
     revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     shard = F.floor(F.col("page_id") / ids_per_shard)
