@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from functools import cache, reduce
 
 import numpy as np
@@ -36,12 +35,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm.common import UPPER, LOWER, attach, broadcast_if_small, ship, stored, table, text_of
+from salescope.llm.common import attach, broadcast_if_small, ship, stored, table, text_of
 
 ship(__name__)
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-TO_LOWER = str.maketrans(UPPER, LOWER)
 LEVELS = 4
 #: Share of sets that may have more empty parts than their scheme allows for.
 RARE = 1e-5
@@ -60,15 +57,16 @@ def mixed(x: np.ndarray, seed: int) -> np.ndarray:
 
 def shingles(text: str, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of ``width`` words."""
-    found = WORD.findall(text.translate(TO_LOWER))
+    found = text.encode().lower().split()  # of bytes: A-Z alone, and the six ASCII blanks
     if not found:
         return np.empty(0, np.uint64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), np.uint64, len(found))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     n = max(1, len(h) - width + 1)
     out = np.full(n, len(h) if len(h) < width else width, np.uint64)
     for k in range(min(width, len(h))):
         out = mixed(out * np.uint64(31) + h[k : k + n], k + 1)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def node_of(hashes: np.ndarray) -> int:
