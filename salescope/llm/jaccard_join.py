@@ -43,6 +43,8 @@ LEVELS = 4
 #: Share of sets that may have more empty parts than their scheme allows for.
 RARE = 1e-5
 SKETCH_LONGS = 8
+#: Nodes that a task remembers so as not to write their keys again; a key written twice changes nothing.
+SEEN = 500_000
 #: Rows of one Arrow batch that leave a Python task.
 OUT_ROWS = 256
 
@@ -142,39 +144,33 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node, sketch."""
+    """Per row: doc_id, n_shingles, node, sketch, keys; equal sets of one task have their keys once, mostly."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches):
+        seen: set[int] = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, OUT_ROWS):
                 part = batch.slice(lo, OUT_ROWS)
                 sets = [shingles(t, width) for t in part.column(1).to_pylist()]
+                nodes = [node_of(s) for s in sets]
+                keys = []
+                for s, node in zip(sets, nodes):
+                    keys.append(all_keys(s, percent).view(np.int64) if len(s) and node not in seen else np.empty(0, np.int64))
+                    seen.add(node)
+                if len(seen) > SEEN:
+                    seen.clear()
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([node_of(s) for s in sets], pa.int64()),
+                    pa.array(nodes, pa.int64()),
                     pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
-                ], ["doc_id", "n_shingles", "node", "sketch"])
+                    pa.ListArray.from_arrays(ends, np.concatenate(keys)),
+                ], ["doc_id", "n_shingles", "node", "sketch", "keys"])
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node long, sketch array<long>")
-
-
-def _keys(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(key, node) of all rows."""
-
-    def emit(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, OUT_ROWS):
-                keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for t in batch.column(0).slice(lo, OUT_ROWS).to_pylist():
-                    if len(s := shingles(t, width)):
-                        keys.append(all_keys(s, percent).view(np.int64))
-                        nodes.append(np.full(len(keys[-1]), node_of(s)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["key", "node"])
-
-    return docs.select(text_of(docs).alias("text")).mapInArrow(emit, "key long, node long")
+    return rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node long, sketch array<long>, keys array<long>")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -257,7 +253,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = stored(facts, "jaccard-nodes")
     # only keys that occur twice are shuffled with their nodes; equal sets then count once
-    keys = _keys(docs, width, percent)
+    keys = rows.select(F.explode("keys").alias("key"), "node")
     shared = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "jaccard-shared")
     members = stored(keys.join(shared.hint("merge"), "key", "left_semi").distinct(), "jaccard-nodes-of-keys")
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
