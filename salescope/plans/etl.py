@@ -126,6 +126,66 @@ def save_star_tables(s: Star, path: str, prefix: str, n_buckets: int, mode: str
         if name in ("invoices", "invoice_lines"):
             w = w.bucketBy(n_buckets, "invoice_no").sortBy("invoice_no")
         w.saveAsTable(f"{prefix}_{name}")
+    layout = s.lines.sparkSession.range(1).select(F.lit(n_buckets).alias("n_buckets"))
+    layout.write.mode(mode).parquet(f"{path}/{LAYOUT}")
+
+
+STORED = ("countries", "products", "invoices", "invoice_lines")
+#: Folder written last when a store is created: it holds the bucket count and marks the store complete.
+LAYOUT = "layout"
+
+
+def _list_folder(spark: SparkSession, path: str) -> dict[str, int]:
+    """{folder name: modification time} directly below ``path``; empty if it does not exist."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    return {f.getPath().getName(): f.getModificationTime() for f in fs.listStatus(root) if f.isDirectory()}
+
+
+def _newest_products(spark: SparkSession, path: str, folders: dict[str, int]) -> str | None:
+    """The last product folder that was written to its end. All appends of a batch precede it,
+    so a complete folder belongs to the stored state even if its table was not re-pointed any more."""
+    done = []
+    for name in folders:
+        if name == "products" or name.startswith("products_"):
+            mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+            fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+            if fs.exists(mark):
+                done.append((fs.getFileStatus(mark).getModificationTime(), name))
+    return max(done)[1] if done else None
+
+
+def open_store(spark: SparkSession, path: str, prefix: str) -> bool:
+    """Make the star tables stored under ``path`` known to this session's catalog.
+
+    True: the four tables are there. False: neither tables nor data exist, a store can be
+    created. Anything between (a table or folder missing, a first save that did not end) raises,
+    so stored data is never written over."""
+    known = [t for t in STORED if spark.catalog.tableExists(f"{prefix}_{t}")]
+    if len(known) == len(STORED):
+        return True
+    folders = _list_folder(spark, path)
+    here = {t: t for t in STORED if t in folders}
+    products = _newest_products(spark, path, folders)
+    here = {**here, "products": products} if products else {t: f for t, f in here.items() if t != "products"}
+    if not known and not here and LAYOUT not in folders:
+        return False
+    if len(here) < len(STORED) or LAYOUT not in folders:
+        missing = [t for t in (*STORED, LAYOUT) if t not in here and t not in folders]
+        raise ValueError(f"the store under {path} is incomplete (missing: {missing}; in the catalog: {known}); "
+                         "nothing was written")
+    n_buckets = spark.read.parquet(f"{path}/{LAYOUT}").first()["n_buckets"]
+    for table, folder in here.items():
+        if table in known:
+            continue
+        schema = spark.read.parquet(f"{path}/{folder}").schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        buckets = (f"CLUSTERED BY (invoice_no) SORTED BY (invoice_no) INTO {n_buckets} BUCKETS"
+                   if table in ("invoices", "invoice_lines") else "")
+        spark.sql(f"CREATE TABLE {prefix}_{table} ({columns}) USING parquet {buckets} LOCATION '{path}/{folder}'")
+    return True
 
 
 _BUCKET_ID = re.compile(r"_(\d{5})(?:\.c\d{3})?(?:\.[A-Za-z0-9]+)*$")
@@ -173,7 +233,8 @@ def table_star(spark: SparkSession, prefix: str, path: str | None = None) -> Sta
 
 def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
                      mode: str = "insert_new") -> EtlResult:
-    """Load a raw batch into stored star tables (created on first use).
+    """Load a raw batch into stored star tables (created on first use, else opened
+    from the folder by ``open_store``; an incomplete store is refused, never written over).
 
     Countries, invoices and lines are append-only: only the new rows are
     written (``mode("append")``, same bucketing), never the whole table.
@@ -186,8 +247,7 @@ def load_into_tables(raw: DataFrame, prefix: str, path: str, n_buckets: int,
     materialised (checkpointed) and ``star`` reading the updated tables.
     """
     spark = raw.sparkSession
-    names = [f"{prefix}_{t}" for t in ("countries", "products", "invoices", "invoice_lines")]
-    exists = all(spark.catalog.tableExists(n) for n in names)
+    exists = open_store(spark, path, prefix)
     old = table_star(spark, prefix, path) if exists else None
     result = run_etl(raw, old, mode=mode)
     ensure_checkpoint_dir(spark)

@@ -39,13 +39,9 @@ def save_batch(spark: SparkSession, paths: list[str], tables_path: str, prefix:
 
 
 def stored_star(spark: SparkSession, tables_path: str, prefix: str) -> Star:
-    missing = [f"{prefix}_{t}" for t in ("countries", "products", "invoices", "invoice_lines")
-               if not spark.catalog.tableExists(f"{prefix}_{t}")]
-    if missing:
-        raise ValueError(
-            f"tables {missing} are not in this session's catalog. Stored star tables live in the "
-            "catalog that saved them: use a persistent metastore (e.g. spark.sql.catalogImplementation=hive) "
-            "to read them from another application, or read them in the session that saved them.")
+    """The star saved under ``tables_path``, also by another application."""
+    if not etl.open_store(spark, tables_path, prefix):
+        raise ValueError(f"no star is stored under {tables_path}")
     return etl.table_star(spark, prefix, tables_path)
 
 

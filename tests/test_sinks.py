@@ -2,9 +2,11 @@
 
 import uuid
 
+import pytest
+
 from conftest import SF001
 from salescope.operators import quality
-from salescope.plans import etl
+from salescope.plans import etl, workflows
 from salescope.sources.testdata import raw_feed_from_testdata
 
 
@@ -32,6 +34,37 @@ def test_load_into_tables_appends_only_new_rows(spark, scratch):
     assert all(r["n_orphans"] == 0 for r in quality.check_foreign_keys(stored).collect())
 
 
+def _forget(spark, prefix):
+    # the tables are external: another process, with an empty catalog, sees the folder alone
+    for t in etl.STORED:
+        spark.sql(f"DROP TABLE IF EXISTS {prefix}_{t}")
+
+
+def test_store_outlives_its_catalog(spark, scratch):
+    raw = raw_feed_from_testdata(spark, SF001)
+    prefix = "again" + uuid.uuid4().hex[:8]
+    files = sorted(r[0] for r in raw.select("file_name").distinct().collect())
+    for part in (files[:2], files[2:4], files[4:]):
+        etl.load_into_tables(raw.filter(raw.file_name.isin(part)), prefix, scratch, n_buckets=4)
+        _forget(spark, prefix)
+    stored = workflows.stored_star(spark, scratch, prefix)
+    once = etl.run_etl(raw).star
+    for name in etl.STORED:
+        assert _same(stored.tables()[name], once.tables()[name]), name
+    assert "Bucketed: true" in stored.lines.groupBy("invoice_no").count()._jdf.queryExecution().toString()
+
+
+def test_incomplete_store_is_refused(spark, scratch):
+    raw = raw_feed_from_testdata(spark, SF001)
+    prefix = "part" + uuid.uuid4().hex[:8]
+    with pytest.raises(ValueError, match="no star"):
+        workflows.stored_star(spark, scratch, prefix)
+    raw.select("Country").write.parquet(f"{scratch}/countries")
+    with pytest.raises(ValueError, match="incomplete"):
+        etl.load_into_tables(raw, prefix, scratch, n_buckets=4)
+    assert spark.read.parquet(f"{scratch}/countries").count() == raw.count()
+
+
 def test_hot_bucket_falls_back_to_plain_reads(spark, scratch):
     from pyspark.sql import functions as F
 
