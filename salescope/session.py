@@ -50,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not current:
         current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder: executors cannot see a local one")
     if not current:
         current = tempfile.mkdtemp(prefix="salescope-ckpt-")
     if not sc.getCheckpointDir():
