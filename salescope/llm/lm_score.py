@@ -5,10 +5,12 @@ decisions, most significant bit first. Each (context, bits so far) node holds a
 estimate from its counts, and weighting mixes a node's own estimate with
 the product of its children's, over all context depths up to DEPTH bytes.
 
-Counts cover all training texts: Spark counts the (DEPTH + 1)-grams of all of them. A context is split off where it holds more than
-1/CONTEXTS of all training bytes; by counting there are fewer than CONTEXTS of these per depth. So the fitted model has at
-most 1 + DEPTH * CONTEXTS rows of 256 and is broadcast, at any input size. What is not split off stays with the parent in one "rest"
-child, a leaf of the tree; nothing is left out of the counts. Scoring walks every byte of every text.
+Counts cover all training texts: Spark counts the (DEPTH + 1)-grams of all of them. The model is a table of (context, bits so far)
+nodes that grows with the corpus: a node is split off where it was met SPLIT times, whatever the size of the input. What was met less often
+stays with the parent in one "rest" child, a leaf of the tree; nothing is left out of the counts. Weights go up the
+tree by one grouping per depth and mixtures down by one join per depth, for the nodes of every distinct gram of the texts. The resulting
+probabilities of grams are broadcast to the texts if there are at most BROADCAST_GRAMS of them and joined by shuffle otherwise, with equal scores.
+Scoring takes every byte of every text. ``ContextTree`` is the same model in memory, for small tables of whole contexts.
 
 The base score is a smoothed unigram over words. Counts of words come back to the documents by
 the skew-safe join.
@@ -35,6 +37,9 @@ ship(__name__)
 
 DEPTH = 5
 CONTEXTS = 32768
+#: Times a node is met before it is split off its parent.
+SPLIT = 2
+BROADCAST_GRAMS = 4_000_000
 END = 255
 #: Bytes that are counted or scored together in a task.
 CHUNK = 1 << 20
@@ -66,17 +71,22 @@ def grouped(batch: pa.RecordBatch, column: int):
         yield first, texts
 
 
+def grams_of(texts: list) -> np.ndarray:
+    """Gram of each coded byte; a gram is DEPTH context bytes, oldest first, and the byte itself."""
+    data, at = framed(texts), places(texts)
+    gram = np.zeros(len(at), np.int64)
+    for k in range(DEPTH, -1, -1):
+        gram = gram << 8 | data[at - k]
+    return gram
+
+
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) of all texts; a gram is DEPTH context bytes, oldest first, and the byte itself."""
+    """(gram, n) of all texts."""
 
     def count(batches):
         for batch in batches:
             for _, run in grouped(batch, 0):
-                data, at = framed(run), places(run)
-                gram = np.zeros(len(at), np.int64)
-                for k in range(DEPTH, -1, -1):
-                    gram = gram << 8 | data[at - k]
-                found, n = np.unique(gram, return_counts=True)
+                found, n = np.unique(grams_of(run), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["gram", "n"])
 
     return texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -198,18 +208,123 @@ class ContextTree:
         return out * math.log10(2)
 
 
-def ctw_scores(docs: DataFrame, train: Column, keep: list) -> DataFrame:
+def met_grams(texts: DataFrame) -> DataFrame:
+    """(gram, met, n) of ``texts`` (text, train): times met in all texts and in those under train."""
+
+    def count(batches):
+        for batch in batches:
+            learnt = batch.column(1)
+            for first, run in grouped(batch, 0):
+                sizes = [len(t) + 1 for t in run]
+                flags = np.array([bool(learnt[first + i].as_py()) for i in range(len(run))])
+                found, n = np.unique(grams_of(run) << 1 | np.repeat(flags, sizes), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found >> 1), pa.array(n.astype(np.int64)), pa.array(n * (found & 1))], ["gram", "met", "n"])
+
+    counts = texts.mapInArrow(count, "gram long, met long, n long")
+    return counts.groupBy("gram").agg(F.sum("met").alias("met"), F.sum("n").alias("n"))
+
+
+def log_gamma_of(x: Column) -> Column:
+    """``log_gamma`` as an expression."""
+    y, shift = x + 8, reduce(lambda a, b: a * b, [x + k for k in range(8)])
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(shift)
+
+
+def kt_of(zero: Column, one: Column) -> Column:
+    return log_gamma_of(zero + 0.5) + log_gamma_of(one + 0.5) - log_gamma_of(zero + one + 1.0) - math.log(math.pi)
+
+
+def gram_scores(grams: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(gram, met, bits): log10 probability of the last byte of each gram after the others.
+
+    A node is context << 8 | heap number of the bits so far (1 for none); in depth d it has 8 * (d + 1) bits, so
+    the node of the next shorter context is its lower 8 * d bits.
+    """
+    way = F.explode(F.expr("""transform(sequence(0, 7), k -> struct(
+        (shiftleft(shiftright(gram, 8), 8) | shiftleft(1, k) | shiftright(gram & 255L, 8 - k)) as node,
+        shiftright(gram & 255L, 7 - k) & 1L as bit))""")).alias("s")
+    steps = grams.select("gram", "met", "n", way).select("gram", "met", "n", "s.*")
+    own = steps.groupBy("node").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("z"), F.sum(F.col("n") * F.col("bit")).alias("o"))
+    nothing = F.lit(0).cast("long")
+    levels = {DEPTH: stored(own.select("node", "z", "o", nothing.alias("kids"), F.col("z").alias("rz"), F.col("o").alias("ro"), F.lit(0.0).alias("below")), "lm-nodes")}
+    z, o = F.col("z"), F.col("o")
+    here = kt_of(z, o)
+    under = F.col("below") + kt_of(F.col("rz"), F.col("ro"))
+    # log(exp(a) + exp(b)) by the larger one
+    both = F.greatest("_here", "_under") + F.log1p(F.exp(-F.abs(F.col("_here") - F.col("_under")))) - math.log(2)
+    for d in range(DEPTH, 0, -1):
+        kids = levels[d].withColumns({"_here": here, "_under": under, "_off": z + o >= split})
+        kids = kids.withColumn("_w", F.when(F.col("kids") > 0, both).otherwise(F.col("_here")))
+        off = lambda c: F.sum(F.when(F.col("_off"), F.col(c)))
+        up = kids.groupBy(F.expr(f"node & {(1 << 8 * d) - 1}L").alias("node")).agg(
+            F.sum("z").alias("z"), F.sum("o").alias("o"), F.count_if("_off").alias("kids"),
+            (F.sum("z") - F.coalesce(off("z"), nothing)).alias("rz"), (F.sum("o") - F.coalesce(off("o"), nothing)).alias("ro"),
+            F.coalesce(off("_w"), F.lit(0.0)).alias("below"),
+        )
+        levels[d - 1] = stored(up, "lm-nodes")
+    # from the root down: what the path has left goes to the child, or to the rest leaf
+    down = None
+    for d in range(DEPTH + 1):
+        rows = levels[d].withColumns({
+            "_stop": F.when(F.col("kids") > 0, 1 / (1 + F.exp(under - here))).otherwise(1.0),
+            "_pred": (o + 0.5) / (z + o + 1), "_rest": (F.col("ro") + 0.5) / (F.col("rz") + F.col("ro") + 1),
+        })
+        if down is None:
+            rows = rows.withColumns({"_mix": F.lit(0.0), "_left": F.lit(1.0), "_p": F.lit(0.5), "_off": F.lit(True)})
+        else:
+            rows = rows.withColumns({"_up": F.expr(f"node & {(1 << 8 * d) - 1}L"), "_off": z + o >= split}).join(down, "_up")
+        mix, left = F.col("_mix") + F.col("_left") * F.col("_stop") * F.col("_pred"), F.col("_left") * (1 - F.col("_stop"))
+        one = F.when(F.col("_off"), mix + left * F.col("_rest")).otherwise(F.col("_p"))
+        down = rows.select(F.col("node").alias("_up"), mix.alias("_mix"), left.alias("_left"), one.alias("_p"))
+    part = F.log10(F.when(F.col("bit") == 1, F.col("_p")).otherwise(1 - F.col("_p")))
+    found = steps.join(down.select(F.col("_up").alias("node"), "_p"), "node")
+    return found.groupBy("gram").agg(F.first("met").alias("met"), F.sum(part).alias("bits"))
+
+
+def ctw_scores(docs: DataFrame, train: Column, keep: list, split: int = SPLIT, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``keep`` columns of ``docs`` with score and n_bytes; texts under ``train`` are learnt."""
     text = text_of(docs)
-    tree = ContextTree(context_table(docs.filter(train).select(text.alias("text"))))
-    shared = docs.sparkSession.sparkContext.broadcast((tree.child, tree.bits))
+    grams = stored(met_grams(docs.select(text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "lm-grams")
+    table = stored(gram_scores(grams, split), "lm-bits")
+    n_bytes = F.octet_length(text).cast("long").alias("n_bytes")
+    if table.count() > broadcast_grams:
+        return joined_scores(docs.select(*keep, n_bytes, text.alias("_text")), table)
+    found = table.select("gram", "bits").toArrow()  # ``broadcast_grams`` rows at most
+    gram, bits = found["gram"].to_numpy(), found["bits"].to_numpy()
+    order = np.argsort(gram)
+    shared = docs.sparkSession.sparkContext.broadcast((gram[order], bits[order]))
 
     def score(texts: pd.Series) -> pd.Series:
-        model = ContextTree.__new__(ContextTree)
-        model.child, model.bits = shared.value
-        return pd.Series(model.score([t.encode() for t in texts]))
+        gram, bits = shared.value
+        out = []
+        for _, run in grouped(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0):
+            starts = np.cumsum([0] + [len(t) + 1 for t in run[:-1]])
+            out.append(np.add.reduceat(bits[np.searchsorted(gram, grams_of(run))], starts))
+        return pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), F.pandas_udf(score, "double")(text).alias("score"))
+    return docs.select(*keep, n_bytes, F.pandas_udf(score, "double")(text).alias("score"))
+
+
+def joined_scores(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """``docs`` without _text and with the score by a join of their grams with ``table`` (gram, met, bits)."""
+    names = [c for c in docs.columns if c != "_text"]
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "_text", F.struct(*names).alias("_doc"))
+    kind = rows.schema["_doc"].dataType.simpleString()
+
+    def cut(batches):
+        for batch in batches:
+            for first, run in grouped(batch, 1):
+                for i, text in enumerate(run, first):
+                    found, n = np.unique(grams_of([text]), return_counts=True)
+                    row = np.full(len(found), batch.column(0)[i].as_py(), np.int64)
+                    # the columns of the document stand at its first gram
+                    doc = batch.column(2).take(pa.array([i] + [None] * (len(found) - 1), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(found), pa.array(n.astype(np.int64)), doc], ["_row", "gram", "c", "_doc"])
+
+    cuts = rows.mapInArrow(cut, f"_row long, gram long, c long, _doc {kind}")
+    found = attach(cuts, table, "gram", "met", F.lit(table.agg(F.coalesce(F.sum("met"), F.lit(0))).first()[0]))
+    sums = found.groupBy("_row").agg(F.first("_doc", True).alias("_doc"), F.sum(F.col("c") * F.col("bits")).alias("score"))
+    return sums.select("_doc.*", "score")
 
 
 def unigram_scores(rows: DataFrame, key: str) -> DataFrame:

@@ -109,6 +109,30 @@ def test_lm_probabilities_sum_to_one_and_prefer_learnt_text(spark):
     assert lm_score.ctw_scores(learnt.limit(0), F.lit(True), ["doc_id"]).count() == 0
 
 
+def test_lm_scores_use_every_context_by_either_way(spark):
+    learnt = docs_of(spark, [(100 + i, " ".join(words(i, 60, 20)) + " é") for i in range(40)] + EDGES)
+    texts = learnt.select(F.coalesce("text", F.lit("")).alias("text"))
+    tree = lm_score.ContextTree(lm_score.context_table(texts, 1 << 40))
+    want = {r.doc_id: tree.score([(r.text or "").encode()])[0] for r in learnt.collect()}
+    for limit in (0, 10**6):
+        found = lm_score.ctw_scores(learnt, F.lit(True), ["doc_id"], split=1, broadcast_grams=limit).collect()
+        assert len(found) == 40 + len(EDGES)
+        assert all(f.score == pytest.approx(want[f.doc_id], rel=1e-4, abs=1e-3) for f in found)
+
+
+def test_lm_keeps_what_it_learnt_in_a_larger_corpus(spark):
+    rare = "Quokkas juggle vexing zephyrs."
+    few = [(i, rare) for i in range(6)] + [(10, rare)]
+    much = few + [(100 + i, " ".join(words(i, 40000, 20))) for i in range(4)]
+    got = {}
+    for rows in (few, much):
+        scored = docs_of(spark, rows)
+        found = lm_score.ctw_scores(scored, scored["doc_id"] != 10, ["doc_id"]).collect()
+        got[len(rows)] = next(f.score for f in found if f.doc_id == 10)
+    # about 31 bytes; without contexts of its own they cost a digit each
+    assert got[len(much)] > got[len(few)] - 8
+
+
 def test_swapped_identities_do_not_move_the_score():
     rows = [[toxicity.bucket(w) for w in t.split()] for t in ["awful women here", "awful women there", "nice men here", "nice men there"] * 5]
     import numpy as np
