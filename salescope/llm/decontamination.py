@@ -1,11 +1,11 @@
 """Operator 6: benchmark decontamination by spaced seeds, in DataFrame functions only.
 
-Texts are lower-cased word sequences. A window is SPAN words of a benchmark item; two
-fixed masks select every other word of it and ignore the rest. Each mask gives a hash per position.
+Texts are lower-cased word sequences. A window is SPAN words of a benchmark item, in four groups of
+three words; each of six fixed masks selects two groups and ignores the others. Each mask gives a hash per position.
 A document's hashes are semi-joined with those of the benchmark; around each hit the two windows
-are compared word by word, and at least ``equal`` of the SPAN words must be the same. A single
-substituted word always leaves one mask untouched; several do when they fall on
-one mask's ignored words or leave some window of the passage clean.
+are compared word by word, and at least ``equal`` of the SPAN words must be the same. Two
+substituted words lie in at most two groups, so the mask of the other two is untouched: every window
+with EQUAL or more equal words is found. A smaller ``equal`` is refused.
 
 The benchmark's hashes and the ids of hit documents are broadcast only if there are at most BROADCAST_ROWS; a larger
 table is joined by shuffle.
@@ -17,40 +17,52 @@ own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.llm.common import ascii_lower, broadcast_if_small, stored, table, text_of, words
 
 SPAN, EQUAL = 12, 10
-#: Words that each mask selects.
-MASKS = ((0, 2, 4, 6, 8, 10), (1, 3, 5, 7, 9, 11))
+#: Every fourth word is a group; each mask selects two of the four.
+GROUPS = 4
+MASKS = tuple(combinations(range(GROUPS), 2))
 BROADCAST_ROWS = 1_000_000
 
 
-def _seeds(hashes: Column, length: int) -> Column:
-    """Array of (h, pos, length) of all windows of ``length`` words; ``hashes`` holds a hash per word."""
-    masks = MASKS if length == SPAN else (tuple(range(length)),)
-    places = F.sequence(F.lit(0), F.size(hashes) - length)
+def _hashed(rows: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` with a hash per word, and per position that of the group of words that starts there."""
+    rows = rows.select(*keep, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("hashes") - (SPAN - GROUPS + 1), F.lit(0)))
+    group = lambda p: F.xxhash64(*[F.get("hashes", p + k) for k in range(0, SPAN, GROUPS)])
+    return rows.select(*keep, "hashes", F.transform(starts, group).alias("groups"))
+
+
+def _seeds(length: int) -> Column:
+    """Array of (h, pos, length) of all windows of ``length`` words of the rows of ``_hashed``."""
+    masks, of = (MASKS, "groups") if length == SPAN else ((tuple(range(length)),), "hashes")
+    places = F.sequence(F.lit(0), F.size("hashes") - length)
     one = lambda k, mask: F.transform(
         places,
         lambda i: F.struct(
-            F.xxhash64(F.lit(length), F.lit(k), *[F.get(hashes, i + j) for j in mask]).alias("h"),
+            F.xxhash64(F.lit(length), F.lit(k), *[F.get(of, i + j) for j in mask]).alias("h"),
             i.alias("pos"), F.lit(length).alias("length"),
         ),
     )
     empty = F.array().cast("array<struct<h:long,pos:int,length:int>>")
-    return F.when(F.size(hashes) >= length, F.concat(*[one(k, m) for k, m in enumerate(masks)])).otherwise(empty)
+    return F.when(F.size("hashes") >= length, F.concat(*[one(k, m) for k, m in enumerate(masks)])).otherwise(empty)
 
 
 def _exploded(rows: DataFrame, key: str, lengths: list[int]) -> DataFrame:
-    rows = rows.select(key, F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
-    rows = rows.select(key, F.explode(F.concat(*[_seeds(F.col("hashes"), n) for n in lengths])).alias("s"))
+    rows = _hashed(rows, key).select(key, F.explode(F.concat(*[_seeds(n) for n in lengths])).alias("s"))
     return rows.select(key, "s.*")
 
 
 def leaks(docs: DataFrame, items: DataFrame, equal: int = EQUAL) -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id, n_windows, most_equal, first_word."""
+    if equal < EQUAL:
+        raise ValueError(f"the masks find windows with at least {EQUAL} equal words, not {equal}")
     tests = items.select("item_id", words(ascii_lower(text_of(items))).alias("words")).distinct()
     tests = stored(tests, "leak-items").withColumn("n", F.size("words"))
     # at most SPAN different numbers
@@ -58,9 +70,8 @@ def leaks(docs: DataFrame, items: DataFrame, equal: int = EQUAL) -> DataFrame:
     none = F.array().cast("array<struct<h:long,pos:int,length:int>>")
     own = none
     for n in lengths:
-        own = F.when(F.least("n", F.lit(SPAN)) == n, _seeds(F.col("hashes"), n)).otherwise(own)
-    windows = tests.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    windows = windows.select("item_id", "words", F.explode(own).alias("s"))
+        own = F.when(F.least("n", F.lit(SPAN)) == n, _seeds(n)).otherwise(own)
+    windows = _hashed(tests, "item_id", "words", "n").select("item_id", "words", F.explode(own).alias("s"))
     windows = stored(windows.select("item_id", "s.h", "s.length", F.slice("words", F.col("s.pos") + 1, F.col("s.length")).alias("theirs")), "leak-windows")
     wanted = broadcast_if_small(stored(windows.select("h").distinct(), "leak-hashes"), BROADCAST_ROWS)
     texts = docs.select("doc_id", words(ascii_lower(text_of(docs))).alias("words"))

@@ -68,6 +68,20 @@ def test_leaks_tolerate_substitutions_and_spare_clean_texts(spark):
     assert decontamination.leaks(docs_of(spark, rows).limit(0), items).count() == 0
 
 
+def test_leaks_find_every_pair_of_substitutions(spark):
+    item = [f"item{i}" for i in range(12)]
+    swap = lambda at: " ".join("other" if i in at else w for i, w in enumerate(item))
+    pairs = list(itertools.combinations(range(12), 2))
+    rows = [(i, swap(at)) for i, at in enumerate(pairs)] + [(100 + i, swap(at)) for i, at in enumerate(itertools.combinations(range(12), 3))]
+    fifth = [f"long{i}" for i in range(60)]
+    rows.append((1000, " ".join("other" if i % 5 == 2 else w for i, w in enumerate(fifth))))
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(fifth))], "item_id long, text string")
+    found = decontamination.leaks(docs_of(spark, rows), items).collect()
+    assert {(f.doc_id, f.item_id, f.most_equal) for f in found} == {(i, 1, 10) for i in range(66)} | {(1000, 2, 10)}
+    with pytest.raises(ValueError):
+        decontamination.leaks(docs_of(spark, rows), items, equal=9)
+
+
 def test_repeated_lines_go_and_offsets_fit(spark):
     line = "This very line with more than eight words stands in several texts."
     rows = [(3, f"first one\n{line}\nend"), (1, f"intro words. {line}"), (2, line.upper().replace(" ", "  ")), *EDGES]
