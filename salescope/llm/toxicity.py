@@ -4,8 +4,8 @@ A sparse logistic model over the distinct words of a text and their beginnings (
 letters, for compounds and inflected forms), hashed to 2^BITS features. It is
 fitted on a bounded sample of labelled rows (``sample``: the rows with the smallest hash of
 doc_id). For each training text that names a group, a copy with the identity terms swapped
-for another group's is made, and the squared change of the score's argument is penalised: the
-model cannot lean on which group is named. An L1 term keeps only the words that matter, so
+for another group's is made for each other term, with the features that the swapped text would have (words and their beginnings), and the
+squared change of the score's argument is penalised: the model cannot lean on which group is named. An L1 term keeps only the words that matter, so
 long texts do not gather noise. Scoring reads every whole text.
 
 Defined cases: a null or empty text has the model's base rate as its score; a document with several
@@ -50,8 +50,30 @@ def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) & ((1 << BITS) - 1)
 
 
+def tokens(text: str) -> set:
+    return set(TOKEN.findall(text.lower()))
+
+
+def swapped(found: set, by: int = 1, identity=IDENTITY) -> set:
+    """Words of the counterfactual: each identity term becomes the one ``by`` places on in its group."""
+    other = {a: g[(i + by) % len(g)] for g in identity for i, a in enumerate(g)}
+    return {other.get(w, w) for w in found}
+
+
+def changes(text: str) -> list:
+    """(features lost, features gained) of the counterfactuals of a text that names a group, one after the other."""
+    found = tokens(text)
+    turned = [t for by in range(1, max(map(len, IDENTITY))) if (t := swapped(found, by)) != found]
+    own = set(numbered(found)) if turned else set()
+    return [sorted(x) for t in map(set, map(numbered, turned)) for x in (own - t, t - own)]
+
+
 def features(text: str) -> list[int]:
-    found = set(TOKEN.findall(text.lower()))
+    return numbered(tokens(text))
+
+
+def numbered(found: set) -> list[int]:
+    """Features of a text with the words ``found``."""
     starts = {"^" + w[:k] for w in found for k in STEMS if len(w) > k}
     return sorted(set(map(bucket, found)) | set(map(bucket, starts)))
 
@@ -82,15 +104,22 @@ class Rows:
         return np.bincount(self.at, g[self.row], size)
 
 
-def fit(rows: list, labels: np.ndarray, penalty: float = 1.0, l1: float = 1e-3, steps: int = 300, seen: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias, by accelerated proximal gradient, over features that ``seen`` rows have at least."""
-    # a penalised swap changes a score only through the identity features
-    turned = [(r, s) for r in rows if (s := swap_identities(r)) != list(r)]
+def fit(
+    rows: list, labels: np.ndarray, penalty: float = 1.0, l1: float = 1e-3, steps: int = 300, seen: int = 5, swaps: list | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights and bias, by accelerated proximal gradient, over features that ``seen`` rows have at least.
+
+    ``swaps`` has (features lost, features gained) of all counterfactuals; without it, those of rows of whole words.
+    """
+    if swaps is None:
+        swaps = [(set(r) - set(s), set(s) - set(r)) for r in rows for s in [swap_identities(r)]]
+    # a penalised swap changes a score only through the features that differ
+    turned = [(sorted(a), sorted(b)) for a, b in swaps if len(a) + len(b)]
     often = np.zeros(1 << BITS, np.int32)
     for r in rows:
         often[r] += 1
     often = often >= seen
-    often[[f for r, s in turned for f in set(r) ^ set(s)]] = True
+    often[[f for a, b in turned for f in (*a, *b)]] = True
     used, size = np.flatnonzero(often), int(often.sum())
     number = np.cumsum(often) - 1
     compact = lambda r: number[np.asarray(r, np.int32)[often[np.asarray(r, np.int32)]]].astype(np.int32)
@@ -134,11 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     picked = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxic-sample")
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     found = F.pandas_udf(lambda s: s.map(features), "array<int>")
-    rows = texts.select("toxic", found("text").alias("f")).toPandas()  # ``sample`` rows at most
+    turned = F.pandas_udf(lambda s: s.map(changes), "array<array<int>>")
+    rows = texts.select("toxic", found("text").alias("f"), turned("text").alias("t")).toPandas()  # ``sample`` rows at most
     labels = rows["toxic"].to_numpy(int)
     if not 0 < labels.sum() < len(labels):
         return None
-    w, b = fit([np.asarray(f, np.int32) for f in rows["f"]], labels)
+    swaps = [(t[k], t[k + 1]) for t in rows["t"] for k in range(0, len(t), 2)]
+    w, b = fit([np.asarray(f, np.int32) for f in rows["f"]], labels, swaps=swaps)
     return {int(i): float(w[i]) for i in np.flatnonzero(w)}, b
 
 

@@ -158,6 +158,23 @@ def test_swapped_identities_do_not_move_the_score():
     assert gap(held) < 0.2 * gap(free) and held[toxicity.bucket("awful")] > 0
 
 
+def test_swapped_sentences_score_alike(spark):
+    # labels skewed against the first name of each pair
+    r, rows = random.Random(1), []
+    for i in range(400):
+        name = ("muslims", "christians", "women", "girls")[2 * (i // 2 % 2) + ((i % 2 == 0) == (r.random() < 0.9))]
+        rows.append((i, f"some words of {name} number{i % 7}"))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs_of(spark, rows), labels, F.lit(True))
+    names = ["muslims", "christians", "jews", "hindus", "women", "men", "girls", "boys"]
+    tests = docs_of(spark, [(k, f"some words of {n}") for k, n in enumerate(names)])
+    by = {names[x.doc_id]: x.score for x in tests.select("doc_id", toxicity.toxicity(tests, model).alias("score")).collect()}
+    logit = lambda p: math.log(p / (1 - p))
+    for group in (names[:4], names[4:]):
+        at = [logit(by[n]) for n in group]
+        assert max(at) - min(at) < 1, by
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark, EDGES + [(i, "bad stuff" if i % 2 else "good stuff") for i in range(100, 160)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)] + [(None, 1), (4, None)], "doc_id long, toxic int")
