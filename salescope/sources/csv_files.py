@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections import Counter
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,7 +123,7 @@ def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False
 def file_sizes(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[tuple[str, int]]:
     """(path, size) of every file, from a listing that does not read file contents."""
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
-               .select("path", "length"))
+               .select(F.col("_metadata.file_path").alias("path"), "length"))
     return [(_as_read_path(r["path"]), r["length"]) for r in listing.collect()]
 
 
@@ -133,8 +134,30 @@ def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = Fa
     Zero-byte files are skipped by Spark's file scans and are not listed."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
-    return listing.select(file_name_of(F.col("_metadata.file_name")).alias("file_name"),
-                          F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("file_size"))
+    listing = listing.select(file_name_of(F.col("_metadata.file_name")).alias("file_name"),
+                             F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("file_size"))
+    # as read_invoice_csv names them: a base name that several files have does not tell them apart
+    once = listing.groupBy("file_name").agg((F.count_distinct("file_path") == 1).alias("once"))
+    return listing.join(once, "file_name").select(
+        F.when(F.col("once"), F.col("file_name")).otherwise(F.col("file_path")).alias("file_name"), "file_path", "file_size")
+
+
+def quoted_newlines(spark: SparkSession, paths: list[str], encoding: str = SOURCE_ENCODING) -> set[str]:
+    """The files of ``paths`` with a physical line that has an odd number of quotes. In all other files
+    every line ends outside quotes, so a record is a line and the file may be split."""
+    if not paths:
+        return set()
+    lines = (spark.read
+             .option("encoding", encoding)
+             .option("header", False)
+             .option("multiLine", False)
+             .option("sep", "\u0001")
+             .option("quote", "\u0000")
+             .schema("value STRING")
+             .csv(paths))
+    n_quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
+    odd = lines.filter(n_quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return {_as_read_path(r["path"]) for r in odd.collect()}
 
 
 _UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
@@ -149,7 +172,7 @@ def split_bytes(spark: SparkSession) -> int:
 
 
 def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive=False,
-                check_header=True) -> DataFrame:
+                check_header=True, shared_names=()) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     reader = _reader(spark, encoding, multi_line, recursive)
     if not check_header:
@@ -157,7 +180,10 @@ def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive
         # probe already established the column order of every file in the group
         reader = reader.option("enforceSchema", True)
     df = reader.schema(schema).csv(paths)
-    file_col = file_name_of(F.col("_metadata.file_name")) if file_key == "name" else F.col("_metadata.file_path")
+    file_col = F.col("_metadata.file_path")
+    if file_key == "name":
+        name = file_name_of(F.col("_metadata.file_name"))
+        file_col = F.when(name.isin(*shared_names), file_col).otherwise(name) if shared_names else name
     return df.select(
         file_col.alias("file_name"),
         F.struct(F.col("_metadata.file_block_start").alias("block_start"),
@@ -166,12 +192,13 @@ def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive
     )
 
 
-def _by_mode(files: list[tuple[str, int]], multi_line: bool | None, limit: int) -> dict[bool, list[str]]:
+def _by_mode(files: list[tuple[str, int]], multi_line: bool | None, limit: int, broken: set[str]) -> dict[bool, list[str]]:
     """Paths per multiLine setting. Auto (None): a file up to one split is read in
-    multi-line mode (it is one task either way); a larger file is read splittable."""
+    multi-line mode (it is one task either way), and so is a ``broken`` one, where a record
+    may span lines; another larger file is read splittable."""
     out: dict[bool, list[str]] = {}
     for path, size in files:
-        mode = (size <= limit) if multi_line is None else multi_line
+        mode = (size <= limit or path in broken) if multi_line is None else multi_line
         out.setdefault(mode, []).append(path)
     return out
 
@@ -183,11 +210,15 @@ def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: s
 
     ``multi_line``: newlines inside quoted fields need Spark's multi-line
     mode, in which a file cannot be split and is read by one task. The
-    default (None) reads files up to ``spark.sql.files.maxPartitionBytes``
-    that way -- they would be a single split anyway -- and reads larger
-    files splittable, so no single file, however large, is funnelled
-    through one task. Pass True to force multi-line mode for large files
-    known to contain such fields (one task per file), False to split all.
+    default (None) gives the same rows for a file of any size: files up to
+    ``spark.sql.files.maxPartitionBytes`` are read that way -- they would be a
+    single split anyway -- and larger files are read splittable if a first pass
+    over their lines shows that no record spans lines (``quoted_newlines``). Pass
+    True to spare that pass (one task per file), False to split all: the caller
+    then vouches that no field holds a newline.
+
+    ``file_key``: "name" calls a file by its base name, or by its path where
+    several files of the batch have that base name; "path" always by its path.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     limit = split_bytes(spark)
@@ -201,8 +232,13 @@ def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: s
     else:
         groups = [(parse_header(h), files, parse_header(h) == next(csv.reader(io.StringIO(h))))
                   for h, files in header_groups(spark, paths, recursive, encoding).items()]
-    parts = [_read_group(spark, ps, cols, encoding, ml, file_key, check_header=plain)
-             for cols, files, plain in groups for ml, ps in _by_mode(files, multi_line, limit).items()]
+    listed = {path for _, files, _ in groups for path, _ in files}
+    large = [path for _, files, _ in groups for path, size in files if size > limit] if multi_line is None else []
+    broken = quoted_newlines(spark, large, encoding)
+    names = Counter(path.rsplit("/", 1)[-1] for path in listed)
+    shared = [name for name, n in names.items() if n > 1]
+    parts = [_read_group(spark, ps, cols, encoding, ml, file_key, check_header=plain, shared_names=shared)
+             for cols, files, plain in groups for ml, ps in _by_mode(files, multi_line, limit, broken).items()]
     if not parts:
         # no file with a header line (e.g. only empty files): an empty raw frame
         return spark.createDataFrame([], EMPTY_RAW_SCHEMA)
