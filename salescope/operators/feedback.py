@@ -70,20 +70,23 @@ MATRIX_ROWS = (
 )
 
 
+def feedback_long(counts: DataFrame) -> DataFrame:
+    """F4 in long form, for any number of files: file_name, step_order, step, value (DOUBLE, as the percent row needs)."""
+    stack = ", ".join(f"{i}, '{label}', CAST({col} AS DOUBLE)" for i, (label, col) in enumerate(MATRIX_ROWS, 1))
+    return with_percent(counts).selectExpr("file_name", f"stack({len(MATRIX_ROWS)}, {stack}) AS (step_order, step, value)")
+
+
 def feedback_matrix(counts: DataFrame, file_names: list[str] | None = None) -> DataFrame:
-    """steps as rows, files as columns (values as DOUBLE, as the percent row needs).
+    """steps as rows, files as columns (values as DOUBLE).
 
-    ``file_names`` fixes the pivot columns; without it Spark finds the
-    distinct file names first (a small extra job over one row per file).
+    ``file_names`` fixes the pivot columns; without it all distinct file names are taken
+    (a small extra job over one row per file; the names come to the driver, as columns must). They are
+    given to the pivot, whose own search stops at ``spark.sql.pivotMaxValues`` files.
     """
-    full = with_percent(counts)
-    if not file_names:
+    if file_names is None:
         # One row per file: checkpointed (shared folder) so that finding the
         # pivot values and the pivot itself do not both recompute the cleaning.
-        ensure_checkpoint_dir(full.sparkSession)
-        full = full.checkpoint(eager=True)
-    stack = ", ".join(f"{i}, '{label}', CAST({col} AS DOUBLE)" for i, (label, col) in enumerate(MATRIX_ROWS, 1))
-    long = full.selectExpr("file_name", f"stack({len(MATRIX_ROWS)}, {stack}) AS (step_order, step, value)")
-    pivot = long.groupBy("step_order", "step")
-    pivot = pivot.pivot("file_name", file_names) if file_names else pivot.pivot("file_name")
-    return pivot.agg(F.first("value"))
+        ensure_checkpoint_dir(counts.sparkSession)
+        counts = counts.checkpoint(eager=True)
+        file_names = [r["file_name"] for r in counts.select("file_name").distinct().orderBy("file_name").collect()]
+    return feedback_long(counts).groupBy("step_order", "step").pivot("file_name", file_names).agg(F.first("value"))

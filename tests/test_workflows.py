@@ -94,3 +94,19 @@ def test_command_line(spark, scratch):
     got = {r["label"]: r["sales"] for r in spark.read.parquet(f"{out}/countries").collect()
            if r["panel"] == "ranking"}
     assert got["France"] > 0
+
+
+def test_report_of_more_files_than_a_pivot_looks_for(spark):
+    from salescope.operators import feedback
+
+    counts = spark.createDataFrame([(f"f{i:02d}.csv", *[i] * 8) for i in range(12)],
+                                   "file_name string, " + ", ".join(f"{c} bigint" for c in feedback.COUNT_COLUMNS))
+    spark.conf.set("spark.sql.pivotMaxValues", "10")
+    try:
+        matrix = feedback.feedback_matrix(counts)
+        rows = {r["step"]: r for r in matrix.collect()}
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")
+    assert len(matrix.columns) == 14 and rows["original"]["f11.csv"] == 11
+    assert feedback.feedback_long(counts).count() == 12 * len(feedback.MATRIX_ROWS)
+    assert feedback.feedback_matrix(counts, ["f03.csv"]).columns == ["step_order", "step", "f03.csv"]
