@@ -276,9 +276,13 @@ def gram_scores(grams: DataFrame, split: int = SPLIT) -> DataFrame:
         mix, left = F.col("_mix") + F.col("_left") * F.col("_stop") * F.col("_pred"), F.col("_left") * (1 - F.col("_stop"))
         one = F.when(F.col("_off"), mix + left * F.col("_rest")).otherwise(F.col("_p"))
         down = rows.select(F.col("node").alias("_up"), mix.alias("_mix"), left.alias("_left"), one.alias("_p"))
-    part = F.log10(F.when(F.col("bit") == 1, F.col("_p")).otherwise(1 - F.col("_p")))
-    found = steps.join(down.select(F.col("_up").alias("node"), "_p"), "node")
-    return found.groupBy("gram").agg(F.first("met").alias("met"), F.sum(part).alias("bits"))
+    # a context has 255 nodes at most
+    nodes = F.collect_list(F.struct(F.expr("node & 255L").alias("m"), "_p"))
+    ways = down.select(F.col("_up").alias("node"), "_p").groupBy(F.expr("shiftright(node, 8)").alias("_c")).agg(F.map_from_entries(nodes).alias("_ways"))
+    found = grams.withColumn("_c", F.expr("shiftright(gram, 8)")).join(ways, "_c")
+    return found.select("gram", "met", F.expr("""aggregate(sequence(0, 7), 0D, (sum, k) -> sum + log10(
+        if(shiftright(gram & 255L, 7 - k) & 1L = 1L, _ways[shiftleft(1L, k) | shiftright(gram & 255L, 8 - k)],
+           1D - _ways[shiftleft(1L, k) | shiftright(gram & 255L, 8 - k)])))""").alias("bits"))
 
 
 def ctw_scores(docs: DataFrame, train: Column, keep: list, split: int = SPLIT, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
