@@ -23,7 +23,6 @@ from __future__ import annotations
 import csv
 import io
 from collections import Counter
-from collections import Counter
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession

@@ -308,30 +308,3 @@ def test_files_of_one_base_name_stay_apart(spark, scratch):
     counts = feedback.feedback_counts(read_invoice_csv(spark, paths), list_files(spark, paths)).collect()
     assert len(counts) == 3 and all(r["n_original"] == r["n_dedupe"] == 1 for r in counts)
     assert "other.csv" in {r["file_name"] for r in counts}
-
-
-@pytest.mark.parametrize("uniform", [False, True])
-def test_large_file_with_newlines_in_quotes_reads_as_a_small_one(spark, scratch, uniform):
-    rows = [dict(BASE, InvoiceNo=str(700000 + i), Description=f"TWO\nLINES {i}", CaseId=str(i)) for i in range(400)]
-    p = os.path.join(scratch, "big é.csv")
-    write_csv(p, HEADER, rows)
-    small = read_invoice_csv(spark, [p], uniform_header=uniform).drop("row_pos").collect()
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
-    try:
-        large = read_invoice_csv(spark, [p], uniform_header=uniform).drop("row_pos").collect()
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert len(large) == 400 and sorted(large) == sorted(small) and {r["Country"] for r in large} == {BASE["Country"]}
-
-
-def test_files_of_one_base_name_stay_apart(spark, scratch):
-    from salescope.operators import feedback
-    from salescope.sources.csv_files import list_files
-
-    paths = [os.path.join(scratch, d, "same.csv") for d in ("a", "b")] + [os.path.join(scratch, "other.csv")]
-    for p in paths:
-        os.makedirs(os.path.dirname(p), exist_ok=True)
-        write_csv(p, HEADER, [dict(BASE, CaseId="1")])
-    counts = feedback.feedback_counts(read_invoice_csv(spark, paths), list_files(spark, paths)).collect()
-    assert len(counts) == 3 and all(r["n_original"] == r["n_dedupe"] == 1 for r in counts)
-    assert "other.csv" in {r["file_name"] for r in counts}

@@ -7,9 +7,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import __spark_entry__ as E
 from conftest import SF01
 from oracle_harness import compare
+from salescope.plans import catalog
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(catalog.ORACLE))
 def test_query_matches_sql_twin(spark, key):
     res = compare(spark, SF01, [key], verbose=False)[key]
     assert res[0] == "ok", res
@@ -22,7 +23,7 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_twin():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "date": "DATE",
@@ -34,9 +35,9 @@ def test_result_types_match_sql_twins(spark):
     from oracle_harness import duck
 
     con = duck(SF001)
-    qs = E.queries()
+    qs = catalog.QUERIES
     bad = []
-    for k, sql in sorted(E.oracle_sql().items()):
+    for k, sql in sorted(catalog.ORACLE.items()):
         rel = con.sql(sql)
         want = dict(zip(rel.columns, [str(t) for t in rel.types]))
         got = {f.name: f.dataType.simpleString() for f in qs[k](spark, SF001).schema.fields}

@@ -5,8 +5,8 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF001
+from salescope.plans import catalog
 
 
 def formatted(df):
@@ -16,40 +16,40 @@ def formatted(df):
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(catalog.QUERIES))
 def test_no_python_in_plans(spark, key):
-    df = E.queries()[key](spark, SF001)
+    df = catalog.QUERIES[key](spark, SF001)
     p = formatted(df)
     for bad in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
         assert bad not in p, (key, bad)
 
 
 def test_year_filter_reaches_scan(spark):
-    p = formatted(E.queries()["country_top10_year"](spark, SF001))
+    p = formatted(catalog.QUERIES["country_top10_year"](spark, SF001))
     assert "GreaterThanOrEqual(o_orderdate" in p and "LessThan(o_orderdate" in p
 
 
 def test_topk_is_take_ordered(spark):
     for key in ("country_top10", "product_flop10", "country_top5_products", "product_top5_countries_year"):
-        assert "TakeOrderedAndProject" in formatted(E.queries()[key](spark, SF001)), key
+        assert "TakeOrderedAndProject" in formatted(catalog.QUERIES[key](spark, SF001)), key
 
 
 def test_dedupe_is_aggregate_not_window(spark):
-    p = formatted(E.queries()["clean_dedupe_first"](spark, SF001))
+    p = formatted(catalog.QUERIES["clean_dedupe_first"](spark, SF001))
     assert "HashAggregate" in p or "ObjectHashAggregate" in p or "SortAggregate" in p
     assert "Window" not in p
 
 
 def test_rankings_have_no_window_or_cartesian(spark):
-    for key in E.queries():
+    for key in catalog.QUERIES:
         if key.startswith(("country_", "product_", "dashboard_")):
-            p = formatted(E.queries()[key](spark, SF001))
+            p = formatted(catalog.QUERIES[key](spark, SF001))
             assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, key
             assert "Window " not in p, key
 
 
 def test_column_pruning(spark):
-    p = formatted(E.queries()["product_top10"](spark, SF001))
+    p = formatted(catalog.QUERIES["product_top10"](spark, SF001))
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint>" in p
 
 
@@ -98,7 +98,7 @@ def test_hot_keys_are_pre_aggregated_map_side(spark, key, func):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # the large-table shape
     try:
-        plan = _physical(E.queries()[key](spark, SF001))
+        plan = _physical(catalog.QUERIES[key](spark, SF001))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert _partial_before_exchange(plan, func), (key, plan[:3000])
