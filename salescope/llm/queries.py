@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salescope.llm import chat, decontamination, exact_dedup, jaccard_join, lm_score, mixing, substring_dedup, toxicity, url_filter, warc
+from salescope.llm import chat, decontamination, exact_dedup, filter_audit, jaccard_join, lm_score, mixing, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 
 ORACLE = {
@@ -22,4 +23,5 @@ ORACLE = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
