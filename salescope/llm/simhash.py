@@ -7,7 +7,7 @@
    bits as the counts of disjoint parts differ in sum. So a pair of tiles is skipped if its ranges of
    counts, at any of these levels, are further apart than the radius; inside a pair of
    tiles the same holds for pairs of blocks of BLOCK.
-3. The other pairs are compared exactly: exclusive-or and bit counts of numpy over whole blocks.
+3. The other pairs are compared exactly: exclusive-or and bit counts of numpy, a block against all blocks it may link with.
    A task keeps the links that connect something new in its pair of tiles, a spanning forest, not
    all pairs of a cluster. Components are then merged over all tasks.
 
@@ -35,7 +35,7 @@ from salescope.operators.numbering import dense_numbers
 ship(__name__)
 
 SEED = 42
-TILE, BLOCK = 32768, 512
+TILE, BLOCK = 32768, 64
 #: Shingles whose bits are counted at once.
 RUN = 65536
 #: Bits of the parts at each level: the whole, halves, quarters, eighths.
@@ -106,7 +106,8 @@ class _Blocks:
         order = np.lexsort(counts.T[::-1])
         self.fps, counts = fps[order], counts[order]
         at = np.arange(0, len(fps), BLOCK)
-        self.bounds = list(zip(at.tolist(), [*at[1:].tolist(), len(fps)]))
+        self.bounds = [(lo, min(lo + BLOCK, len(fps))) for lo in at.tolist()]
+        self.block = np.arange(len(fps)) // BLOCK
         self.lo, self.hi = np.minimum.reduceat(counts, at, axis=0), np.maximum.reduceat(counts, at, axis=0)
 
 
@@ -116,14 +117,14 @@ def tile_links(one: np.ndarray, two: np.ndarray | None, radius: int) -> list[tup
     b = a if two is None else _Blocks(two)
     base = 0 if two is None else len(one)
     label = np.arange(len(a.fps) if two is None else len(one) + len(two))
-    near = _gaps(a.lo[:, None], a.hi[:, None], b.lo[None], b.hi[None]) <= radius
     links = []
-    for i, j in zip(*np.nonzero(near)):
-        if two is None and j < i:
-            continue
-        (a_lo, a_hi), (b_lo, b_hi) = a.bounds[i], b.bounds[j]
-        x, y = np.nonzero(np.bitwise_count(a.fps[a_lo:a_hi, None] ^ b.fps[None, b_lo:b_hi]) <= radius)
-        x, y = x + a_lo, y + b_lo
+    for i, (lo, hi) in enumerate(a.bounds):
+        near = _gaps(a.lo[i], a.hi[i], b.lo, b.hi) <= radius
+        if two is None:
+            near[:i] = False
+        others = np.flatnonzero(near[b.block])
+        x, y = np.nonzero(np.bitwise_count(a.fps[lo:hi, None] ^ b.fps[others]) <= radius)
+        x, y = x + lo, others[y]
         of_x, of_y = label[x], label[y + base]
         apart = of_x != of_y
         if not apart.any():
