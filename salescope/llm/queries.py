@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salescope.llm import chat, decontamination, exact_dedup, filter_audit, jaccard_join, lm_score, mixing, simhash, substring_dedup, toxicity, url_filter, warc
+from salescope.llm import chat, decontamination, exact_dedup, filter_audit, jaccard_join, lexical_search, lm_score, mixing, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
     "op13_simhash": simhash.op13_simhash,
 }
 
@@ -25,4 +26,5 @@ ORACLE = {
     "op8_warc": warc.OP8_SQL,
     "op9_url_filter": url_filter.OP9_SQL,
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
 }
