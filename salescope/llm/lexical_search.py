@@ -42,7 +42,7 @@ ship(__name__)
 #: (query, term) pairs of one pass over the documents.
 QUERY_TERMS = 50_000
 #: Postings of an index block.
-BLOCK_POSTINGS = 500_000
+BLOCK_POSTINGS = 100_000
 SALTS = 64
 
 #: Byte by byte: A-Z lower-cased, other bytes of terms kept, the rest blank.
