@@ -42,7 +42,7 @@ ship(__name__)
 #: (query, term) pairs of one pass over the documents.
 QUERY_TERMS = 50_000
 #: Postings of an index block.
-BLOCK_POSTINGS = 100_000
+BLOCK_POSTINGS = 40_000
 SALTS = 64
 
 #: Byte by byte: A-Z lower-cased, other bytes of terms kept, the rest blank.
@@ -207,6 +207,8 @@ def prefix_bounds(maxima: list[int], partner: list[int], joint: list[int]) -> li
 def search_block(block: dict, ids: np.ndarray, queries: list[np.ndarray], best: list[Best], slots: np.ndarray) -> int:
     """Add a block's documents to the best ones of each query; gives the number of postings read for candidates.
 
+    The first and second, third and fourth, ... term of a query must be pairs the block was built for: one without a list has no document.
+
     ``slots`` is room for the place of each term of the vocabulary, all -1 between calls."""
     terms, starts, docs, impacts, maxima = (block[k] for k in ("terms", "starts", "docs", "impacts", "maxima"))
     slots[terms] = np.arange(len(terms))
