@@ -38,7 +38,7 @@ DROPPED = ("CustomerID", "UnitPrice")
 UNSPECIFIED_COUNTRY = "Unspecified"
 MAILOUT_NAME = "mailout"
 
-BOOKKEEPING = ("file_name", "row_pos", "dup_count")
+BOOKKEEPING = ("file_name", "row_pos", "dup_count", "absent")
 DEDUPE_KEYS = ("file_name", "invoice_no", "product_code")
 
 
@@ -119,13 +119,17 @@ def null_code_len_long(df: DataFrame) -> DataFrame:
     return _null_out(df, code_length_long(F.col("product_code")))
 
 
-def _all_present(cols: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols], F.lit(True))
+def _all_present(cols: list[str], df: DataFrame) -> Column:
+    """No value is missing; an extra column that the row's file does not have (``absent``) is not one."""
+    def present(c):
+        own = c in RENAMES.values() or "absent" not in df.columns
+        return F.col(c).isNotNull() if own else F.col(c).isNotNull() | F.array_contains("absent", c)
+    return reduce(lambda a, b: a & b, [present(c) for c in cols], F.lit(True))
 
 
 def drop_any_null(df: DataFrame) -> DataFrame:
     """Drop rows with a missing value in any data column."""
-    return df.filter(_all_present(data_columns(df)))
+    return df.filter(_all_present(data_columns(df), df))
 
 
 def positive_quantity(df: DataFrame) -> DataFrame:
@@ -193,7 +197,7 @@ def stage_flags(deduped: DataFrame) -> DataFrame:
         "_raw_date": F.col("invoice_date"),
         "invoice_no": to_number(F.col("invoice_no")),
         "invoice_date": parse_invoice_timestamp(F.col("invoice_date")),
-        "_code_ok": f(~code_length_rejected(F.col("product_code"))) & _all_present(others),
+        "_code_ok": f(~code_length_rejected(F.col("product_code"))) & _all_present(others, deduped),
         "_qty_ok": f(to_number(F.col("quantity")) > 0),
         "_place_ok": (f(F.col("country") != F.lit(UNSPECIFIED_COUNTRY))
                       & f(F.col("product_name") != F.lit(MAILOUT_NAME))),
@@ -233,7 +237,7 @@ def flagged(raw: DataFrame) -> DataFrame:
     })
     d = dedupe_first(pre)
     f = lambda e: F.coalesce(e, F.lit(False))
-    present = _all_present(["product_code", "product_name", "country", *extras]) & F.col("quantity")
+    present = _all_present(["product_code", "product_name", "country", *extras], d) & F.col("quantity")
     k_credits = F.col("_inv_num").isNotNull()
     k_dates = k_credits & F.col("invoice_date").isNotNull()
     k_codes = k_dates & f(~code_length_rejected(F.col("product_code"))) & present

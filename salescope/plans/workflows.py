@@ -14,20 +14,22 @@ All return lazy DataFrames except ``save_batch``, which writes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salescope.operators import feedback, lookup
 from salescope.plans import dashboard, etl
 from salescope.plans.params import DashboardParams
-from salescope.sources.csv_files import list_files, read_invoice_csv
+from salescope.sources.csv_files import file_label, list_files, read_invoice_csv
 from salescope.star_schema import Star
 
 
 def upload_report(spark: SparkSession, paths: list[str], **csv_options) -> tuple[DataFrame, DataFrame]:
-    """(per-file counts with n_removed and pct_removed, report matrix). Every input
-    file is listed, also one with no data row (its percent is NULL)."""
+    """(per-file counts with n_removed, pct_removed and file_label, the base name; report matrix). Every input
+    file is listed by its path, also one with no data row (its percent is NULL)."""
     files = list_files(spark, paths, csv_options.get("recursive", False))
     counts = feedback.with_percent(feedback.feedback_counts(read_invoice_csv(spark, paths, **csv_options), files))
-    return counts, feedback.feedback_matrix(counts.drop("n_removed", "pct_removed"))
+    matrix = feedback.feedback_matrix(counts.drop("n_removed", "pct_removed"))
+    return counts.withColumn("file_label", file_label(F.col("file_name"))), matrix
 
 
 def save_batch(spark: SparkSession, paths: list[str], tables_path: str, prefix: str, *,

@@ -1,35 +1,37 @@
 """Reading a batch of raw invoice CSV files.
 
 * S1: header line, comma, ISO-8859-1, doubled quotes inside quoted fields,
-  newlines inside quoted fields (``multi_line``), blank lines skipped. Every
-  column is read as text; typing happens in the cleaning rules.
+  newlines inside quoted fields, blank lines skipped. Every column is read as
+  text; typing happens in the cleaning rules.
 * S2: the pandas null markers become NULL after reading.
-* S3: a batch is many files read as one DataFrame; ``file_name`` (from the
-  hidden ``_metadata`` column) keys everything per file.
+* S3: a batch is many files read as one DataFrame; ``file_name``, the file's
+  path, keys everything per file, whatever else is in the batch
+  (``file_label`` is its base name, for display).
 * S4: ``row_pos`` = (start offset of the split, row id inside the task)
   orders rows as they appear in each file, so "first row" means the same as
   in a file read top to bottom, also when a large file is split.
 
-Spark's CSV reader binds columns by position. Files whose header lists the
-columns in another order are therefore grouped by header line and each group
-is read with its own schema, then the groups are combined by name. The
-header probe reads only the splits that start at offset 0 and keeps one line
-per file; ``uniform_header=True`` skips it when all files are known to share
-one header (the reader then still checks each file's header against it).
+Spark's CSV reader binds columns by position. The header of each file is read
+first (its first block alone, ``sources.headers``); files of one header are read
+with their own schema, and the groups are combined by name. A column that a file
+does not have is NULL there and listed in ``absent``, so that the cleaning does not
+take it for a missing value. ``uniform_header=True`` skips the header pass when
+all files are known to share one header (the reader then still checks each file's header against it).
 """
 
 from __future__ import annotations
 
 import csv
 import io
-from collections import Counter
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salescope.functions.coercion import NA_TOKENS, null_tokens_to_null
+from salescope.sources.headers import can_open, file_headers, listing_of, parse_header
+from salescope.sources.quoted_csv import read_split, split_states
 
 SOURCE_ENCODING = "ISO-8859-1"
 
@@ -61,103 +63,64 @@ def _as_read_path(uri: str) -> str:
     return unquote(uri)
 
 
-def file_name_of(c) -> "F.Column":
-    """Plain file name from a URI-encoded ``_metadata`` name ('a%20b.csv' -> 'a b.csv').
+def decoded(c: Column) -> Column:
+    """Plain path or name from a URI-encoded ``_metadata`` one ('a%20b.csv' -> 'a b.csv').
     A literal '+' is protected first: form decoding would turn it into a blank."""
     return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
 
 
-def parse_header(line: str) -> list[str]:
-    """Column names of a header line, made unique as the pandas reader does, left to
-    right against the names seen so far: an empty name becomes ``Unnamed: <position>``,
-    a repeat of ``A`` becomes ``A.1``, then ``A.2``, ... (``A.1.1`` if ``A.1`` was taken)."""
-    names = [n if n != "" else f"Unnamed: {i}" for i, n in enumerate(next(csv.reader(io.StringIO(line))))]
-    counts: dict[str, int] = {}
-    out = []
-    for name in names:
-        n = counts.get(name, 0)
-        while n > 0:
-            counts[name] = n + 1
-            name = f"{name}.{n}"
-            n = counts.get(name, 0)
-        counts[name] = n + 1
-        out.append(name)
-    return out
-
+def file_label(c: Column) -> Column:
+    """Base name of a file's path, for display; several files may have it."""
+    return F.element_at(F.split(c, "/"), -1)
 
-def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False,
-                  encoding: str = SOURCE_ENCODING) -> dict[str, list[tuple[str, int]]]:
-    """{header line: [(file path, file size)]} from the first non-blank line of each file.
 
-    Lines are read with the CSV reader itself (so the file encoding applies),
-    set to one raw column per physical line: quoting off, a separator that
-    does not occur in text. Distributed: only the splits starting at offset 0
-    contribute and one row per file (path, size, header line) comes back to
-    the driver, as a file listing would.
-    """
-    raw_lines = (spark.read
-                 .option("recursiveFileLookup", recursive)
-                 .option("encoding", encoding)
-                 .option("header", False)
-                 .option("multiLine", False)
-                 .option("sep", "\u0001")
-                 .option("quote", "\u0000")
-                 .schema("value STRING")
-                 .csv(paths))
-    lines = (raw_lines
+def _headers_by_reader(spark: SparkSession, paths: list[str], recursive: bool, encoding: str) -> DataFrame:
+    """(path, size, header) through Spark's reader, for stores that tasks cannot open themselves: every file is read once."""
+    lines = (spark.read
+             .option("recursiveFileLookup", recursive)
+             .option("encoding", encoding)
+             .option("header", False)
+             .option("multiLine", False)
+             .option("sep", "\u0001")
+             .option("quote", "\u0000")
+             .schema("value STRING")
+             .csv(paths)
              .select(F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_size").alias("size"),
                      F.col("_metadata.file_block_start").alias("start"),
                      F.monotonically_increasing_id().alias("pos"),
                      "value")
              .filter((F.col("start") == 0) & (F.trim("value") != "")))
-    firsts = lines.groupBy("path", "size").agg(F.min_by("value", "pos").alias("header"))
-    # One small row per file comes back (the driver lists every file anyway to
-    # plan the reads); grouping by header happens there, not in one task.
-    groups: dict[str, list[tuple[str, int]]] = {}
-    for r in firsts.collect():
-        groups.setdefault(r["header"], []).append((_as_read_path(r["path"]), r["size"]))
-    return {h: sorted(files) for h, files in groups.items()}
+    return lines.groupBy("path", "size").agg(F.min_by("value", "pos").alias("header"))
 
 
-def file_sizes(spark: SparkSession, paths: list[str], recursive: bool = False) -> list[tuple[str, int]]:
-    """(path, size) of every file, from a listing that does not read file contents."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
-               .select(F.col("_metadata.file_path").alias("path"), "length"))
-    return [(_as_read_path(r["path"]), r["length"]) for r in listing.collect()]
+def header_groups(spark: SparkSession, paths: list[str], recursive: bool = False,
+                  encoding: str = SOURCE_ENCODING) -> dict[str, list[tuple[str, int]]]:
+    """{header line: [(file URI, file size)]} from the first non-blank line of each file; files without one are left out.
+
+    Distributed: each task opens its files and reads their first blocks. One row per file (URI,
+    size, header line) comes back to the driver, as a file listing would.
+    """
+    listing = listing_of(spark, paths, recursive)
+    one = listing.limit(1).collect()
+    if one and can_open(one[0]["path"]):
+        found = file_headers(listing, encoding).filter("header IS NOT NULL")
+    else:
+        found = _headers_by_reader(spark, paths, recursive, encoding)
+    groups: dict[str, list[tuple[str, int]]] = {}
+    for r in found.collect():
+        groups.setdefault(r["header"], []).append((r["path"], r["size"]))
+    return {h: sorted(files) for h, files in groups.items()}
 
 
 def list_files(spark: SparkSession, paths: list[str] | str, recursive: bool = False) -> DataFrame:
-    """(file_name, file_path, file_size) of every input file, contents not read.
+    """(file_name, file_label, file_size) of every input file, contents not read.
 
-    Lets per-file reports include files that hold no data row (a header only).
+    Lets per-file reports include files that hold no data row (a header only, or blank lines).
     Zero-byte files are skipped by Spark's file scans and are not listed."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
-    listing = listing.select(file_name_of(F.col("_metadata.file_name")).alias("file_name"),
-                             F.col("_metadata.file_path").alias("file_path"), F.col("length").alias("file_size"))
-    # as read_invoice_csv names them: a base name that several files have does not tell them apart
-    once = listing.groupBy("file_name").agg((F.count_distinct("file_path") == 1).alias("once"))
-    return listing.join(once, "file_name").select(
-        F.when(F.col("once"), F.col("file_name")).otherwise(F.col("file_path")).alias("file_name"), "file_path", "file_size")
-
-
-def quoted_newlines(spark: SparkSession, paths: list[str], encoding: str = SOURCE_ENCODING) -> set[str]:
-    """The files of ``paths`` with a physical line that has an odd number of quotes. In all other files
-    every line ends outside quotes, so a record is a line and the file may be split."""
-    if not paths:
-        return set()
-    lines = (spark.read
-             .option("encoding", encoding)
-             .option("header", False)
-             .option("multiLine", False)
-             .option("sep", "\u0001")
-             .option("quote", "\u0000")
-             .schema("value STRING")
-             .csv(paths))
-    n_quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
-    odd = lines.filter(n_quotes % 2 == 1).select(F.col("_metadata.file_path").alias("path")).distinct()
-    return {_as_read_path(r["path"]) for r in odd.collect()}
+    name = decoded(F.col("path"))
+    return listing_of(spark, paths, recursive).select(name.alias("file_name"), file_label(name).alias("file_label"), F.col("size").alias("file_size"))
 
 
 _UNITS = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
@@ -171,83 +134,93 @@ def split_bytes(spark: SparkSession) -> int:
     return int(float(num) * _UNITS[unit])
 
 
-def _read_group(spark, paths, columns, encoding, multi_line, file_key, recursive=False,
-                check_header=True, shared_names=()) -> DataFrame:
+#: How a CSV file is parsed, by the reader or record by record.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+
+
+def _read_group(spark, uris, columns, encoding, mode, recursive=False, check_header=True, states=None) -> DataFrame:
+    if mode == "records":
+        df, path, pos = read_split(spark, {u: states[u] for u in uris}, [_as_read_path(u) for u in uris], columns, encoding, CSV_OPTIONS)
+        return df.select(decoded(path).alias("file_name"), pos.alias("row_pos"), *[F.col("row")[c].alias(c) for c in columns])
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    reader = _reader(spark, encoding, multi_line, recursive)
+    reader = _reader(spark, encoding, mode == "multi-line", recursive)
     if not check_header:
         # names were made unique, so they differ from the file's header text; the
         # probe already established the column order of every file in the group
         reader = reader.option("enforceSchema", True)
-    df = reader.schema(schema).csv(paths)
-    file_col = F.col("_metadata.file_path")
-    if file_key == "name":
-        name = file_name_of(F.col("_metadata.file_name"))
-        file_col = F.when(name.isin(*shared_names), file_col).otherwise(name) if shared_names else name
+    df = reader.schema(schema).csv([_as_read_path(u) for u in uris])
     return df.select(
-        file_col.alias("file_name"),
+        decoded(F.col("_metadata.file_path")).alias("file_name"),
         F.struct(F.col("_metadata.file_block_start").alias("block_start"),
                  F.monotonically_increasing_id().alias("row_id")).alias("row_pos"),
         *[F.col(f"`{c}`") for c in columns],
     )
 
 
-def _by_mode(files: list[tuple[str, int]], multi_line: bool | None, limit: int, broken: set[str]) -> dict[bool, list[str]]:
-    """Paths per multiLine setting. Auto (None): a file up to one split is read in
-    multi-line mode (it is one task either way), and so is a ``broken`` one, where a record
-    may span lines; another larger file is read splittable."""
-    out: dict[bool, list[str]] = {}
-    for path, size in files:
-        mode = (size <= limit or path in broken) if multi_line is None else multi_line
-        out.setdefault(mode, []).append(path)
+def _by_mode(files: list[tuple[str, int]], multi_line: bool | None, limit: int, states: dict) -> dict[str, list[str]]:
+    """Files per reading mode. Auto (None): a file up to one split is read in
+    multi-line mode (it is one task either way); a larger one line by line, or as cut records if some span lines."""
+    out: dict[str, list[str]] = {}
+    for uri, size in files:
+        if multi_line is None:
+            mode = "multi-line" if size <= limit else "records" if uri in states else "lines"
+        else:
+            mode = "multi-line" if multi_line else "lines"
+        out.setdefault(mode, []).append(uri)
     return out
 
 
 def read_invoice_csv(spark: SparkSession, paths: list[str] | str, *, encoding: str = SOURCE_ENCODING,
                      multi_line: bool | None = None, uniform_header: bool = False,
-                     null_tokens=NA_TOKENS, file_key: str = "name", recursive: bool = False) -> DataFrame:
-    """Raw invoice rows: file_name, row_pos, then one text column per header name.
+                     null_tokens=NA_TOKENS, recursive: bool = False) -> DataFrame:
+    """Raw invoice rows: file_name (path), row_pos, then one text column per header name; ``absent`` (the
+    columns a row's file does not have) if the files' columns differ.
 
     ``multi_line``: newlines inside quoted fields need Spark's multi-line
     mode, in which a file cannot be split and is read by one task. The
     default (None) gives the same rows for a file of any size: files up to
     ``spark.sql.files.maxPartitionBytes`` are read that way -- they would be a
-    single split anyway -- and larger files are read splittable if a first pass
-    over their lines shows that no record spans lines (``quoted_newlines``). Pass
-    True to spare that pass (one task per file), False to split all: the caller
-    then vouches that no field holds a newline.
-
-    ``file_key``: "name" calls a file by its base name, or by its path where
-    several files of the batch have that base name; "path" always by its path.
+    single split anyway. Larger files are split; a first pass over their lines with quotes finds
+    those with records that span lines, which are cut at true record ends (``sources.quoted_csv``). Pass
+    True to spare that pass (one task per file), False to split all at line ends: the caller
+    then vouches that no field holds a newline. For an encoding that is no superset of ASCII
+    (UTF-16, say) large files are read by one task each.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     limit = split_bytes(spark)
+    if multi_line is None and encoding.upper().startswith(("UTF-16", "UTF-32")):
+        multi_line = True
     # Both branches end with a list of individual files (no directory recursion needed below).
     if uniform_header:
-        listing = file_sizes(spark, paths, recursive)
+        listing = [(r["path"], r["size"]) for r in listing_of(spark, paths, recursive).collect()]
         groups = []
         if listing:
-            probe = _reader(spark, encoding, True).csv(listing[0][0])
+            probe = _reader(spark, encoding, True).csv(_as_read_path(listing[0][0]))
             groups = [(probe.columns, listing, True)]
     else:
         groups = [(parse_header(h), files, parse_header(h) == next(csv.reader(io.StringIO(h))))
                   for h, files in header_groups(spark, paths, recursive, encoding).items()]
-    listed = {path for _, files, _ in groups for path, _ in files}
-    large = [path for _, files, _ in groups for path, size in files if size > limit] if multi_line is None else []
-    broken = quoted_newlines(spark, large, encoding)
-    names = Counter(path.rsplit("/", 1)[-1] for path in listed)
-    shared = [name for name, n in names.items() if n > 1]
-    parts = [_read_group(spark, ps, cols, encoding, ml, file_key, check_header=plain, shared_names=shared)
-             for cols, files, plain in groups for ml, ps in _by_mode(files, multi_line, limit, broken).items()]
+    large = [uri for _, files, _ in groups for uri, size in files if size > limit] if multi_line is None else []
+    states = split_states(spark, [_as_read_path(u) for u in large]) if large else {}
+    if uniform_header and states:  # records that are cut here meet no reader that checks their file's header
+        for header, files in header_groups(spark, [_as_read_path(u) for u in states], False, encoding).items():
+            if next(csv.reader(io.StringIO(header))) != groups[0][0]:
+                raise ValueError(f"the header of {files[0][0]} is not {groups[0][0]}")
+    every = list(dict.fromkeys(c for cols, _, _ in groups for c in cols))
+    parts = []
+    for cols, files, plain in groups:
+        missing = F.lit([c for c in every if c not in cols]).cast("array<string>")
+        for mode, uris in _by_mode(files, multi_line, limit, states).items():
+            part = _read_group(spark, uris, cols, encoding, mode, check_header=plain, states=states)
+            parts.append(part if all(set(c) == set(every) for c, _, _ in groups) else part.withColumn("absent", missing))
     if not parts:
         # no file with a header line (e.g. only empty files): an empty raw frame
         return spark.createDataFrame([], EMPTY_RAW_SCHEMA)
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p, allowMissingColumns=True)
-    data = [c for c in df.columns if c not in ("file_name", "row_pos")]
-    return df.select("file_name", "row_pos", *[null_tokens_to_null(F.col(f"`{c}`"), null_tokens).alias(c)
-                                               for c in data])
+    keep = [c for c in ("file_name", "row_pos", "absent") if c in df.columns]
+    return df.select(*keep, *[null_tokens_to_null(F.col(f"`{c}`"), null_tokens).alias(c) for c in every])
 
 
 def write_invoice_csv(raw: DataFrame, path: str, encoding: str = SOURCE_ENCODING) -> None:
@@ -258,7 +231,7 @@ def write_invoice_csv(raw: DataFrame, path: str, encoding: str = SOURCE_ENCODING
     contiguous run of one file's rows and part-file order follows row order;
     no file, however large, is funnelled through a single task.
     """
-    data = [c for c in raw.columns if c not in ("file_name", "row_pos")]
+    data = [c for c in raw.columns if c not in ("file_name", "row_pos", "absent")]
     (raw.repartitionByRange("file_name", "row_pos")
         .sortWithinPartitions("file_name", "row_pos")
         .select("file_name", *data)

@@ -199,7 +199,7 @@ def raw_feed_via_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "feed_csv", uuid.uuid4().hex)
     write_invoice_csv(raw_feed_from_testdata(spark, sf_dir), path)
-    df = read_invoice_csv(spark, [path], file_key="path", recursive=True)
+    df = read_invoice_csv(spark, [path], recursive=True)
     return df.select(
         F.regexp_extract("file_name", r"file_name=([^/]+)/", 1).alias("file_name"),
         F.struct(F.col("file_name").alias("part"), F.col("row_pos.block_start").alias("block_start"),

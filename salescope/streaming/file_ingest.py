@@ -36,7 +36,7 @@ from salescope.functions.coercion import NA_TOKENS, null_tokens_to_null
 from salescope.operators import clean, feedback
 from salescope.operators.clean import RAW_COLUMNS
 from salescope.session import ensure_checkpoint_dir
-from salescope.sources.csv_files import SOURCE_ENCODING, file_name_of
+from salescope.sources.csv_files import SOURCE_ENCODING, decoded
 
 def raw_stream(spark: SparkSession, landing_dir: str, multi_line: bool = True,
                max_files_per_trigger: int | None = None, columns=RAW_COLUMNS) -> DataFrame:
@@ -54,7 +54,7 @@ def raw_stream(spark: SparkSession, landing_dir: str, multi_line: bool = True,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.csv(landing_dir)
-    return df.select(file_name_of(F.col("_metadata.file_name")).alias("file_name"),
+    return df.select(decoded(F.col("_metadata.file_path")).alias("file_name"),
                      F.col("_metadata.file_block_start").alias("_block_start"), *columns)
 
 

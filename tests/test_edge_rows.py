@@ -179,7 +179,7 @@ def test_columns_bound_by_name_across_files(spark, scratch):
     raw = read_invoice_csv(spark, [os.path.join(scratch, "f1.csv"), os.path.join(scratch, "f2.csv")])
     got = {r["CaseId"]: r for r in raw.collect()}
     assert got["b"]["InvoiceNo"] == "777777" and got["b"]["Country"] == "France"
-    assert got["a"]["file_name"] == "f1.csv" and got["b"]["file_name"] == "f2.csv"
+    assert got["a"]["file_name"] == f"file:{scratch}/f1.csv" and got["b"]["file_name"] == f"file:{scratch}/f2.csv"
 
 
 def test_row_order_within_split_files(spark, scratch):
@@ -252,7 +252,7 @@ def test_non_ascii_header_names_bind(spark, scratch):
 
 
 def test_duplicate_and_empty_header_names(spark, scratch):
-    from salescope.sources.csv_files import parse_header
+    from salescope.sources.headers import parse_header
 
     assert parse_header("A,B,A,,A,A.1") == ["A", "B", "A.1", "Unnamed: 3", "A.2", "A.1.1"]
     p = os.path.join(scratch, "dups.csv")
@@ -307,4 +307,4 @@ def test_files_of_one_base_name_stay_apart(spark, scratch):
         write_csv(p, HEADER, [dict(BASE, CaseId="1")])
     counts = feedback.feedback_counts(read_invoice_csv(spark, paths), list_files(spark, paths)).collect()
     assert len(counts) == 3 and all(r["n_original"] == r["n_dedupe"] == 1 for r in counts)
-    assert "other.csv" in {r["file_name"] for r in counts}
+    assert {r["file_name"] for r in counts} == {f"file:{p}" for p in paths}

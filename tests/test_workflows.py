@@ -19,16 +19,16 @@ def test_upload_save_and_view(spark, scratch):
     paths = [os.path.join(landing, f) for f in ("a.csv", "b.csv")]
 
     counts, matrix = workflows.upload_report(spark, paths + [os.path.join(landing, "c.csv")])
-    by_file = {r["file_name"]: r for r in counts.collect()}
+    by_file = {r["file_label"]: r for r in counts.collect()}
     assert by_file["c.csv"]["n_original"] == 0 and by_file["c.csv"]["pct_removed"] is None
     assert by_file["a.csv"]["n_original"] == len(rows)
     assert by_file["b.csv"]["n_total"] == 1 and by_file["b.csv"]["pct_removed"] == 0.0
-    assert set(matrix.columns) >= {"step", "a.csv", "b.csv", "c.csv"} and matrix.count() == 10
+    assert set(matrix.columns) >= {"step", *[f"file:{landing}/{f}.csv" for f in "abc"]} and matrix.count() == 10
 
     prefix = "wf" + uuid.uuid4().hex[:8]
     verdict = workflows.save_batch(spark, paths, os.path.join(scratch, "tables"), prefix, n_buckets=2,
                                    mode="strict")
-    v = {r["file_name"]: (r["invoices_accepted"], r["lines_accepted"]) for r in verdict.collect()}
+    v = {os.path.basename(r["file_name"]): (r["invoices_accepted"], r["lines_accepted"]) for r in verdict.collect()}
     assert v == {"a.csv": (True, True), "b.csv": (True, True)}
     star = workflows.stored_star(spark, os.path.join(scratch, "tables"), prefix)
 
@@ -57,7 +57,7 @@ def test_listed_names_match_reader_names(spark, scratch):
     write_csv(p, HEADER, [dict(BASE, CaseId="1")])
     files = list_files(spark, [p])
     counts = feedback.feedback_counts(read_invoice_csv(spark, [p]), files).collect()
-    assert [(r["file_name"], r["n_original"]) for r in counts] == [("my file é+1%.csv", 1)]
+    assert [(r["file_name"], r["n_original"]) for r in counts] == [(f"file:{p}", 1)]
 
 
 def test_only_empty_files(spark, scratch):
