@@ -56,6 +56,13 @@ def _invoices(star: Star, year: int | None, country: str | None = None) -> DataF
     return inv
 
 
+def _lines(star: Star, year: int | None) -> DataFrame:
+    """The lines; those of one year if they are stored with it (the others' files are then not read)."""
+    if year is None or INVOICE_YEAR not in star.lines.columns:
+        return star.lines
+    return star.lines.filter(F.col(INVOICE_YEAR) == F.lit(int(year)))
+
+
 def _order(df: DataFrame, mode: Mode, label_cols: list[str], limit: int | None) -> DataFrame:
     sales = F.col(SALES).asc() if mode == "flop" else F.col(SALES).desc()
     ordered = df.orderBy(sales, *[F.col(c).asc() for c in label_cols])
@@ -72,7 +79,7 @@ def _limit_for(mode: Mode) -> int | None:
 
 def rank_countries(star: Star, mode: Mode = "top", year: int | None = None) -> DataFrame:
     """(country, sales) by number of lines, top 10 / all / flop 10, optionally one year."""
-    per_invoice = star.lines.groupBy(INVOICE_NO).agg(F.count(F.lit(1)).alias("n_lines"))
+    per_invoice = _lines(star, year).groupBy(INVOICE_NO).agg(F.count(F.lit(1)).alias("n_lines"))
     inv = _invoices(star, year).select(INVOICE_NO, COUNTRY)
     counted = (per_invoice.join(inv, INVOICE_NO)
                .groupBy(COUNTRY).agg(F.sum("n_lines").cast("bigint").alias(SALES)))
@@ -83,7 +90,7 @@ def country_top_products(star: Star, country: str, year: int | None = None,
                          k: int = DRILL_LIMIT) -> DataFrame:
     """The k product *names* with most lines in one country (codes sharing a name merge)."""
     inv = _invoices(star, year, country).select(INVOICE_NO)
-    per_code = (star.lines.join(inv, INVOICE_NO)
+    per_code = (_lines(star, year).join(inv, INVOICE_NO)
                 .groupBy(PRODUCT_CODE).agg(F.count(F.lit(1)).alias("n_lines")))
     per_name = (per_code.join(star.products.select(PRODUCT_CODE, PRODUCT_NAME), PRODUCT_CODE)
                 .groupBy(PRODUCT_NAME).agg(F.sum("n_lines").cast("bigint").alias(SALES)))
@@ -92,7 +99,7 @@ def country_top_products(star: Star, country: str, year: int | None = None,
 
 def product_counts(star: Star, year: int | None = None) -> DataFrame:
     """(product_code, product_name, sales) for every product with at least one line."""
-    lines = star.lines
+    lines = _lines(star, year)
     if year is not None:
         lines = lines.join(_invoices(star, year).select(INVOICE_NO), INVOICE_NO)
     per_code = lines.groupBy(PRODUCT_CODE).agg(F.count(F.lit(1)).alias(SALES))
@@ -121,7 +128,7 @@ def product_top_countries(star: Star, product_code: str, year: int | None = None
     Lines are then counted per invoice before meeting the invoices.
     """
     code = F.lit(product_code)
-    lines = star.lines.filter(F.col(PRODUCT_CODE) == code)
+    lines = _lines(star, year).filter(F.col(PRODUCT_CODE) == code)
     known = star.products.filter(F.col(PRODUCT_CODE) == code).select(PRODUCT_CODE).distinct()
     per_invoice = (lines.join(F.broadcast(known), PRODUCT_CODE)
                    .groupBy(INVOICE_NO).agg(F.count(F.lit(1)).alias("n_lines")))

@@ -7,6 +7,7 @@ the same tables (the DuckDB oracle); column names and types agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +21,27 @@ from salescope.operators import quality as _quality
 from salescope.operators import star as _starops
 from salescope.plans import dashboard
 from salescope.plans import etl as _etl
+from salescope.plans import store as _store
 from salescope.plans.params import DashboardParams
 from salescope.plans.sql_twins import (
+    BATCH_CTES,
     CLEAN_STEP_KEYS,
     FEED_STAR_CTES,
     FEEDBACK_CTES,
     RAW_CTE,
     STAR_CTES,
+    STORE_STATE_SQL,
     STRICT_VERDICT_SQL,
+    SURROGATE_SQL,
     clean_step_sql,
 )
-from salescope.sources.testdata import raw_feed_from_testdata, raw_feed_via_csv, star_from_testdata
+from salescope.session import scratch_path
+from salescope.sources.testdata import (
+    raw_batches_from_testdata,
+    raw_feed_from_testdata,
+    raw_feed_via_csv,
+    star_from_testdata,
+)
 
 # Parameters used by the registered queries on the test tables
 # (the country and the product with most lines, a year with many invoices).
@@ -253,6 +264,39 @@ UNION ALL SELECT 'invoice_lines', count(*) FROM feed_lines""")(
     lambda spark, sf: _etl.table_counts(_etl.run_etl(_raw(spark, sf)).star))
 
 
+# The stored star after two batches that share a file: inserts, skips and renamed products.
+
+
+def _two_batches(spark, sf):
+    """(path, prefix) of a new store that the feed was loaded into in two batches."""
+    name = "store_" + uuid.uuid4().hex[:12]
+    path = scratch_path(spark, name)
+    for raw in raw_batches_from_testdata(spark, sf):
+        _store.load_batch(raw, path, name, n_buckets=16)
+    return path, name
+
+
+register("load_surrogate_ids", SURROGATE_SQL)(
+    lambda spark, sf: _store.open_star(spark, *_two_batches(spark, sf)).lines.select("line_id", "invoice_no", "product_code"))
+register("load_store_products", BATCH_CTES + "SELECT * FROM loaded_names")(
+    lambda spark, sf: _store.open_star(spark, *_two_batches(spark, sf)).products.select("product_code", "product_name"))
+
+
+def _store_state(spark, sf):
+    """Rows of each table by the ledger's two batches, and as read beside a third batch that was written but not committed."""
+    path, name = _two_batches(spark, sf)
+    other = _raw(spark, sf).withColumns({"InvoiceNo": _F.concat("InvoiceNo", _F.lit("77")), "Description": _F.concat("Description", _F.lit(" III"))})
+    _store.load_batch(other, path, name, commit=False)
+    read = _etl.table_counts(_store.open_star(spark, path, name))
+    one, two = (_F.max(_F.when(_F.col("seq") == k, _F.col("n"))).alias(c) for k, c in ((1, "n_first"), (2, "n_second")))
+    by_batch = _store.ledger(spark, path).selectExpr(
+        "seq", "stack(4, 'countries', n_countries, 'products', n_products, 'invoices', n_invoices, 'invoice_lines', n_lines) AS (table_name, n)")
+    return by_batch.groupBy("table_name").agg(one, two).join(read, "table_name")
+
+
+register("load_store_state", STORE_STATE_SQL)(_store_state)
+
+
 # --------------------------------------------------------------------------- integrity checks Q1-Q5
 
 

@@ -200,3 +200,37 @@ SELECT sf.file_name, coalesce(fi.n_inv, 0) AS invoices_offered, s.inv_ok AS invo
 FROM steps s JOIN sf ON sf.i = s.i LEFT JOIN fi ON fi.i = s.i LEFT JOIN fl ON fl.i = s.i
 WHERE s.i > 0
 """
+
+# The feed loaded as two batches that share a file (sources.testdata.raw_batches_from_testdata).
+_BATCH = """
+{b}_names AS (
+  SELECT product_code, replace(replace(regexp_replace(product_name, '\\s+$', ''), '"', ''), '/', '') AS product_name FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_code ORDER BY file_name DESC, k1, k2, k3, k4) AS rn FROM {b}) WHERE rn = 1),
+{b}_invoices AS (SELECT DISTINCT CAST(invoice_no AS BIGINT) AS invoice_no FROM {b} WHERE invoice_no = floor(invoice_no)
+  AND invoice_no BETWEEN -2147483648 AND 2147483647),
+{b}_lines AS (SELECT DISTINCT CAST(invoice_no AS BIGINT) AS invoice_no, product_code FROM {b} WHERE invoice_no = floor(invoice_no)
+  AND invoice_no BETWEEN -2147483648 AND 2147483647)"""
+BATCH_CTES = "WITH " + CLEAN_CTES + """,
+b1 AS (SELECT * FROM clean_drop_mailout WHERE file_name <= 'feed_2.csv'),
+b2 AS (SELECT * REPLACE (CASE WHEN product_code LIKE '%A' THEN product_name || ' II' ELSE product_name END AS product_name)
+       FROM clean_drop_mailout WHERE file_name >= 'feed_2.csv'),""" + _BATCH.format(b="b1") + "," + _BATCH.format(b="b2") + """,
+added_lines AS (SELECT * FROM b2_lines EXCEPT SELECT * FROM b1_lines),
+added_invoices AS (SELECT * FROM b2_invoices EXCEPT SELECT * FROM b1_invoices),
+added_countries AS (SELECT country FROM b2 EXCEPT SELECT country FROM b1),
+changed_names AS (SELECT n.* FROM b2_names n LEFT JOIN b1_names o USING (product_code)
+                  WHERE o.product_code IS NULL OR n.product_name <> o.product_name),
+loaded_names AS (SELECT * FROM changed_names UNION ALL
+                 SELECT * FROM b1_names WHERE product_code NOT IN (SELECT product_code FROM changed_names))
+"""
+SURROGATE_SQL = BATCH_CTES + """
+SELECT row_number() OVER (ORDER BY invoice_no, product_code) AS line_id, invoice_no, product_code FROM b1_lines
+UNION ALL
+SELECT (SELECT count(*) FROM b1_lines) + row_number() OVER (ORDER BY invoice_no, product_code), invoice_no, product_code FROM added_lines"""
+STORE_STATE_SQL = BATCH_CTES + """
+SELECT 'countries' AS table_name, (SELECT count(DISTINCT country) FROM b1) AS n_first, (SELECT count(*) FROM added_countries) AS n_second,
+       (SELECT count(DISTINCT country) FROM b1) + (SELECT count(*) FROM added_countries) AS n_rows
+UNION ALL SELECT 'products', (SELECT count(*) FROM b1_names), (SELECT count(*) FROM changed_names), (SELECT count(*) FROM loaded_names)
+UNION ALL SELECT 'invoices', (SELECT count(*) FROM b1_invoices), (SELECT count(*) FROM added_invoices),
+       (SELECT count(*) FROM b1_invoices) + (SELECT count(*) FROM added_invoices)
+UNION ALL SELECT 'invoice_lines', (SELECT count(*) FROM b1_lines), (SELECT count(*) FROM added_lines),
+       (SELECT count(*) FROM b1_lines) + (SELECT count(*) FROM added_lines)"""

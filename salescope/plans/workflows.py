@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.operators import feedback, lookup
-from salescope.plans import dashboard, etl
+from salescope.plans import dashboard, store
 from salescope.plans.params import DashboardParams
 from salescope.sources.csv_files import file_label, list_files, read_invoice_csv
 from salescope.star_schema import Star
@@ -34,17 +34,18 @@ def upload_report(spark: SparkSession, paths: list[str], **csv_options) -> tuple
 
 def save_batch(spark: SparkSession, paths: list[str], tables_path: str, prefix: str, *,
                n_buckets: int = 64, mode: str = "insert_new", **csv_options) -> DataFrame:
-    """Load the files into the star tables ``<prefix>_*`` stored under ``tables_path``;
-    returns the per-file verdict."""
+    """Load the files into the star stored under ``tables_path`` (tables ``<prefix>_*``), as one
+    batch that readers see whole or not at all; returns the per-file verdict."""
     raw = read_invoice_csv(spark, paths, **csv_options)
-    return etl.load_into_tables(raw, prefix, tables_path, n_buckets, mode=mode).verdict
+    return store.load_batch(raw, tables_path, prefix, n_buckets, mode=mode).verdict
 
 
 def stored_star(spark: SparkSession, tables_path: str, prefix: str) -> Star:
     """The star saved under ``tables_path``, also by another application."""
-    if not etl.open_store(spark, tables_path, prefix):
+    star = store.open_star(spark, tables_path, prefix)
+    if star is None:
         raise ValueError(f"no star is stored under {tables_path}")
-    return etl.table_star(spark, prefix, tables_path)
+    return star
 
 
 def country_view(star: Star, params: DashboardParams = DashboardParams()) -> DataFrame:

@@ -206,3 +206,17 @@ def raw_feed_via_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.col("row_pos.row_id").alias("row_id")).alias("row_pos"),
         *[c for c in df.columns if c not in ("file_name", "row_pos")],
     )
+
+
+# Fixed values of the two batches that the feed is loaded in: files up to, and from, this one (it is in both).
+SHARED_FILE = "feed_2.csv"
+RENAMED_SUFFIX = " II"
+
+
+def raw_batches_from_testdata(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The raw feed as two batches that share a file. In the second one, products with a code ending in 'a' have new names."""
+    raw = raw_feed_from_testdata(spark, sf_dir)
+    renamed = F.col("StockCode").endswith("a") & (F.col("Description") != "mailout")
+    again = raw.filter(F.col("file_name") >= SHARED_FILE).withColumn(
+        "Description", F.when(renamed, F.concat("Description", F.lit(RENAMED_SUFFIX))).otherwise(F.col("Description")))
+    return raw.filter(F.col("file_name") <= SHARED_FILE), again

@@ -47,7 +47,8 @@ def test_store_outlives_its_catalog(spark, scratch):
     for part in (files[:2], files[2:4], files[4:]):
         etl.load_into_tables(raw.filter(raw.file_name.isin(part)), prefix, scratch, n_buckets=4)
         _forget(spark, prefix)
-    stored = workflows.stored_star(spark, scratch, prefix)
+    assert etl.open_store(spark, scratch, prefix)
+    stored = etl.table_star(spark, prefix, scratch)
     once = etl.run_etl(raw).star
     for name in etl.STORED:
         assert _same(stored.tables()[name], once.tables()[name]), name
