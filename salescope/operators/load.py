@@ -20,10 +20,17 @@ a file whose keys all name it first is accepted, a file with a key already
 taken by an earlier accepted file is rejected. The smallest undecided file is
 always decided, and in practice all files are decided in one or two rounds.
 State is checkpointed to the shared checkpoint folder between rounds.
+Chains (each file shares a key with the next) need a round per link, so up to FOLD_PAIRS
+(file, shared key) pairs, a counted bound, are instead decided by one ordered pass in one task.
 """
 
 from __future__ import annotations
 
+import sys
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +38,13 @@ from salescope.session import ensure_checkpoint_dir
 from salescope.operators.star import in_int32, star_invoice_lines, star_invoices, whole_invoice_no
 
 
+# executors may not have this package: its functions travel by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Most (file, shared key) pairs that one task decides in order.
+FOLD_PAIRS = 1_000_000
+
+
 def fresh_countries(old: DataFrame, new: DataFrame) -> DataFrame:
     """Countries not in the table yet (the rows an append writes)."""
     return new.select("country").join(old.select("country"), "country", "left_anti")
@@ -84,6 +98,26 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _fold(contested: DataFrame, state: DataFrame) -> DataFrame:
+    """(file_name, accepted) of the files in ``contested``, taken in name order by one task: FOLD_PAIRS rows at most."""
+    def walk(batches):
+        taken: set[str] = set()
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        names, verdicts = [], []
+        for name, offered in groupby(rows, key=lambda r: r[0]):
+            offered = list(offered)
+            keys = {key for _, key, _ in offered}
+            good = offered[0][2] == "U" and taken.isdisjoint(keys)
+            if good:
+                taken |= keys
+            names.append(name)
+            verdicts.append(good)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(verdicts, pa.bool_())], ["file_name", "accepted"])
+
+    pairs = contested.join(state, "file_name").select("file_name", F.to_json(F.struct("key")).alias("key"), "status")
+    return pairs.repartition(1).sortWithinPartitions("file_name").mapInArrow(walk, "file_name string, accepted boolean")
+
+
 def greedy_accept(pairs: DataFrame, files: DataFrame, pre_rejected: DataFrame) -> DataFrame:
     """Files accepted by a left-to-right scan where a file is refused if it shares
     a key with an earlier accepted file, or is in ``pre_rejected``.
@@ -102,6 +136,10 @@ def greedy_accept(pairs: DataFrame, files: DataFrame, pre_rejected: DataFrame) -
         # No key is offered by two files: nothing is decided by file order.
         return state.select("file_name", (F.col("status") == "U").alias("accepted"))
     state = _checkpoint(state)
+    if contested.count() <= FOLD_PAIRS:
+        decided = _checkpoint(_fold(contested, state))
+        return state.join(decided, "file_name", "left").select(
+            "file_name", F.coalesce("accepted", F.col("status") == "U").alias("accepted"))
     # Every round decides at least the first open file, so the rounds end by themselves.
     before = None
     while (open_files := state.filter("status = 'U'").count()):

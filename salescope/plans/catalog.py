@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as _F
 
 from salescope.functions import names as _names
-from salescope.operators import clean, feedback, rank
+from salescope.operators import clean, feedback, rank, rollup
 from salescope.operators import load as _load
 from salescope.operators import lookup as _lookup
 from salescope.operators import quality as _quality
@@ -29,6 +29,7 @@ from salescope.plans.sql_twins import (
     FEED_STAR_CTES,
     FEEDBACK_CTES,
     RAW_CTE,
+    ROLLUP_SQL,
     STAR_CTES,
     STORE_STATE_SQL,
     STRICT_VERDICT_SQL,
@@ -295,6 +296,8 @@ def _store_state(spark, sf):
 
 
 register("load_store_state", STORE_STATE_SQL)(_store_state)
+register("load_rollup", ROLLUP_SQL)(
+    lambda spark, sf: rollup.merged(_store.open_rollup(spark, *_two_batches(spark, sf))))
 
 
 # --------------------------------------------------------------------------- integrity checks Q1-Q5

@@ -234,3 +234,10 @@ UNION ALL SELECT 'invoices', (SELECT count(*) FROM b1_invoices), (SELECT count(*
        (SELECT count(*) FROM b1_invoices) + (SELECT count(*) FROM added_invoices)
 UNION ALL SELECT 'invoice_lines', (SELECT count(*) FROM b1_lines), (SELECT count(*) FROM added_lines),
        (SELECT count(*) FROM b1_lines) + (SELECT count(*) FROM added_lines)"""
+ROLLUP_SQL = BATCH_CTES + """
+, headers AS (SELECT CAST(invoice_no AS BIGINT) AS invoice_no, CAST(year(invoice_date) AS INTEGER) AS invoice_year, country FROM (
+    SELECT *, row_number() OVER (PARTITION BY invoice_no ORDER BY file_name, k1, k2, k3, k4) AS rn
+    FROM clean_drop_mailout WHERE invoice_no = floor(invoice_no)) WHERE rn = 1)
+SELECT invoice_year, country, product_code, CAST(GROUPING_ID(invoice_year, country, product_code) AS INTEGER) AS level, count(*) AS sales
+FROM (SELECT * FROM b1_lines UNION ALL SELECT * FROM added_lines) JOIN headers USING (invoice_no)
+GROUP BY CUBE (invoice_year, country, product_code)"""

@@ -1,4 +1,4 @@
-"""The stored star, loaded batch by batch with one commit over its four tables.
+"""The stored star, loaded batch by batch with one commit over all its tables.
 
 Layout below a folder (catalog tables ``<prefix>_*`` point at it)::
 
@@ -6,6 +6,7 @@ Layout below a folder (catalog tables ``<prefix>_*`` point at it)::
     products/batch=B/bucket=K/...                hash buckets of products, rewritten only where a batch changes them
     invoices/batch=B/invoice_year=Y/...          new invoices, bucketed by invoice_no
     invoice_lines/batch=B/invoice_year=Y/...     new lines with line_id, bucketed by invoice_no
+    rollup/batch=B/level=L/...                   cube of the batch's new lines by year, country and product
     ledger/000001.json, ...                      one small file per committed batch, written last
 
 * One commit. A batch writes its rows under a number of its own and then one ledger file, renamed into place. Readers
@@ -16,6 +17,7 @@ Layout below a folder (catalog tables ``<prefix>_*`` point at it)::
 * Key checks without a shuffle of the stored rows. Offered rows are dealt into the stored buckets and meet only the range of invoice
   numbers they span (the files are sorted by it); the stored side is read bucket by bucket where it lies.
 * Lines are numbered without gaps (``operators.numbering``); a batch continues where the ledger says the last one ended.
+* The cube of a batch's new lines is added beside them (``operators.rollup``), so rankings need not read the lines.
 * Lines carry the year of their invoice as a partition, so a year's ranking reads one year.
 
 One writer at a time is assumed to move the store forward (another is refused, not merged); the folder must be on a file
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from salescope.operators import clean, feedback, load, star
 from salescope.operators.numbering import dense_numbers
+from salescope.operators.rollup import line_cube
 from salescope.operators.star import in_int32
 from salescope.plans.etl import LAYOUT, EtlResult, bucket_skewed, empty_star
 from salescope.session import ensure_checkpoint_dir
@@ -48,6 +51,7 @@ _TABLES = {
     "products": ("product_code STRING, product_name STRING", ("batch BIGINT", "bucket INT"), False),
     "invoices": ("invoice_no BIGINT, invoice_date DATE, country STRING", ("batch BIGINT", f"{INVOICE_YEAR} INT"), True),
     "invoice_lines": ("line_id BIGINT, invoice_no BIGINT, product_code STRING", ("batch BIGINT", f"{INVOICE_YEAR} INT"), True),
+    "rollup": (f"{INVOICE_YEAR} INT, country STRING, product_code STRING, sales BIGINT", ("batch BIGINT", "level INT"), False),
 }
 
 
@@ -171,6 +175,15 @@ def open_star(spark: SparkSession, path: str, prefix: str, upto: int | None = No
                 invoices=rows["invoices"].drop("batch"), lines=rows["invoice_lines"].drop("batch"))
 
 
+def open_rollup(spark: SparkSession, path: str, prefix: str, upto: int | None = None) -> DataFrame | None:
+    """The cubes of the committed batches (``operators.rollup`` answers the rankings from them); None if nothing was committed."""
+    done = [c for c in commits(spark, path) if upto is None or c.seq <= upto]
+    if not done:
+        return None
+    _open_tables(spark, path, prefix, done[0].n_buckets)
+    return spark.table(f"{prefix}_rollup").filter(F.col("batch").isin([c.batch for c in done])).drop("batch")
+
+
 # ----------------------------------------------------------------------------- loading
 
 
@@ -199,17 +212,19 @@ def new_invoices(stored: DataFrame, offered: DataFrame, n_buckets: int | None) -
 
 
 def new_lines(stored: Star, offered: DataFrame, added: DataFrame, products: DataFrame, n_buckets: int | None) -> DataFrame:
-    """Offered lines that are not stored and whose invoice and product are, with the invoice's year.
+    """Offered lines that are not stored and whose invoice and product are, with the invoice's year and country.
 
     ``added`` are the batch's new invoices, ``products`` the codes after it. The stored lines and invoices stay in their buckets."""
     dealt = _dealt(offered.select("invoice_no", "product_code").distinct(), n_buckets)
     lines = _within(stored.lines, offered).select("invoice_no", "product_code", F.lit(True).alias("_known")).hint("merge")
-    years = _within(stored.invoices, offered).select("invoice_no", F.year("invoice_date").alias("_stored")).hint("merge")
-    own = _dealt(added.select("invoice_no", F.year("invoice_date").alias("_added")), n_buckets).hint("merge")
+    header = F.struct(F.year("invoice_date").alias("year"), "country")
+    kept = _within(stored.invoices, offered).select("invoice_no", header.alias("_stored")).hint("merge")
+    own = _dealt(added.select("invoice_no", header.alias("_added")), n_buckets).hint("merge")
     fresh = (dealt.join(lines, ["invoice_no", "product_code"], "left").filter("_known IS NULL")
-             .join(years, "invoice_no", "left").join(own, "invoice_no", "left")
-             .withColumn(INVOICE_YEAR, F.coalesce("_stored", "_added")).filter(F.col(INVOICE_YEAR).isNotNull()))
-    return fresh.join(products.select("product_code"), "product_code", "left_semi").select("invoice_no", "product_code", INVOICE_YEAR)
+             .join(kept, "invoice_no", "left").join(own, "invoice_no", "left")
+             .withColumn("_header", F.coalesce("_stored", "_added")).filter(F.col("_header").isNotNull()))
+    return fresh.join(products.select("product_code"), "product_code", "left_semi").select(
+        "invoice_no", "product_code", F.col("_header.year").alias(INVOICE_YEAR), F.col("_header.country").alias("country"))
 
 
 def changed_products(stored: DataFrame, offered: DataFrame) -> DataFrame:
@@ -285,6 +300,7 @@ def load_batch(raw: DataFrame, path: str, prefix: str, n_buckets: int = 64, mode
     by_bucket = lambda df: df.select("*", mark).hint("rebalance", n_buckets, F.col("invoice_no"))
     _append(by_bucket(invoices.withColumn(INVOICE_YEAR, F.year("invoice_date"))), f"{prefix}_invoices")
     _append(by_bucket(lines), f"{prefix}_invoice_lines")
+    _append(line_cube(lines).select("*", mark).repartition("level"), f"{prefix}_rollup")
     seq = done[-1].seq + 1 if done else 1
     if commit:
         _commit(spark, path, Commit(seq, batch, n_buckets, touched, n_countries, n_products, n_invoices, n_lines, last + n_lines))

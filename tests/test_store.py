@@ -6,7 +6,7 @@ import uuid
 import pytest
 
 from conftest import SF001
-from salescope.operators import clean, quality, rank
+from salescope.operators import clean, quality, rank, rollup
 from salescope.operators import star as starops
 from salescope.operators.numbering import dense_numbers
 from salescope.plans import etl, store
@@ -202,6 +202,32 @@ def test_a_store_with_an_outsized_bucket(spark, scratch):
     assert all(same(got.tables()[n], want.tables()[n]) for n in ("countries", "invoices", "invoice_lines"))
 
 
+@pytest.mark.parametrize("upto", [1, 2])
+def test_all_rankings_from_the_rollup(spark, loaded, upto):
+    star, cubes = store.open_star(spark, *loaded, upto=upto), store.open_rollup(spark, *loaded, upto=upto)
+    code = star.lines.groupBy("product_code").count().orderBy("count", ascending=False).first()[0]
+    names = star.products
+    pairs = []
+    for year in (None, P_YEAR):
+        for mode in ("top", "all", "flop"):
+            pairs += [(rank.rank_countries(star, mode, year), rollup.rank_countries(cubes, mode, year)),
+                      (rank.rank_products(star, mode, year), rollup.rank_products(cubes, names, mode, year))]
+        pairs += [(rank.country_top_products(star, P_COUNTRY, year), rollup.country_top_products(cubes, names, P_COUNTRY, year)),
+                  (rank.product_top_countries(star, code, year), rollup.product_top_countries(cubes, code, year))]
+    pairs.append((rank.rank_products_by_name(star, P_YEAR), rollup.rank_products_by_name(cubes, names, P_YEAR)))
+    assert len(pairs) == 17
+    for direct, kept in pairs:
+        assert kept.columns == direct.columns and kept.collect() == direct.collect() != []
+        plan = _plan(kept)
+        assert "_rollup[" in plan and "_invoices[" not in plan and "_invoice_lines[" not in plan
+
+
+def test_rollup_reads_one_level(spark, loaded):
+    plan = _plan(rollup.rank_countries(store.open_rollup(spark, *loaded), "top", P_YEAR))
+    scan = next(line for line in plan.splitlines() if "FileScan" in line)
+    assert f"(level#" in scan.split("PartitionFilters")[1] and f"level={rollup.level_of('invoice_year', 'country')}" in scan
+
+
 def test_a_prefix_of_another_folder_is_refused(spark, loaded, scratch):
     _, prefix = loaded
     with pytest.raises(ValueError, match="another prefix"):

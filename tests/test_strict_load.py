@@ -100,3 +100,31 @@ def test_same_line_twice_after_coercion_rejects_lines(spark):
     got = {r["file_name"]: (r["invoices_accepted"], r["lines_accepted"]) for r in out["verdict"].collect()}
     assert got == {"f0.csv": (True, False), "f1.csv": (True, True)}
     assert sorted((r["invoice_no"], r["product_code"]) for r in out["lines"].collect()) == [(7, "A")]
+
+
+@pytest.mark.parametrize("bound", [load.FOLD_PAIRS, 0])
+def test_both_ways_decide_alike(spark, monkeypatch, bound):
+    monkeypatch.setattr(load, "FOLD_PAIRS", bound)
+    r = random.Random(11)
+    pairs = [(f"f{i:03d}", r.randrange(40)) for i in range(60) for _ in range(r.randrange(1, 5))]
+    refused = {f"f{i:03d}" for i in range(0, 60, 9)}
+    taken, want = set(), {}
+    for name in sorted({f for f, _ in pairs} | refused):
+        keys = {k for f, k in pairs if f == name}
+        want[name] = name not in refused and not keys & taken
+        taken |= keys if want[name] else set()
+    frame = spark.createDataFrame(pairs, "file_name string, key int")
+    got = load.greedy_accept(frame.selectExpr("file_name", "struct(key AS a, 'x' AS b) AS key"), spark.createDataFrame([(f,) for f in want], "file_name string"),
+                             spark.createDataFrame([(f,) for f in refused], "file_name string"))
+    assert {r["file_name"]: r["accepted"] for r in got.collect()} == want
+
+
+def test_a_chain_needs_no_round_per_link(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(load, "_checkpoint", lambda df: calls.append(1) or df.checkpoint(eager=True))
+    for n in (10, 1000):
+        calls.clear()
+        pairs = spark.createDataFrame([(f"f{i:04d}", k) for i in range(n) for k in (i, i + 1)], "file_name string, key int")
+        got = load.greedy_accept(pairs, pairs.select("file_name").distinct(), spark.createDataFrame([], "file_name string"))
+        assert {r["file_name"]: r["accepted"] for r in got.collect()} == {f"f{i:04d}": i % 2 == 0 for i in range(n)}
+        assert len(calls) == 3
