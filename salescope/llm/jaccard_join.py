@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +89,18 @@ def most_apart(percent: int, end: int) -> int:
     return (100 - percent) * (end + end * 100 // percent) // (100 + percent)
 
 
-@cache
+#: Schemes computed so far. A dictionary travels to executors by value; a function wrapped by a cache would not.
+_SCHEMES: dict[tuple[int, int, int], tuple[int, int]] = {}
+
+
 def parts_of(percent: int, low: int, end: int) -> tuple[int, int]:
     """Number of parts, and of them the empty ones that a set with ``low`` elements may have.
 
     With apart + 1 + spare parts at least spare + 1 are equal in a link, so with ``spare`` empty
     parts at most one filled part is equal.
     """
+    if (percent, low, end) in _SCHEMES:
+        return _SCHEMES[percent, low, end]
     apart = most_apart(percent, end)
     best = (2.0, 0)
     for spare in range(apart + 4):
@@ -109,7 +114,8 @@ def parts_of(percent: int, low: int, end: int) -> tuple[int, int]:
         best = min(best, (1 - total, spare))
         if 1 - total < RARE:
             break
-    return apart + 1 + best[1], best[1]
+    _SCHEMES[percent, low, end] = apart + 1 + best[1], best[1]
+    return _SCHEMES[percent, low, end]
 
 
 def part_keys(hashes: np.ndarray, scheme: int, parts: int, spare: int, level: int = 0) -> list[np.ndarray]:
