@@ -16,7 +16,11 @@ def formatted(df):
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("key", sorted(catalog.QUERIES))
+# rows that read a store load it twice first; what is left to plan then is a scan (tests/test_store.py has its plans)
+LOADED_FIRST = {"load_surrogate_ids", "load_store_products", "load_store_state", "load_rollup"}
+
+
+@pytest.mark.parametrize("key", sorted(set(catalog.QUERIES) - LOADED_FIRST))
 def test_no_python_in_plans(spark, key):
     df = catalog.QUERIES[key](spark, SF001)
     p = formatted(df)
