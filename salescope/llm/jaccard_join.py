@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm.common import attach, broadcast_if_small, ship, stored, table, text_of
+from salescope.llm.common import attach, broadcast_if_small, discard, ship, stored, table, text_of
 
 ship(__name__)
 
@@ -180,7 +180,7 @@ def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
-    """One row per node of ``reps`` (node, rep): node, n, set."""
+    """One row per node of ``reps`` (node, rep): node, set; stored."""
 
     def build(batches):
         for batch in batches:
@@ -190,9 +190,13 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
                     [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"]
                 )
 
-    ids = broadcast_if_small(stored(reps.select("rep").distinct(), "jaccard-reps"))
+    named = stored(reps.select("rep").distinct(), "jaccard-reps")
+    ids = broadcast_if_small(named)
     texts = docs.select("doc_id", text_of(docs).alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    return texts.select("text").mapInArrow(build, "node long, set binary").join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = texts.select("text").mapInArrow(build, "node long, set binary").join(reps.select("node"), "node", "left_semi")
+    sets = stored(sets.dropDuplicates(["node"]), "jaccard-sets")
+    discard(named)
+    return sets
 
 
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, exact_sketch: bool) -> DataFrame:
@@ -203,7 +207,7 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, perc
     pairs = stored(pairs.select("a", "b").distinct(), "jaccard-pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     reps = nodes.join(used, "node", "left_semi").select("node", "rep")
-    sets = stored(_sets(docs, reps, width), "jaccard-sets")
+    sets = _sets(docs, reps, width)
 
     def verify(batches):
         for batch in batches:
@@ -216,7 +220,9 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, perc
 
     full = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "x"}), "a")
     full = full.join(sets.withColumnsRenamed({"node": "b", "set": "y"}), "b").select("a", "b", "x", "y")
-    return stored(full.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    links = stored(full.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    discard(pairs, sets)
+    return links
 
 
 def _beside(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -242,10 +248,12 @@ def component_roots(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), "stars")
+        discard(edges)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         edges = stored(small, "stars")
+        discard(large)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -261,15 +269,23 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # only keys that occur twice are shuffled with their nodes; equal sets then count once
     keys = rows.select(F.explode("keys").alias("key"), "node")
     shared = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "jaccard-shared")
-    members = stored(keys.join(shared.hint("merge"), "key", "left_semi").distinct(), "jaccard-nodes-of-keys")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = stored(members.join(sizes, "key"), "jaccard-members")
-    popular = members.groupBy("node").agg(F.sum("members").alias("popular"))
-    members = stored(members.join(popular, "node").select("key", "node", "popular"), "jaccard-popular")
+    of_keys = stored(keys.join(shared.hint("merge"), "key", "left_semi").distinct(), "jaccard-nodes-of-keys")
+    plain = stored(rows.drop("keys", "sketch"), "jaccard-described")  # the keys are not read again
+    discard(shared, rows)
+    rows = plain
+    sizes = of_keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    sized = stored(of_keys.join(sizes, "key"), "jaccard-members")
+    discard(of_keys)
+    popular = sized.groupBy("node").agg(F.sum("members").alias("popular"))
+    members = stored(sized.join(popular, "node").select("key", "node", "popular"), "jaccard-popular")
+    discard(sized)
 
     links = None
     roots = None
+    labelled = None
     while True:
+        if labelled is not None:
+            discard(labelled)
         labelled = members if roots is None else members.join(roots, "node", "left")
         root = F.col("node") if roots is None else F.coalesce("root", "node")
         labelled = labelled.select("key", "node", "popular", root.alias("root"))
@@ -292,6 +308,7 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     if not new.isEmpty():
         links = new if links is None else links.unionByName(new)
         roots = component_roots(links)
+    discard(members, labelled)
     if roots is None:
         roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
