@@ -75,7 +75,9 @@ def _schedule(sources: DataFrame, block_words: int) -> DataFrame:
     chunk = 1 << 16
     s = s.withColumns({"low": low, "high": F.col("upper") * F.col("wide")})
     s = s.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low") - 1) / chunk))))
-    s = s.repartition(F.col("source_no"), F.col("c"))
+    # a number of its own: a few rows would be folded into one task, which then wrote all slots
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = s.repartition(tasks, "source_no", "c")
     first = F.col("low") + F.col("c") * chunk
     s = s.withColumn("j", F.explode(F.sequence(first, F.least(first + chunk, F.col("high")) - 1)))
     s = s.withColumn("slot", F.conv(F.reverse(F.lpad(F.bin("j"), F.col("m"), F.lit("0"))), 2, 10).cast("long"))
@@ -131,7 +133,7 @@ def mix_slots(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17) -
         "lo": F.greatest(F.col("begin") - base, F.lit(0)),
         "hi": F.least(F.col("begin") + F.col("size") - base, F.lit(block_words)),
     })
-    found = pieces.join(_schedule(sources, block_words), ["source_no", "block"], "left")
+    found = pieces.join(_schedule(sources, block_words).hint("merge"), ["source_no", "block"], "left")
     taken = F.when(F.col("slot").isNotNull(), F.greatest(F.least("hi", "upto") - F.col("lo"), F.lit(0)))
     return found.select(
         "doc_id", "size", "source_no", "source_size", "target", "range", "no", "slot",
