@@ -192,7 +192,9 @@ def read_warc(spark: SparkSession, uri: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    files = spark.read.parquet(f"{uri}/manifest").select("file").repartition("file")
+    # a number of its own: the few rows of a manifest would be folded into one task, which then read all files
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.read.parquet(f"{uri}/manifest").select("file").repartition(tasks, "file")
     return files.mapInArrow(
         read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
