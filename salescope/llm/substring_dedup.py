@@ -1,14 +1,17 @@
-"""Operator 10: substring dedup by hashing lines.
+"""Operator 10: substring dedup by hashing lines and runs of lines.
 
 A unit is a line, cut further after sentence ends, because repeated passages often stand inside
-a line. Units are normalised (A-Z lower-cased, runs of blanks made one space) and hashed to 128 bits.
-Digests are grouped over all documents; of each repeated unit the occurrence with the smallest
-(doc_id, start) stays and the others are removed. Offsets are code points of the original text. Units with
-fewer than ``min_words`` words stay always: they repeat by chance.
+a line. Units are normalised (A-Z lower-cased, runs of blanks made one space). A short unit repeats by chance, so what is
+hashed (to 128 bits) is a run of consecutive units with ``min_words`` words or more: a unit that is long enough by itself, and for a
+shorter one the shortest run that begins with it and the shortest that ends with it. So a repeated passage of
+short sentences is found whole if it has ``min_words`` words. Digests are grouped over all documents; of each
+repeated run the occurrence with the smallest (doc_id, start) stays and the others are removed. The first
+occurrence of a unit's text always stays: a run that removes it has an earlier occurrence, which holds that text.
+Offsets are code points of the original text; runs may overlap.
 
-A unit that a third of all rows hold is combined before the shuffle, and its row comes back to the units by broadcast.
+A run that a third of all rows hold is combined before the shuffle, and its row comes back to the units by broadcast.
 
-Defined cases: null and empty texts have no units; a null doc_id ranks last; repeated rows
+Defined cases: null and empty texts have no units; a text with fewer than ``min_words`` words has no run; a null doc_id ranks last; repeated rows
 of one doc_id are one document, so they keep or lose the same units; an empty table gives an empty
 result; other columns of the input do not matter.
 """
@@ -19,7 +22,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from salescope.llm.common import LOWER, UPPER, attach, ship, stored, table, text_of
@@ -33,16 +36,32 @@ TO_LOWER = str.maketrans(UPPER, LOWER)
 OUT_UNITS = 20_000
 
 
-def units(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the units of ``text`` with ``min_words`` or more."""
-    out = []
+def runs(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of the runs of units of ``text``, in order, each once."""
+    plain, at, words = [], [], [0]
     for m in UNIT.finditer(text):
-        found = m.group().split()
-        if len(found) >= max(1, min_words):
-            start = m.start() + len(m.group()) - len(m.group().lstrip())
-            end = m.end() - (len(m.group()) - len(m.group().rstrip()))
-            plain = " ".join(found).translate(TO_LOWER)
-            out.append((start, end, len(found), hashlib.blake2b(plain.encode(), digest_size=16).digest()))
+        piece = m.group()
+        if found := piece.split():
+            at.append((m.start() + len(piece) - len(piece.lstrip()), m.end() - (len(piece) - len(piece.rstrip()))))
+            plain.append(" ".join(found).translate(TO_LOWER))
+            words.append(words[-1] + len(found))
+    least, n = max(1, min_words), len(plain)
+    spans = set()
+    first, last = 0, 0
+    for i in range(n):
+        # [i, last) is the shortest run from unit i; [first, i] the shortest up to it
+        while last < n and words[last] - words[i] < least:
+            last += 1
+        if words[last] - words[i] >= least:
+            spans.add((i, last))
+        while words[i + 1] - words[first + 1] >= least:
+            first += 1
+        if words[i + 1] - words[first] >= least:
+            spans.add((first, i + 1))
+    out = []
+    for i, j in sorted(spans):
+        digest = hashlib.blake2b(" ".join(plain[i:j]).encode(), digest_size=16).digest()
+        out.append((at[i][0], at[j - 1][1], words[j] - words[i], digest))
     return out
 
 
@@ -61,7 +80,7 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
                 )
 
             for i in range(batch.num_rows):
-                found = units(batch.column(1)[i].as_py(), min_words)
+                found = runs(batch.column(1)[i].as_py(), min_words)
                 rows += found
                 at += [i] * len(found)
                 if len(rows) >= OUT_UNITS:
@@ -75,7 +94,7 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The units to remove: doc_id, start, end, n_words, first_doc_id, first_start, occurrences."""
+    """The runs to remove: doc_id, start, end, n_words, first_doc_id, first_start, occurrences."""
     found = stored(_units(docs, min_words), "line-units")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("occurrences"))
@@ -89,9 +108,13 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated units cut from the texts and ``removed``, their [start, end) in the original text."""
-    spans = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_cut"))
+    """``docs`` with the repeated runs cut from the texts and ``removed``, their [start, end) in the original text, overlaps merged."""
+    earlier = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = repeated_units(docs, min_words).select("doc_id", "start", "end").distinct()
+    spans = spans.withColumn("opens", (F.col("start") > F.coalesce(F.max("end").over(earlier), F.lit(-1))).cast("long"))
+    spans = spans.withColumn("island", F.sum("opens").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
     spans = stored(spans, "line-cuts")
     rows = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_doc"]), "left")
     cut = F.coalesce("_cut", F.array().cast("array<struct<start:long,end:long>>"))

@@ -94,6 +94,38 @@ def test_repeated_lines_go_and_offsets_fit(spark):
     assert substring_dedup.repeated_units(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_repeated_passages_of_short_sentences_go_whole(spark):
+    passage = " ".join(" ".join(words(50 + k, 6)).capitalize() + f" n{k}." for k in range(10))
+    rows = [(1, "Own begin of one here. " + passage + " Own end."), (2, "Other begin. " + passage + " Last words of two."), (3, "Own end. Yes.")]
+    found = substring_dedup.repeated_units(docs_of(spark, rows)).collect()
+    assert {f.doc_id for f in found} == {2}
+    assert {f.first_doc_id for f in found} == {1} and {f.occurrences for f in found} == {2}
+    out = {r.doc_id: (r.text, r.removed) for r in substring_dedup.remove_repeats(docs_of(spark, rows)).collect()}
+    start = rows[1][1].index(passage)
+    assert out[1] == (rows[0][1], []) and out[3] == (rows[2][1], [])
+    assert out[2] == ("Other begin.  Last words of two.", [(start, start + len(passage))])
+
+
+def test_repeated_runs_match_brute_force(spark):
+    r, rows = random.Random(3), []
+    for i in range(40):
+        rows.append((i, "".join(" ".join(words(r.randrange(3), r.choice([2, 3, 5, 9]))) + r.choice([". ", "\n", "! "]) for _ in range(r.randrange(9)))))
+    runs, least = {}, 6
+    for i, text in rows:
+        pieces = [(m.start(), m.end(), m.group().split()) for m in re.finditer(r"\S[^.!\n]*[.!]?", text)]
+        size = lambda a, b: sum(len(p[2]) for p in pieces[a:b])
+        for a, b in itertools.combinations(range(len(pieces) + 1), 2):
+            if size(a, b) >= least and (size(a, b - 1) < least or size(a + 1, b) < least):
+                # shortest from its first unit, or shortest up to its last
+                content = tuple(w for p in pieces[a:b] for w in p[2])
+                runs.setdefault(content, []).append((i, pieces[a][0], pieces[b - 1][1], size(a, b)))
+    want = {(*at, *min(places)[:2], len(places)) for places in runs.values() for at in places if at != min(places)}
+    got = list(map(tuple, substring_dedup.repeated_units(docs_of(spark, rows), least).collect()))
+    assert len(got) == len(want) > 50 and set(got) == want
+    left = {" ".join(p.split()) for row in substring_dedup.remove_repeats(docs_of(spark, rows), least).collect() for p in re.findall(r"\S[^.!\n]*[.!]?", row.text)}
+    assert left >= {" ".join(p.split()) for _, text in rows for p in re.findall(r"\S[^.!\n]*[.!]?", text)}
+
+
 def test_warc_round_trip(spark, scratch):
     big = "<p>" + "x" * 200 + "é</p>"
     rows = [(1, "http://a/ b\r\nc", big, "d"), (5000, "http://b", big, "d"), (2, None, None, "d"), (3, "u", "short", "d"), (4, "u", "short", "d"), (6, "u", "y" * 300000, "d"), (-9, "v", big, "d")]
