@@ -1,17 +1,17 @@
 """Operator 10: substring dedup by hashing lines and runs of lines.
 
 A unit is a line, cut further after sentence ends, because repeated passages often stand inside
-a line. Units are normalised (A-Z lower-cased, runs of blanks made one space). A short unit repeats by chance, so what is
-hashed (to 128 bits) is a run of consecutive units with ``min_words`` words or more: a unit that is long enough by itself, and for a
-shorter one the shortest run that begins with it and the shortest that ends with it. So a repeated passage of
-short sentences is found whole if it has ``min_words`` words. Digests are grouped over all documents; of each
+a line. Units are normalised (A-Z lower-cased, runs of blanks made one space). A unit of ``min_words`` words or more
+is hashed (to 128 bits) by itself. A shorter one repeats by chance, also beside another short one; it is hashed in the shortest
+run of consecutive units with ``run_words`` words or more that begins with it, and in the shortest that ends with it. So a
+repeated passage of sentences of any length is found whole if it has 2 * ``run_words`` words. Digests are grouped over all documents; of each
 repeated run the occurrence with the smallest (doc_id, start) stays and the others are removed. The first
 occurrence of a unit's text always stays: a run that removes it has an earlier occurrence, which holds that text.
 Offsets are code points of the original text; runs may overlap.
 
 A run that a third of all rows hold is combined before the shuffle, and its row comes back to the units by broadcast.
 
-Defined cases: null and empty texts have no units; a text with fewer than ``min_words`` words has no run; a null doc_id ranks last; repeated rows
+Defined cases: null and empty texts have no units; a text with fewer than ``min_words`` words has nothing to compare; a null doc_id ranks last; repeated rows
 of one doc_id are one document, so they keep or lose the same units; an empty table gives an empty
 result; other columns of the input do not matter.
 """
@@ -30,14 +30,16 @@ from salescope.llm.common import LOWER, UPPER, attach, ship, stored, table, text
 ship(__name__)
 
 MIN_WORDS = 8
+#: Half of the shortest passage that is found whatever the length of its sentences.
+RUN_WORDS = 25
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?![ \n]|$)[^\n.!?]*)*[.!?]*")
 TO_LOWER = str.maketrans(UPPER, LOWER)
 #: Units of one Arrow batch that leaves a Python task.
 OUT_UNITS = 20_000
 
 
-def runs(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of the runs of units of ``text``, in order, each once."""
+def runs(text: str, min_words: int, run_words: int) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest) of what is hashed of ``text``, in order, each once."""
     plain, at, words = [], [], [0]
     for m in UNIT.finditer(text):
         piece = m.group()
@@ -45,18 +47,21 @@ def runs(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
             at.append((m.start() + len(piece) - len(piece.lstrip()), m.end() - (len(piece) - len(piece.rstrip()))))
             plain.append(" ".join(found).translate(TO_LOWER))
             words.append(words[-1] + len(found))
-    least, n = max(1, min_words), len(plain)
+    n = len(plain)
     spans = set()
     first, last = 0, 0
     for i in range(n):
         # [i, last) is the shortest run from unit i; [first, i] the shortest up to it
-        while last < n and words[last] - words[i] < least:
+        while last < n and words[last] - words[i] < run_words:
             last += 1
-        if words[last] - words[i] >= least:
-            spans.add((i, last))
-        while words[i + 1] - words[first + 1] >= least:
+        while words[i + 1] - words[first + 1] >= run_words:
             first += 1
-        if words[i + 1] - words[first] >= least:
+        if words[i + 1] - words[i] >= min_words:
+            spans.add((i, i + 1))
+            continue
+        if words[last] - words[i] >= run_words:
+            spans.add((i, last))
+        if words[i + 1] - words[first] >= run_words:
             spans.add((first, i + 1))
     out = []
     for i, j in sorted(spans):
@@ -65,7 +70,7 @@ def runs(text: str, min_words: int) -> list[tuple[int, int, int, bytes]]:
     return out
 
 
-def _units(docs: DataFrame, min_words: int) -> DataFrame:
+def _units(docs: DataFrame, min_words: int, run_words: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
@@ -80,7 +85,7 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
                 )
 
             for i in range(batch.num_rows):
-                found = runs(batch.column(1)[i].as_py(), min_words)
+                found = runs(batch.column(1)[i].as_py(), min_words, run_words)
                 rows += found
                 at += [i] * len(found)
                 if len(rows) >= OUT_UNITS:
@@ -93,9 +98,9 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.mapInArrow(cut, f"doc_id {kind}, start long, end long, n_words long, digest binary")
 
 
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """The runs to remove: doc_id, start, end, n_words, first_doc_id, first_start, occurrences."""
-    found = stored(_units(docs, min_words), "line-units")
+    found = stored(_units(docs, max(1, min_words), max(1, run_words)), "line-units")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "start")
     groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("occurrences"))
     groups = stored(groups.filter("occurrences > 1"), "line-groups")
@@ -107,10 +112,10 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with the repeated runs cut from the texts and ``removed``, their [start, end) in the original text, overlaps merged."""
     earlier = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    spans = repeated_units(docs, min_words).select("doc_id", "start", "end").distinct()
+    spans = repeated_units(docs, min_words, run_words).select("doc_id", "start", "end").distinct()
     spans = spans.withColumn("opens", (F.col("start") > F.coalesce(F.max("end").over(earlier), F.lit(-1))).cast("long"))
     spans = spans.withColumn("island", F.sum("opens").over(earlier.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))

@@ -108,21 +108,22 @@ def test_repeated_passages_of_short_sentences_go_whole(spark):
 
 def test_repeated_runs_match_brute_force(spark):
     r, rows = random.Random(3), []
-    for i in range(40):
+    for i in range(90):
         rows.append((i, "".join(" ".join(words(r.randrange(3), r.choice([2, 3, 5, 9]))) + r.choice([". ", "\n", "! "]) for _ in range(r.randrange(9)))))
-    runs, least = {}, 6
+    runs, least, most = {}, 6, 9
     for i, text in rows:
         pieces = [(m.start(), m.end(), m.group().split()) for m in re.finditer(r"\S[^.!\n]*[.!]?", text)]
         size = lambda a, b: sum(len(p[2]) for p in pieces[a:b])
         for a, b in itertools.combinations(range(len(pieces) + 1), 2):
-            if size(a, b) >= least and (size(a, b - 1) < least or size(a + 1, b) < least):
-                # shortest from its first unit, or shortest up to its last
+            from_first = size(a, a + 1) < least and size(a, b) >= most > size(a, b - 1)
+            to_last = size(b - 1, b) < least and size(a, b) >= most > size(a + 1, b)
+            if (b == a + 1 and size(a, b) >= least) or from_first or to_last:
                 content = tuple(w for p in pieces[a:b] for w in p[2])
                 runs.setdefault(content, []).append((i, pieces[a][0], pieces[b - 1][1], size(a, b)))
     want = {(*at, *min(places)[:2], len(places)) for places in runs.values() for at in places if at != min(places)}
-    got = list(map(tuple, substring_dedup.repeated_units(docs_of(spark, rows), least).collect()))
+    got = list(map(tuple, substring_dedup.repeated_units(docs_of(spark, rows), least, most).collect()))
     assert len(got) == len(want) > 50 and set(got) == want
-    left = {" ".join(p.split()) for row in substring_dedup.remove_repeats(docs_of(spark, rows), least).collect() for p in re.findall(r"\S[^.!\n]*[.!]?", row.text)}
+    left = {" ".join(p.split()) for row in substring_dedup.remove_repeats(docs_of(spark, rows), least, most).collect() for p in re.findall(r"\S[^.!\n]*[.!]?", row.text)}
     assert left >= {" ".join(p.split()) for _, text in rows for p in re.findall(r"\S[^.!\n]*[.!]?", text)}
 
 
