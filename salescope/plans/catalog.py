@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as _F
 
 from salescope.functions import names as _names
-from salescope.operators import clean, feedback, rank, rollup
+from salescope.operators import clean, feedback, paging, quarantine, rank, rollup
 from salescope.operators import load as _load
 from salescope.operators import lookup as _lookup
 from salescope.operators import quality as _quality
@@ -450,3 +450,51 @@ UNION ALL
  WHERE products.product_code = '{P_PRODUCT}' GROUP BY country ORDER BY sales DESC, country LIMIT 5)"""
 register("dashboard_product", _DASH_P)(
     lambda spark, sf: dashboard.dashboard_product(_star(spark, sf), DashboardParams(product_code=P_PRODUCT)))
+
+
+# --------------------------------------------------------------------------- paged fetch S10, quarantine Q5/L10
+
+P_PAGE = 300
+
+
+def _second_page(spark, sf):
+    counted = rank.product_counts(_star(spark, sf))
+    first = paging.page(counted, P_PAGE, ["product_code"])
+    return paging.page(counted, P_PAGE, ["product_code"], after=paging.cursor_of(first, ["product_code"]))
+
+
+register("page_products", _PRODUCT_RANK_SQL.format(dir="DESC", limit=f"LIMIT {P_PAGE} OFFSET {P_PAGE}"))(_second_page)
+
+# Limits narrow enough for the feed to break each of them.
+P_LIMITS = quarantine.Limits(country=8, product_code=5, product_name=11, invoice_no=(0, 50_000))
+
+_QUARANTINE_CTES = _FS.rstrip() + f""",
+judged AS (
+  SELECT * FROM (
+    SELECT *, list_filter([
+      CASE WHEN length(country) > {P_LIMITS.country} THEN 'country_too_long' END,
+      CASE WHEN invoice_no <> floor(invoice_no) THEN 'invoice_no_fractional' END,
+      CASE WHEN invoice_no = floor(invoice_no)
+        AND invoice_no NOT BETWEEN {P_LIMITS.invoice_no[0]} AND {P_LIMITS.invoice_no[1]} THEN 'invoice_no_out_of_range' END,
+      CASE WHEN length(product_code) > {P_LIMITS.product_code} THEN 'product_code_too_long' END,
+      CASE WHEN length(replace(replace(regexp_replace(product_name, '\\s+$', ''), '"', ''), '/', '')) > {P_LIMITS.product_name}
+        THEN 'product_name_too_long' END], lambda x: x IS NOT NULL) AS reasons
+    FROM clean_drop_mailout))
+"""
+register("quarantine_report", _QUARANTINE_CTES + """
+SELECT file_name, reason, count(*) AS n_rows FROM (
+  SELECT file_name, unnest(CASE WHEN len(reasons) = 0 THEN ['none'] ELSE reasons END) AS reason FROM judged)
+GROUP BY file_name, reason""")(
+    lambda spark, sf: quarantine.reject_report(_clean_rows(spark, sf), P_LIMITS))
+
+
+def _rejects(spark, sf):
+    path = scratch_path(spark, f"quarantine-{uuid.uuid4().hex}")
+    _, rejects = quarantine.quarantine(_clean_rows(spark, sf), path, P_LIMITS)
+    return rejects.select("file_name", "invoice_no", "product_code", "product_name", "country", _F.concat_ws(",", "reasons").alias("reasons"))
+
+
+register("load_quarantine", _QUARANTINE_CTES + """
+SELECT file_name, CAST(invoice_no AS DOUBLE) AS invoice_no, product_code, product_name, country, array_to_string(reasons, ',') AS reasons
+FROM judged WHERE len(reasons) > 0""")(
+    _rejects)
