@@ -466,7 +466,7 @@ def _second_page(spark, sf):
 register("page_products", _PRODUCT_RANK_SQL.format(dir="DESC", limit=f"LIMIT {P_PAGE} OFFSET {P_PAGE}"))(_second_page)
 
 # Limits narrow enough for the feed to break each of them.
-P_LIMITS = quarantine.Limits(country=8, product_code=5, product_name=11, invoice_no=(0, 50_000))
+P_LIMITS = quarantine.Limits(country=8, product_code=5, product_name=11, invoice_no=(0, 10_000))
 
 _QUARANTINE_CTES = _FS.rstrip() + f""",
 judged AS (
