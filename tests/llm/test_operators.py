@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,12 +183,12 @@ def test_lm_keeps_what_it_learnt_in_a_larger_corpus(spark):
 
 def test_swapped_identities_do_not_move_the_score():
     rows = [[toxicity.bucket(w) for w in t.split()] for t in ["awful women here", "awful women there", "nice men here", "nice men there"] * 5]
-    import numpy as np
-
     labels = np.array([1, 1, 0, 0] * 5)
     rows = [np.array(sorted(r), np.int32) for r in rows]
     gap = lambda w: abs(w[toxicity.bucket("women")] - w[toxicity.bucket("men")])
-    free, held = (toxicity.fit(rows, labels, penalty=p)[0] for p in (0.0, 20.0))
+    women, men = toxicity.bucket("women"), toxicity.bucket("men")
+    swaps = [([women], [men]) if women in r else ([men], [women]) for r in rows]
+    free, held = (toxicity.fit(rows, labels, swaps, penalty=p)[0] for p in (0.0, 20.0))
     assert gap(held) < 0.2 * gap(free) and held[toxicity.bucket("awful")] > 0
 
 
@@ -208,6 +209,57 @@ def test_swapped_sentences_score_alike(spark):
         assert max(at) - min(at) < 1, by
 
 
+def test_found_groups_are_swapped_and_held_level(spark):
+    # names of an invented language, one of them more often in toxic rows; insults are no names
+    r, rows = random.Random(5), []
+    names = [f"nam{c}ka" for c in "abcd"]
+    for i in range(600):
+        name = names[0] if r.random() < (0.5 if i % 2 else 0.2) else r.choice(names[1:])
+        rows.append((i, f"{'grobix' if i % 2 and r.random() < 0.7 else 'milo'} w{r.randrange(40)}. su {name} lo"))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    texts = docs_of(spark, rows).withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    common, toxicity.COMMON = toxicity.COMMON, 0.5
+    try:
+        assert [set(g) for g in toxicity.identity_groups(texts, 600, 300) if set(g) & set(names)] == [set(names)]
+        model = toxicity.train(docs_of(spark, rows), labels, F.lit(True))
+    finally:
+        toxicity.COMMON = common
+    assert model.n_counterfactuals >= 3 * 600
+    weight = lambda n: sum(model.weights.get(f, 0.0) for f in toxicity.parts(n))
+    held = [weight(n) for n in names]
+    others = toxicity.turns(toxicity.IDENTITY + model.groups)
+    changed = [toxicity.changes(t, others) for _, t in rows]
+    # the same rows without the penalty
+    free = toxicity.fit([toxicity.features(t) for _, t in rows], np.array([i % 2 for i, _ in rows]),
+                        [(c[k], c[k + 1]) for c in changed for k in range(0, len(c), 2)], penalty=0.0)[0]
+    loose = [sum(free[f] for f in toxicity.parts(n)) for n in names]
+    assert max(held) - min(held) < 0.3 * (max(loose) - min(loose)) and weight("grobix") > 1
+
+
+def test_counterfactuals_match_the_swapped_text():
+    r = random.Random(2)
+    groups = (("alba", "albor", "cora"), ("dim", "dimmer"))
+    pool = ["alba", "albor", "cora", "dim", "dimmer", "alb", "albino", "other", "words"]
+    others = toxicity.turns(groups)
+    for _ in range(200):
+        text = " ".join(r.choice(pool) for _ in range(r.randrange(6)))
+        want = []
+        for by in (1, 2):
+            other = {a: g[(i + by) % len(g)] for g in groups for i, a in enumerate(g)}
+            turned = " ".join(other.get(w, w) for w in text.split())
+            if set(turned.split()) != set(text.split()):
+                a, b = set(toxicity.features(text)), set(toxicity.features(turned))
+                want += [sorted(a - b), sorted(b - a)]
+        assert toxicity.changes(text, others) == want
+
+
+def test_counterfactuals_occur_in_the_given_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, toxicity.trainable(F.col("doc_id")))
+    assert model.n_counterfactuals > 0 and model.groups
+
+
 def test_toxicity_edges(spark):
     docs = docs_of(spark, EDGES + [(i, "bad stuff" if i % 2 else "good stuff") for i in range(100, 160)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 160)] + [(None, 1), (4, None)], "doc_id long, toxic int")
