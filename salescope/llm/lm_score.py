@@ -8,12 +8,12 @@ the product of its children's, over all context depths up to DEPTH bytes.
 Counts cover all training texts: Spark counts the (DEPTH + 1)-grams of all of them. The model is a table of (context, bits so far)
 nodes that grows with the corpus: a node is split off where it was met SPLIT times, whatever the size of the input. What was met less often
 stays with the parent in one "rest" child, a leaf of the tree; nothing is left out of the counts. Weights go up the
-tree by one grouping per depth and mixtures down by one join per depth, for the nodes of every distinct gram of the texts. The resulting
+tree by one grouping per depth and mixtures down by one join per depth, for the nodes of every distinct gram of the texts. The
 probabilities of grams are broadcast to the texts if there are at most BROADCAST_GRAMS of them and joined by shuffle otherwise, with equal scores.
 Scoring takes every byte of every text. ``ContextTree`` is the same model in memory, for small tables of whole contexts.
 
-The base score is a smoothed unigram over words. Counts of words come back to the documents by
-the skew-safe join.
+The base score is a smoothed unigram over words. Counts of frequent words (a bounded number by their share) are broadcast;
+the other words are shuffled to theirs.
 
 Defined cases: a null text is empty; the empty text is scored as its end alone; a document is
 its row, repeated rows are scored each; without training rows all bytes are equally
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm.common import ascii_lower, attach, crc_mod, ship, stored, table, text_of, words
+from salescope.llm.common import ascii_lower, attach, crc_mod, discard, ship, stored, table, text_of, words
 
 ship(__name__)
 
@@ -43,6 +43,11 @@ BROADCAST_GRAMS = 4_000_000
 END = 255
 #: Bytes that are counted or scored together in a task.
 CHUNK = 1 << 20
+#: A gram has 48 bits, so it is sorted together with the number of its text in a run.
+RUN_BITS = 15
+RUN_TEXTS = 1 << RUN_BITS
+#: Tokens with more than this share of all training tokens are met where they are; by counting, there are HOT_TOKENS at most.
+HOT_TOKENS = 100_000
 
 
 def framed(texts: list) -> np.ndarray:
@@ -58,11 +63,11 @@ def places(texts: list) -> np.ndarray:
 
 
 def grouped(batch: pa.RecordBatch, column: int):
-    """Rows of a batch in runs (first, texts) of about CHUNK bytes; a longer text is a run of its own."""
+    """Rows of a batch in runs (first, texts) of about CHUNK bytes and at most RUN_TEXTS texts; a longer text is a run of its own."""
     first, texts, size = 0, [], 0
     for i in range(batch.num_rows):
         text = batch.column(column)[i].as_py().encode()
-        if texts and size + len(text) > CHUNK:
+        if texts and (size + len(text) > CHUNK or len(texts) == RUN_TEXTS):
             yield first, texts
             first, texts, size = i, [], 0
         texts.append(text)
@@ -73,11 +78,12 @@ def grouped(batch: pa.RecordBatch, column: int):
 
 def grams_of(texts: list) -> np.ndarray:
     """Gram of each coded byte; a gram is DEPTH context bytes, oldest first, and the byte itself."""
-    data, at = framed(texts), places(texts)
-    gram = np.zeros(len(at), np.int64)
+    data = framed(texts)
+    gram = np.zeros(len(data) - DEPTH, np.int64)
     for k in range(DEPTH, -1, -1):
-        gram = gram << 8 | data[at - k]
-    return gram
+        gram <<= 8
+        gram |= data[DEPTH - k : len(data) - k]
+    return gram[places(texts) - DEPTH]
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -272,24 +278,28 @@ def gram_scores(grams: DataFrame, split: int = SPLIT) -> DataFrame:
         if down is None:
             rows = rows.withColumns({"_mix": F.lit(0.0), "_left": F.lit(1.0), "_p": F.lit(0.5), "_off": F.lit(True)})
         else:
-            rows = rows.withColumns({"_up": F.expr(f"node & {(1 << 8 * d) - 1}L"), "_off": z + o >= split}).join(down, "_up")
+            rows = rows.withColumns({"_up": F.expr(f"node & {(1 << 8 * d) - 1}L"), "_off": z + o >= split}).join(down.hint("merge"), "_up")
         mix, left = F.col("_mix") + F.col("_left") * F.col("_stop") * F.col("_pred"), F.col("_left") * (1 - F.col("_stop"))
         one = F.when(F.col("_off"), mix + left * F.col("_rest")).otherwise(F.col("_p"))
         down = rows.select(F.col("node").alias("_up"), mix.alias("_mix"), left.alias("_left"), one.alias("_p"))
     # a context has 255 nodes at most
     nodes = F.collect_list(F.struct(F.expr("node & 255L").alias("m"), "_p"))
     ways = down.select(F.col("_up").alias("node"), "_p").groupBy(F.expr("shiftright(node, 8)").alias("_c")).agg(F.map_from_entries(nodes).alias("_ways"))
-    found = grams.withColumn("_c", F.expr("shiftright(gram, 8)")).join(ways, "_c")
-    return found.select("gram", "met", F.expr("""aggregate(sequence(0, 7), 0D, (sum, k) -> sum + log10(
+    found = grams.withColumn("_c", F.expr("shiftright(gram, 8)")).join(ways.hint("merge"), "_c")
+    scores = found.select("gram", "met", F.expr("""aggregate(sequence(0, 7), 0D, (sum, k) -> sum + log10(
         if(shiftright(gram & 255L, 7 - k) & 1L = 1L, _ways[shiftleft(1L, k) | shiftright(gram & 255L, 8 - k)],
            1D - _ways[shiftleft(1L, k) | shiftright(gram & 255L, 8 - k)])))""").alias("bits"))
+    scores = stored(scores, "lm-bits")
+    discard(*levels.values())
+    return scores
 
 
 def ctw_scores(docs: DataFrame, train: Column, keep: list, split: int = SPLIT, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """``keep`` columns of ``docs`` with score and n_bytes; texts under ``train`` are learnt."""
     text = text_of(docs)
     grams = stored(met_grams(docs.select(text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))), "lm-grams")
-    table = stored(gram_scores(grams, split), "lm-bits")
+    table = gram_scores(grams, split)
+    discard(grams)
     n_bytes = F.octet_length(text).cast("long").alias("n_bytes")
     if table.count() > broadcast_grams:
         return joined_scores(docs.select(*keep, n_bytes, text.alias("_text")), table)
@@ -302,8 +312,14 @@ def ctw_scores(docs: DataFrame, train: Column, keep: list, split: int = SPLIT, b
         gram, bits = shared.value
         out = []
         for _, run in grouped(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0):
-            starts = np.cumsum([0] + [len(t) + 1 for t in run[:-1]])
-            out.append(np.add.reduceat(bits[np.searchsorted(gram, grams_of(run))], starts))
+            number = np.repeat(np.arange(len(run)), [len(t) + 1 for t in run])
+            met = np.sort(grams_of(run) << RUN_BITS | number)
+            found = met >> RUN_BITS
+            first = np.concatenate([[0], np.flatnonzero(found[1:] != found[:-1]) + 1])
+            # each gram of the run is looked up once, in ascending order
+            once = bits[np.searchsorted(gram, found[first])]
+            each = np.repeat(once, np.diff(first, append=len(found)))
+            out.append(np.bincount(met & (RUN_TEXTS - 1), each, len(run)))
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return docs.select(*keep, n_bytes, F.pandas_udf(score, "double")(text).alias("score"))
@@ -337,7 +353,11 @@ def unigram_scores(rows: DataFrame, key: str) -> DataFrame:
     tokens = rows.select(key, "train", F.explode(tokens).alias("token"))
     vocabulary = stored(tokens.filter("train").groupBy("token").agg(F.count(F.lit(1)).alias("c")), "lm-words")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    found = attach(tokens.select(key, "token"), vocabulary, "token", "c", F.lit(n))
+    # frequent tokens are summed where they are; the others meet their counts by a shuffle
+    often = vocabulary.filter(F.col("c") * HOT_TOKENS > n)
+    near = tokens.join(F.broadcast(often), "token")
+    far = tokens.join(F.broadcast(often.select("token")), "token", "left_anti").join(vocabulary.hint("merge"), "token", "left")
+    found = near.select(key, "c").unionByName(far.select(key, "c"))
     below = math.log10(n + 0.1 * (v + 1))
     c = F.coalesce("c", F.lit(0))
     return found.groupBy(key).agg(

@@ -181,6 +181,26 @@ def test_lm_keeps_what_it_learnt_in_a_larger_corpus(spark):
     assert got[len(much)] > got[len(few)] - 8
 
 
+@pytest.mark.parametrize("hot", [1, 30, 100_000])
+def test_unigram_scores_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm_score, "HOT_TOKENS", hot)
+    rows = [(100 + i, " ".join(words(i, 80, 40)) + " Zebra\x0bÉa") for i in range(30)] + [r for r in EDGES if r[0] not in (5, None)]
+    docs = docs_of(spark, rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 3 != 0).alias("train"))
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
+    counts = {}
+    for i, t in rows:
+        for w in cut(t) if i % 3 else []:
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    found = {r.doc_id: r for r in lm_score.unigram_scores(docs, "doc_id").collect()}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        c = [counts.get(w, 0) for w in cut(t)]
+        base = sum(math.log10((x + 0.1) / (n + 0.1 * (v + 1))) for x in c)
+        assert (found[i].n_tokens, found[i].n_known, found[i].train_tokens) == (len(c), sum(x > 0 for x in c), n)
+        assert found[i].base_score == pytest.approx(base, rel=1e-9)
+
+
 def test_swapped_identities_do_not_move_the_score():
     rows = [[toxicity.bucket(w) for w in t.split()] for t in ["awful women here", "awful women there", "nice men here", "nice men there"] * 5]
     labels = np.array([1, 1, 0, 0] * 5)
