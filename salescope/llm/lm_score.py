@@ -23,6 +23,7 @@ likely; an empty table gives an empty result; other columns of the input do not
 from __future__ import annotations
 
 import math
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salescope.llm.common import ascii_lower, attach, crc_mod, discard, ship, stored, table, text_of, words
+from salescope.llm.common import attach, crc_mod, discard, ship, stored, table, text_of
 
 ship(__name__)
 
@@ -48,6 +49,8 @@ RUN_BITS = 15
 RUN_TEXTS = 1 << RUN_BITS
 #: Tokens with more than this share of all training tokens are met where they are; by counting, there are HOT_TOKENS at most.
 HOT_TOKENS = 100_000
+#: Distinct tokens that a task holds before it passes their counts on.
+HELD_TOKENS = 1 << 18
 
 
 def framed(texts: list) -> np.ndarray:
@@ -278,14 +281,14 @@ def gram_scores(grams: DataFrame, split: int = SPLIT) -> DataFrame:
         if down is None:
             rows = rows.withColumns({"_mix": F.lit(0.0), "_left": F.lit(1.0), "_p": F.lit(0.5), "_off": F.lit(True)})
         else:
-            rows = rows.withColumns({"_up": F.expr(f"node & {(1 << 8 * d) - 1}L"), "_off": z + o >= split}).join(down.hint("merge"), "_up")
+            rows = rows.withColumns({"_up": F.expr(f"node & {(1 << 8 * d) - 1}L"), "_off": z + o >= split}).join(down.hint("shuffle_hash"), "_up")
         mix, left = F.col("_mix") + F.col("_left") * F.col("_stop") * F.col("_pred"), F.col("_left") * (1 - F.col("_stop"))
         one = F.when(F.col("_off"), mix + left * F.col("_rest")).otherwise(F.col("_p"))
         down = rows.select(F.col("node").alias("_up"), mix.alias("_mix"), left.alias("_left"), one.alias("_p"))
     # a context has 255 nodes at most
     nodes = F.collect_list(F.struct(F.expr("node & 255L").alias("m"), "_p"))
     ways = down.select(F.col("_up").alias("node"), "_p").groupBy(F.expr("shiftright(node, 8)").alias("_c")).agg(F.map_from_entries(nodes).alias("_ways"))
-    found = grams.withColumn("_c", F.expr("shiftright(gram, 8)")).join(ways.hint("merge"), "_c")
+    found = grams.withColumn("_c", F.expr("shiftright(gram, 8)")).join(ways.hint("shuffle_hash"), "_c")
     scores = found.select("gram", "met", F.expr("""aggregate(sequence(0, 7), 0D, (sum, k) -> sum + log10(
         if(shiftright(gram & 255L, 7 - k) & 1L = 1L, _ways[shiftleft(1L, k) | shiftright(gram & 255L, 8 - k)],
            1D - _ways[shiftleft(1L, k) | shiftright(gram & 255L, 8 - k)])))""").alias("bits"))
@@ -347,24 +350,70 @@ def joined_scores(docs: DataFrame, table: DataFrame) -> DataFrame:
     return sums.select("_doc.*", "score")
 
 
+def token_counts(texts: DataFrame) -> DataFrame:
+    """(token, c) of ``texts`` (text): words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and an end each, which is no word.
+
+    On bytes, ``lower`` and ``split`` of Python know ASCII alone and just these blanks.
+    """
+
+    def table(n):
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["token", "c"])
+
+    def count(batches):
+        for batch in batches:
+            n = Counter()
+            for _, run in grouped(batch, 0):
+                for text in run:
+                    n.update(text.lower().split())
+                n[b"\n"] += len(run)
+                if len(n) > HELD_TOKENS:
+                    yield table(n)
+                    n = Counter()
+            yield table(n)
+
+    return texts.mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
+
+
 def unigram_scores(rows: DataFrame, key: str) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score); ``rows`` has ``key``, text and train."""
-    tokens = F.concat(words(ascii_lower(F.col("text"))), F.array(F.lit("\n")))  # the end is no word
-    tokens = rows.select(key, "train", F.explode(tokens).alias("token"))
-    vocabulary = stored(tokens.filter("train").groupBy("token").agg(F.count(F.lit(1)).alias("c")), "lm-words")
+    vocabulary = stored(token_counts(rows.filter("train").select("text")), "lm-words")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # frequent tokens are summed where they are; the others meet their counts by a shuffle
-    often = vocabulary.filter(F.col("c") * HOT_TOKENS > n)
-    near = tokens.join(F.broadcast(often), "token")
-    far = tokens.join(F.broadcast(often.select("token")), "token", "left_anti").join(vocabulary.hint("merge"), "token", "left")
-    found = near.select(key, "c").unionByName(far.select(key, "c"))
-    below = math.log10(n + 0.1 * (v + 1))
-    c = F.coalesce("c", F.lit(0))
+    often = vocabulary.filter(F.col("c") * HOT_TOKENS > n).toArrow()  # HOT_TOKENS rows at most
+    logs = zip(often["token"].to_pylist(), np.log10(often["c"].to_numpy() + 0.1).tolist())
+    hot = rows.sparkSession.sparkContext.broadcast(dict(logs))
+
+    def cut(batches):
+        # a row with the sum over a text's frequent tokens, and one for each other token
+        known = hot.value
+        for batch in batches:
+            for first, run in grouped(batch, 1):
+                at, token, times, hot_n, hot_sum = [], [], [], [], []
+                for i, text in enumerate(run, first):
+                    found = Counter(text.lower().split())
+                    found[b"\n"] += 1
+                    rare = [w for w in found if w not in known]
+                    met = [(k, known[w]) for w, k in found.items() if w in known]
+                    # no word begins like this, so the sum meets no count, and sums are spread over the shuffle
+                    token += [b"\n%d:%d" % (i, len(text)), *rare]
+                    at += [i] * (1 + len(rare))
+                    times += [0, *(found[w] for w in rare)]
+                    hot_n += [sum(k for k, _ in met), *[0] * len(rare)]
+                    hot_sum += [math.fsum(k * x for k, x in met), *[0.0] * len(rare)]
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(token, pa.binary()), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(hot_n, pa.int64()), pa.array(hot_sum, pa.float64())], [key, "token", "k", "hot_n", "hot_sum"]
+                )
+
+    kind = rows.schema[key].dataType.simpleString()
+    parts = rows.select(key, "text").mapInArrow(cut, f"{key} {kind}, token binary, k long, hot_n long, hot_sum double")
+    found = parts.join(vocabulary.hint("shuffle_hash"), "token", "left")
+    n_tokens, below = F.sum(F.col("hot_n") + F.col("k")), math.log10(n + 0.1 * (v + 1))
+    sums = F.sum(F.col("hot_sum") + F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.1))
     return found.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.coalesce(F.sum((c > 0).cast("long")), F.lit(0)).alias("n_known"),
+        n_tokens.alias("n_tokens"),
+        F.sum(F.col("hot_n") + F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        F.sum(F.log10(c + 0.1) - below).alias("base_score"),
+        (sums - n_tokens * below).alias("base_score"),
     )
 
 
