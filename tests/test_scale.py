@@ -30,3 +30,13 @@ def test_codes_are_padded_as_printf_does(spark):
     padded = numbers.select(testdata._pad5(n).alias("a"), F.format_string("%05d", n).alias("b"))
     assert padded.filter("a <> b").isEmpty() and padded.count() == 10
     assert "format_string" not in testdata.raw_feed_from_testdata(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_late_steps_parse_texts_before_the_deduplication(spark):
+    raw = testdata.raw_feed_from_testdata(spark, SF001)
+    for step in ("clean_positive_qty", "clean_drop_unspecified", "clean_drop_mailout"):
+        got = clean.upto_step(raw, step)
+        above = got._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [")[0]
+        assert "RLIKE" not in above and "try_make_timestamp" not in above.lower(), step
+        want = clean.run_steps(raw, step)
+        assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
