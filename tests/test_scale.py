@@ -32,6 +32,25 @@ def test_codes_are_padded_as_printf_does(spark):
     assert "format_string" not in testdata.raw_feed_from_testdata(spark, SF001)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_large_first_batch_gets_more_buckets(spark, scratch, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ROWS", 200)
+    prefix = "bk" + uuid.uuid4().hex[:8]
+    raw = testdata.raw_feed_from_testdata(spark, SF001)
+    store.load_batch(raw.filter("file_name <= 'feed_1.csv'"), scratch, prefix, n_buckets=2)
+    store.load_batch(raw.filter("file_name >= 'feed_1.csv'"), scratch, prefix, n_buckets=2)
+    first, second = store.commits(spark, scratch)
+    assert first.n_buckets == second.n_buckets > max(2, first.n_lines // 200 - 1)
+
+
+def test_cells_of_the_cube_are_not_shuffled_at_every_level(spark):
+    lines = spark.range(20000).selectExpr("CAST(2000 + id % 3 AS INT) AS invoice_year", "concat('c', id % 5) AS country", "concat('p', id % 4001) AS product_code").checkpoint()
+    cube = rollup.line_cube(lines)
+    plan = cube._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan.split("Expand")[-1]
+    want = lines.cube(*rollup.DIMENSIONS).agg(F.count(F.lit(1)).alias("sales"), F.grouping_id().cast("int").alias("level"))
+    assert cube.exceptAll(want.select(cube.columns)).isEmpty() and cube.count() == want.count()
+
+
 def test_late_steps_parse_texts_before_the_deduplication(spark):
     raw = testdata.raw_feed_from_testdata(spark, SF001)
     for step in ("clean_positive_qty", "clean_drop_unspecified", "clean_drop_mailout"):
