@@ -59,3 +59,13 @@ def test_late_steps_parse_texts_before_the_deduplication(spark):
         assert "RLIKE" not in above and "try_make_timestamp" not in above.lower(), step
         want = clean.run_steps(raw, step)
         assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_strict_load_groups_the_rows_of_the_files_once(spark, monkeypatch):
+    calls = []
+    keep = load._checkpoint
+    monkeypatch.setattr(load, "_checkpoint", lambda df: calls.append(df.columns) or keep(df))
+    raw = testdata.raw_feed_from_testdata(spark, SF001)
+    result = etl.run_etl(raw, testdata.star_from_testdata(spark, SF001), mode="strict")
+    assert ["file_name", "invoice_no", "product_code", "n"] in calls and ["file_name", "invoice_no", "invoice_date", "country"] in calls
+    assert result.verdict.count() == 5
