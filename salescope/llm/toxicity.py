@@ -167,11 +167,28 @@ def identity_groups(texts: DataFrame, rows: int, toxic_rows: int, seen: int = 5)
 class Rows:
     """Binary rows in compressed form, worked on in blocks."""
 
-    def __init__(self, rows: list):
-        self.n = len(rows)
-        self.size = np.fromiter(map(len, rows), np.int64, self.n)
-        self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.at = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32, copy=False)
+    def __init__(self, at: np.ndarray, size: np.ndarray):
+        self.n, self.at, self.size = len(size), at, size
+        self.start = np.concatenate([[0], np.cumsum(size)])
+
+    @classmethod
+    def of(cls, rows: list) -> Rows:
+        return cls(np.concatenate([*(np.asarray(r, np.int32) for r in rows), np.empty(0, np.int32)]), np.fromiter(map(len, rows), np.int64, len(rows)))
+
+    @classmethod
+    def of_lists(cls, lists: pa.ListArray) -> Rows:
+        """The rows of an Arrow column of lists, whose values are taken over as they are."""
+        return cls(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+
+    def some(self, rows: np.ndarray) -> Rows:
+        """The rows marked in ``rows``."""
+        return Rows(self.at[np.repeat(rows, self.size)], self.size[rows])
+
+    def numbered(self, used: np.ndarray, number: np.ndarray) -> Rows:
+        """The features marked in ``used``, under the numbers given by ``number``."""
+        kept = used[self.at]
+        ends = np.concatenate([[0], np.cumsum(kept)])[self.start]
+        return Rows(number[self.at[kept]], np.diff(ends))
 
     def blocks(self):
         for lo in range(0, self.n, BLOCK):
@@ -192,26 +209,23 @@ class Rows:
 
 
 def fit(
-    rows: list, labels: np.ndarray, swaps: list, penalty: float = 1.0, l1: float = 1e-3, steps: int = 300, seen: int = 5
+    rows: list | Rows, labels: np.ndarray, swaps: list | tuple[Rows, Rows], penalty: float = 1.0, l1: float = 1e-3, steps: int = 300, seen: int = 5
 ) -> tuple[np.ndarray, float]:
     """Weights and bias, by accelerated proximal gradient, over features that ``seen`` rows have at least.
 
-    ``swaps`` has (features lost, features gained) of all counterfactuals.
+    ``swaps`` has (features lost, features gained) of all counterfactuals, as a list of pairs or as two ``Rows``. A row has a feature once.
     """
+    x = rows if isinstance(rows, Rows) else Rows.of(rows)
+    one, two = swaps if isinstance(swaps, tuple) else (Rows.of([s[k] for s in swaps]) for k in (0, 1))
     # a penalised swap changes a score only through the features that differ
-    turned = [(a, b) for a, b in swaps if len(a) + len(b)]
-    often = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        often[r] += 1
-    often = often >= seen
-    for pair in turned:
-        for f in pair:
-            often[np.asarray(f, np.int32)] = True
+    differ = one.size + two.size > 0
+    one, two = one.some(differ), two.some(differ)
+    n_turned = one.n
+    often = np.bincount(x.at, minlength=1 << BITS) >= seen
+    often[one.at] = often[two.at] = True
     used, size = np.flatnonzero(often), int(often.sum())
-    number = np.cumsum(often) - 1
-    compact = lambda r: number[np.asarray(r, np.int32)[often[np.asarray(r, np.int32)]]].astype(np.int32)
-    rows, turned = [compact(r) for r in rows], [(compact(a), compact(b)) for a, b in turned]
-    x, one, two = Rows(rows), Rows([a for a, _ in turned]), Rows([b for _, b in turned])
+    number = (np.cumsum(often) - 1).astype(np.int32)
+    x, one, two = (r.numbered(often, number) for r in (x, one, two))
     y = labels.astype(float)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     w, b = np.zeros(size), 0.0
@@ -221,17 +235,17 @@ def fit(
     p /= np.linalg.norm(p)
     for _ in range(30):
         q = x.back(weight * x.dot(p), size) * 0.25
-        if turned:
-            q += penalty / len(turned) * (one.back(d := one.dot(p) - two.dot(p), size) - two.back(d, size))
+        if n_turned:
+            q += penalty / n_turned * (one.back(d := one.dot(p) - two.dot(p), size) - two.back(d, size))
         top = np.linalg.norm(q)
         p = q / max(top, 1e-12)
     rate = 1.0 / (1.3 * top + 0.5)
     for _ in range(steps):
         error = weight * (1 / (1 + np.exp(-np.clip(x.dot(v) + c, -40, 40))) - y)
         g = x.back(error, size)
-        if turned:
+        if n_turned:
             d = one.dot(v) - two.dot(v)
-            g += penalty / len(turned) * (one.back(d, size) - two.back(d, size))
+            g += penalty / n_turned * (one.back(d, size) - two.back(d, size))
         new = v - rate * g
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
         new_b = c - rate * error.sum()
@@ -259,10 +273,16 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     others = turns(IDENTITY + groups)
     found = F.pandas_udf(lambda s: s.map(features), "array<int>")
     turned = F.pandas_udf(lambda s: s.map(lambda t: changes(t, others)), "array<array<int>>")
-    rows = texts.select("toxic", found("text").alias("f"), turned("text").alias("t")).toPandas()  # ``sample`` rows at most
-    swaps = [(t[k], t[k + 1]) for t in rows["t"] for k in range(0, len(t), 2)]
-    w, b = fit([np.asarray(f, np.int32) for f in rows["f"]], rows["toxic"].to_numpy(int), swaps)
-    return Model({int(i): float(w[i]) for i in np.flatnonzero(w)}, b, len(swaps), groups)
+    # ``sample`` rows at most; they stay in the few arrays that they come in
+    rows = texts.select("toxic", found("text").alias("f"), turned("text").alias("t")).toArrow().combine_chunks()
+    labels = rows["toxic"].to_numpy()
+    x, pairs = Rows.of_lists(rows["f"].chunk(0)), Rows.of_lists(rows["t"].chunk(0).flatten())
+    del rows
+    lost = np.arange(pairs.n) % 2 == 0
+    swaps = pairs.some(lost), pairs.some(~lost)
+    del pairs
+    w, b = fit(x, labels, swaps)
+    return Model({int(i): float(w[i]) for i in np.flatnonzero(w)}, b, swaps[0].n, groups)
 
 
 def toxicity(docs: DataFrame, model: Model | None) -> Column:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +213,19 @@ def test_swapped_identities_do_not_move_the_score():
     assert gap(held) < 0.2 * gap(free) and held[toxicity.bucket("awful")] > 0
 
 
+def test_training_rows_stay_in_the_arrays_they_come_in(spark, monkeypatch):
+    rows = [[1, 5, 9], [5], [], [1, 9]] * 6
+    swaps = [([1], [7]), ([], []), ([5, 9], [1])] * 8
+    labels = np.array([1, 0, 0, 1] * 6)
+    lists = [toxicity.Rows.of_lists(pa.array(x, pa.list_(pa.int32()))) for x in (rows, [a for a, _ in swaps], [b for _, b in swaps])]
+    for got, want in zip(toxicity.fit(lists[0], labels, tuple(lists[1:])), toxicity.fit(rows, labels, swaps)):
+        assert np.array_equal(got, want)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", lambda self: pytest.fail("rows come as Python objects"))
+    docs = docs_of(spark, [(i, "nice kind words" if i % 2 else "awful bad words") for i in range(20)])
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic"), F.lit(True))
+    assert model.n_counterfactuals == 0 and model.weights
+
+
 def test_swapped_sentences_score_alike(spark):
     # labels skewed against the first name of each pair
     r, rows = random.Random(1), []
