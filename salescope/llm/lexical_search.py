@@ -28,6 +28,7 @@ doc_id is cast to BIGINT, a null one is smaller than all others; an empty table
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from salescope.llm.common import ship, stored, table, text_of
+from salescope.llm.common import discard, ship, stored, table, text_of
 
 ship(__name__)
 
@@ -44,6 +45,8 @@ QUERY_TERMS = 50_000
 #: Postings of an index block.
 BLOCK_POSTINGS = 40_000
 SALTS = 64
+#: Blocks that a task reads and hands to Python at a time: a row holds a whole block's lists, and the defaults are thousands of rows.
+BLOCK_BATCH = 4
 
 #: Byte by byte: A-Z lower-cased, other bytes of terms kept, the rest blank.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -269,6 +272,19 @@ def search_block(block: dict, ids: np.ndarray, queries: list[np.ndarray], best:
     return read
 
 
+@contextmanager
+def _few_rows_at_a_time(spark: SparkSession):
+    keys = ("spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    for k in keys:
+        spark.conf.set(k, str(BLOCK_BATCH))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _search(index: DataFrame, queries: list[np.ndarray], size: int, k: int) -> DataFrame:
     """Best ``k`` documents of each query by each task: query (its number), doc_id, score."""
 
@@ -305,7 +321,9 @@ def _search_group(docs: DataFrame, group: DataFrame, k: int) -> DataFrame | None
     queries = [np.array(sorted((vocabulary[bytes(t)] for t in row["terms"]), key=lambda t: (weights[t], t)), np.int64) for row in found]
     pairs = sorted({(int(q[p]), int(q[p + 1])) for q in queries for p in range(0, len(q) - 1, 2)})
     index = stored(_index(postings, weights, pairs, n_docs, n_terms), "search-index")
-    hits = _search(index, queries, len(vocabulary), k)
+    with _few_rows_at_a_time(spark):
+        hits = stored(_search(index, queries, len(vocabulary), k), "search-hits")
+    discard(postings, index)
     ranked = hits
     for salt in (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.lit(0)):
         order = Window.partitionBy("query", salt).orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))

@@ -115,6 +115,14 @@ def test_search_matches_brute_force(spark, monkeypatch, group, block):
     assert sorted((tuple(f) for f in found), key=str) == searched(rows, items, 7)
 
 
+def test_blocks_come_to_python_a_few_at_a_time(spark, monkeypatch):
+    seen, keep, conf = [], lexical_search.stored, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    monkeypatch.setattr(lexical_search, "stored", lambda df, name: seen.append((name, spark.conf.get(conf))) or keep(df, name))
+    before, items = spark.conf.get(conf), spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    assert lexical_search.lexical_search(docs_of(spark, [(1, "one", "en"), (2, "two two", "en")]), items).count() == 2
+    assert ("search-hits", str(lexical_search.BLOCK_BATCH)) in seen and spark.conf.get(conf) == before
+
+
 def test_search_of_nothing(spark):
     items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
     assert lexical_search.lexical_search(docs_of(spark, EDGES).limit(0), items).count() == 0
