@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from salescope.operators import clean, load, rollup
+from salescope import session
+from salescope.operators import clean, load, rollup, star
+from salescope.operators.numbering import dense_numbers, dense_numbers_by_group
 from salescope.plans import catalog, etl, store
 from salescope.sources import testdata
 
@@ -74,3 +76,90 @@ def test_strict_load_groups_the_rows_of_the_files_once(spark, monkeypatch):
     result = etl.run_etl(raw, testdata.star_from_testdata(spark, SF001), mode="strict")
     assert ["file_name", "invoice_no", "product_code", "n"] in calls and ["file_name", "invoice_no", "invoice_date", "country"] in calls
     assert result.verdict.count() == 5
+
+
+def same_rows(a, b):
+    a = a.select(b.columns)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_kept_rows_come_back_as_they_were_in_files_of_few_rows(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("id AS `a b`", "CASE WHEN id % 3 = 0 THEN NULL ELSE struct(id, 'x' AS y) END AS `c.d`", "NULL AS e", "timestamp_ntz'2011-01-02 03:04:05' AS f")
+    monkeypatch.setattr(session, "KEPT_FILE_ROWS", 100)
+    got = session.kept(rows)
+    assert got.columns == rows.columns and got.withColumn("e", F.lit(None)).exceptAll(rows).isEmpty() and got.count() == 1000
+    assert len(got.inputFiles()) >= 10
+    session.drop_kept(got)
+    with pytest.raises(Exception):
+        got.collect()
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+@pytest.mark.parametrize("stored", [False, True])
+def test_only_repeated_keys_are_grouped_for_the_flags(spark, monkeypatch, most, stored):
+    raw = testdata.raw_feed_from_testdata(spark, SF001)
+    nulls = raw.limit(30).withColumns({"StockCode": F.lit(None).cast("string"), "InvoiceNo": F.lit(None).cast("string")})
+    raw = raw.unionByName(raw.filter("StockCode LIKE '%a'")).unionByName(nulls).unionByName(nulls).checkpoint()
+    monkeypatch.setattr(clean, "REPEATED_KEYS", most)
+    grouped = []
+    keep = clean.dedupe_first
+    monkeypatch.setattr(clean, "dedupe_first", lambda df: grouped.append(df.count()) or keep(df))
+    got = clean.kept_flags(raw, stored)
+    assert got.columns == clean.flagged(raw).columns and same_rows(got, clean.flagged(raw))
+    assert (grouped[0] < 0.8 * raw.count()) == (most > 0)
+
+
+def test_the_store_state_builds_the_feed_once(spark, monkeypatch):
+    calls = []
+    keep = catalog.raw_feed_from_testdata
+    for module in (catalog, testdata):
+        monkeypatch.setattr(module, "raw_feed_from_testdata", lambda *a: calls.append(a) or keep(*a))
+    assert catalog.QUERIES["load_store_state"](spark, SF001).count() == 4
+    assert len(calls) == 1
+
+
+def test_offered_rows_are_dealt_once(spark, scratch):
+    rows = clean.clean(testdata.raw_feed_from_testdata(spark, SF001))
+    prefix = "of" + uuid.uuid4().hex[:8]
+    name, at = store._offered(rows, prefix, 4)
+    offer = spark.table(name)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for got, want in ((star.star_invoices(offer), star.star_invoices(rows)), (star.star_invoices(offer, True), star.star_invoices(rows, True)),
+                          (star.star_invoice_lines(offer), star.star_invoice_lines(rows)), (star.star_invoice_lines(offer, True), star.star_invoice_lines(rows, True))):
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+            assert same_rows(got, want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    store._forget(spark, name, at)
+    assert not spark.catalog.tableExists(name)
+
+
+def test_a_product_of_many_lines_is_counted_before_it_is_dealt(spark):
+    lines = spark.range(3000).selectExpr("CAST(2000 + id % 3 AS INT) AS invoice_year", "concat('c', id % 5) AS country", "CASE WHEN id % 7 > 0 THEN concat('p', id % 401) END AS product_code").checkpoint()
+    assert store._share(lines.withColumn("product_code", F.lit("p")), 3000) == 1.0 > 10 * store._share(lines.filter("product_code IS NOT NULL"), 3000)
+    for share in (0.0, 1.0):
+        cube = rollup.line_cube(lines, share)
+        want = lines.cube(*rollup.DIMENSIONS).agg(F.count(F.lit(1)).alias("sales"), F.grouping_id().cast("int").alias("level"))
+        assert same_rows(cube, want) and cube.schema.simpleString() == want.select(cube.columns).schema.simpleString()
+    before_dealing = [rollup.line_cube(lines, s)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[-1] for s in (0.0, 1.0)]
+    assert ["Aggregate" in p for p in before_dealing] == [False, True]
+    assert rollup.line_cube(lines.limit(0)).count() == 0
+
+
+def test_numbers_by_group_are_those_of_the_whole_order(spark):
+    rows = spark.range(2000).selectExpr("id * 7919 % 97 AS g", "concat('p', id) AS k").checkpoint()
+    got = dense_numbers_by_group(rows, "g", ["k"], "no", start=5)
+    assert got.columns == ["g", "k", "no"] and same_rows(got, dense_numbers(rows, ["g", "k"], "no", start=5))
+    assert dense_numbers_by_group(rows.limit(0), "g", ["k"], "no").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_first_names_need_positions_only_where_names_differ(spark, monkeypatch, most):
+    rows = spark.range(600).selectExpr("concat('f', id % 3) AS file_name", "id * 7919 % 600 AS row_pos", "CASE WHEN id % 50 > 0 THEN concat('p', id % 50) END AS product_code",
+                                       "CASE WHEN id % 50 = 9 AND id % 4 = 1 THEN NULL WHEN id % 50 < 5 THEN concat('n', id % 11) ELSE concat('m', id % 50) END AS product_name")
+    monkeypatch.setattr(star, "SEVERAL_NAMES", most)
+    assert same_rows(star.star_products_by_name(rows), star.star_products(rows))
+    one = rows.filter("product_code > 'p90'")
+    assert same_rows(star.star_products_by_name(one), star.star_products(one))
