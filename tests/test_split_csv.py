@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF001  # noqa: F401  (path set-up)
 from salescope.operators import clean, feedback, star
-from salescope.sources import headers, quoted_csv
-from salescope.sources.csv_files import list_files, read_invoice_csv
+from salescope.sources import headers, quoted_csv, testdata
+from salescope.sources.csv_files import file_label, list_files, read_invoice_csv
 from test_edge_rows import BASE, HEADER, write_csv
 
 
@@ -146,3 +146,26 @@ def test_names_do_not_depend_on_the_batch(spark, scratch):
     write_csv(paths[1], HEADER, [dict(BASE, CaseId="1", Description="LAST")])
     names = star.star_products(clean.clean(read_invoice_csv(spark, paths))).collect()
     assert [r["product_name"] for r in names] == ["LAST"]
+
+
+@pytest.mark.parametrize("multi_line", [None, False])
+def test_paths_without_escapes_are_not_decoded_for_every_row(spark, scratch, multi_line):
+    def read(*names):
+        paths = [os.path.join(scratch, n) for n in names]
+        for p in paths:
+            with open(p, "w") as f:
+                f.write('InvoiceNo,StockCode\n1,"a\nb"\n' if multi_line is None else "InvoiceNo,StockCode\n1,a\n")
+        df = read_invoice_csv(spark, paths, multi_line=multi_line)
+        labels = {r[0] for r in df.select(file_label(F.col("file_name"))).collect()}
+        return labels, df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+    plain, odd = read("a+b.csv", "c.csv"), read("d e.csv", "f%20+g.csv", "h.csv")
+    assert plain[0] == {"a+b.csv", "c.csv"} and odd[0] == {"d e.csv", "f%20+g.csv", "h.csv"}
+    assert "urlcodec" in odd[1] and "urlcodec" not in plain[1]
+
+
+def test_the_feed_file_is_not_matched_in_every_path(spark):
+    df = testdata.raw_feed_via_csv(spark, SF001)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "urlcodec" not in plan
+    assert {r["file_name"] for r in df.select("file_name").distinct().collect()} == {f"feed_{i}.csv" for i in range(5)}
