@@ -9,9 +9,13 @@
    the equal ones outnumber the empty ones; a set with more empty parts than that is cut anew by
    another hash (its partner finds it by a filled part, or is cut anew as well).
 3. Candidates are filtered by 512-bit parity sketches: a bit is the parity of the shingles
-   that fall on it, so the Hamming distance never exceeds the symmetric difference.
+   that fall on it, so the Hamming distance never exceeds the symmetric difference. Those of large sets are full, so
+   the distinct pairs that are left are filtered by sketches with as many bits as a set has shingles.
 4. The rest is verified on the whole sets.
 
+Keys are stored in SLICES by their leading bits and shuffled KEYS_AT_ONCE at a time or an eighth of them, and the whole sets travel to
+the pairs VERIFY_BYTES at a time, so that disk holds a part of either at once.
+
 A group of K near copies must not give K * K pairs. So links are first sought between each member of
 a key and that key's centre (the member with the most shared keys), and merged to components.
 This is repeated while it links anything. Then every pair of members of one key that is
@@ -47,6 +51,13 @@ SKETCH_LONGS = 8
 SEEN = 500_000
 #: Rows of one Arrow batch that leave a Python task.
 OUT_ROWS = 256
+#: Ranges of the keys, each in a column of its own.
+SLICE_BITS = 3
+SLICES = 1 << SLICE_BITS
+#: Keys that are shuffled together, as far as SLICES allows.
+KEYS_AT_ONCE = 16_000_000
+#: Bytes of whole sets that travel to their pairs together.
+VERIFY_BYTES = 1 << 30
 
 
 def mixed(x: np.ndarray, seed: int) -> np.ndarray:
@@ -149,9 +160,32 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(hashes: np.ndarray) -> bytes:
+    """Parity sketch with a bit or two for each shingle."""
+    bits = max(64 * SKETCH_LONGS, 1 << max(0, len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart_at_least(x: bytes, y: bytes) -> int:
+    """Lower bound of the symmetric difference from two wide sketches; the longer one is folded."""
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, n)) for s in (x, y))
+    return int.from_bytes((x ^ y).tobytes(), "big").bit_count()
+
+
+def _sliced(keys: list[np.ndarray]) -> list[pa.ListArray]:
+    """The keys of some rows as one array of lists for each slice."""
+    flat = np.concatenate(keys)
+    slices = (flat >> np.uint64(64 - SLICE_BITS)).astype(np.int64)
+    n = np.bincount(slices * len(keys) + np.repeat(np.arange(len(keys)), [len(k) for k in keys]), minlength=SLICES * len(keys)).reshape(SLICES, -1)
+    parts = np.split(flat[np.argsort(slices, kind="stable")].view(np.int64), np.cumsum(n.sum(axis=1))[:-1])
+    return [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(m)]).astype(np.int32), part) for m, part in zip(n, parts)]
+
+
 def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, node, sketch, keys; equal sets of one task have their keys once, mostly."""
+    """Per row: doc_id, n_shingles, node, sketch, wide, keys0, keys1, ...; equal sets of one task have their keys once, mostly."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    columns = [f"keys{k}" for k in range(SLICES)]
 
     def describe(batches):
         seen: set[int] = set()
@@ -162,21 +196,41 @@ def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 nodes = [node_of(s) for s in sets]
                 keys = []
                 for s, node in zip(sets, nodes):
-                    keys.append(all_keys(s, percent).view(np.int64) if len(s) and node not in seen else np.empty(0, np.int64))
+                    keys.append(all_keys(s, percent) if len(s) and node not in seen else np.empty(0, np.uint64))
                     seen.add(node)
                 if len(seen) > SEEN:
                     seen.clear()
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(nodes, pa.int64()),
                     pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(ends, np.concatenate(keys)),
-                ], ["doc_id", "n_shingles", "node", "sketch", "keys"])
+                    pa.array([wide_sketch(s) for s in sets], pa.binary()),
+                    *_sliced(keys),
+                ], ["doc_id", "n_shingles", "node", "sketch", "wide", *columns])
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
-    return rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node long, sketch array<long>, keys array<long>")
+    lists = ", ".join(f"{c} array<long>" for c in columns)
+    return rows.mapInArrow(describe, f"doc_id {kind}, n_shingles long, node long, sketch array<long>, wide binary, {lists}")
+
+
+def _nodes_of_keys(rows: DataFrame) -> DataFrame:
+    """(key, node) of the keys that more than one row has; stored, some slices at a time."""
+    columns = [c for c in rows.columns if c.startswith("keys")]
+    n = rows.agg(F.sum(reduce(lambda a, b: a + b, [F.size(c) for c in columns]).cast("long"))).first()[0] or 0
+    step = max(1, SLICES // max(1, -(-n // KEYS_AT_ONCE)))
+    found = []
+    for lo in range(0, SLICES, step):
+        # only keys that occur twice are shuffled with their nodes; equal sets then count once
+        keys = rows.select(F.explode(F.concat(*columns[lo : lo + step])).alias("key"), "node")
+        shared = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "jaccard-shared")
+        found.append(stored(keys.join(shared.hint("merge"), "key", "left_semi").distinct(), "jaccard-nodes-of-keys"))
+        discard(shared)
+    if len(found) == 1:
+        return found[0]
+    out = stored(reduce(DataFrame.unionByName, found), "jaccard-nodes-of-keys")
+    discard(*found)
+    return out
 
 
 def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
@@ -199,12 +253,28 @@ def _sets(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     return sets
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, bytes of their sets) of the pairs whose wide sketches allow a link."""
+
+    def close(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            apart = [apart_at_least(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            near = np.array(apart, np.int64) * (100 + percent) <= n * (100 - percent)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(8 * n)], ["a", "b", "bytes"])
+            yield out.filter(pa.array(near, pa.bool_()))
+
+    facts = nodes.select("node", "n", "wide")
+    pairs = pairs.join(facts.toDF("a", "n_a", "x"), "a").join(facts.toDF("b", "n_b", "y"), "b")
+    return pairs.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(close, "a long, b long, bytes long")
+
+
 def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, exact_sketch: bool) -> DataFrame:
     """The pairs (a, b) of different nodes that link."""
     if not exact_sketch:
         pairs = _beside(pairs, nodes)
         pairs = pairs.filter(_near(percent))
-    pairs = stored(pairs.select("a", "b").distinct(), "jaccard-pairs")
+    pairs = stored(_close(pairs.select("a", "b").distinct(), nodes, percent), "jaccard-pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     reps = nodes.join(used, "node", "left_semi").select("node", "rep")
     sets = _sets(docs, reps, width)
@@ -218,11 +288,20 @@ def _links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, perc
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    full = pairs.join(sets.withColumnsRenamed({"node": "a", "set": "x"}), "a")
-    full = full.join(sets.withColumnsRenamed({"node": "b", "set": "y"}), "b").select("a", "b", "x", "y")
-    links = stored(full.mapInArrow(verify, "a long, b long"), "jaccard-links")
+    parts = max(1, -(-(pairs.agg(F.sum("bytes")).first()[0] or 0) // VERIFY_BYTES))
+    links = []
+    for part in range(parts):
+        # a centre, which many pairs share, is b: its set is in one part only
+        of_part = lambda node: F.pmod(F.xxhash64(node), F.lit(parts)) == part  # noqa: E731, B023
+        some, one, two = pairs.select("a", "b"), sets, sets
+        if parts > 1:
+            some, two = some.filter(of_part("b")), sets.filter(of_part("node"))
+            one = sets.join(broadcast_if_small(some.select(F.col("a").alias("node")).distinct()), "node", "left_semi")
+        full = some.join(one.withColumnsRenamed({"node": "a", "set": "x"}), "a")
+        full = full.join(two.withColumnsRenamed({"node": "b", "set": "y"}), "b").select("a", "b", "x", "y")
+        links.append(stored(full.mapInArrow(verify, "a long, b long"), "jaccard-links"))
     discard(pairs, sets)
-    return links
+    return reduce(DataFrame.unionByName, links)
 
 
 def _beside(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -264,14 +343,12 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     rows = stored(_described(docs, width, percent), "jaccard-rows")
     facts = rows.groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n_shingles").alias("n"),
+        F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     nodes = stored(facts, "jaccard-nodes")
-    # only keys that occur twice are shuffled with their nodes; equal sets then count once
-    keys = rows.select(F.explode("keys").alias("key"), "node")
-    shared = stored(keys.groupBy("key").count().filter("count > 1").select("key"), "jaccard-shared")
-    of_keys = stored(keys.join(shared.hint("merge"), "key", "left_semi").distinct(), "jaccard-nodes-of-keys")
-    plain = stored(rows.drop("keys", "sketch"), "jaccard-described")  # the keys are not read again
-    discard(shared, rows)
+    of_keys = _nodes_of_keys(rows)
+    plain = stored(rows.select("doc_id", "n_shingles", "node"), "jaccard-described")  # the keys are not read again
+    discard(rows)
     rows = plain
     sizes = of_keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     sized = stored(of_keys.join(sizes, "key"), "jaccard-members")

@@ -48,6 +48,58 @@ def test_jaccard_components_match_brute_force(spark):
         assert {(f.doc_id, f.n_shingles, f.component_id) for f in found} == {(i, len(sets[i]), root[i]) for i in sets}
 
 
+def counted(monkeypatch, module):
+    """(name, rows) of each table that ``module`` stores from now on."""
+    kept, plain = [], module.stored
+
+    def stored(df, name):
+        out = plain(df, name)
+        kept.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "stored", stored)
+    return kept
+
+
+def test_jaccard_moves_keys_and_sets_in_parts(spark, monkeypatch):
+    r, rows = random.Random(9), []
+    for base in range(10):
+        text = words(base, 60)
+        for _ in range(5):
+            copy = list(text)
+            copy[r.randrange(len(copy))] = "changed" + str(r.randrange(50))
+            rows.append((len(rows), " ".join(copy)))
+    docs = docs_of(spark, rows)
+    whole = sorted(jaccard_join.similar_components(docs, 3, 80).collect())
+    assert len({f.component_id for f in whole}) < len(rows)
+    monkeypatch.setattr(jaccard_join, "KEYS_AT_ONCE", 200, raising=False)
+    monkeypatch.setattr(jaccard_join, "VERIFY_BYTES", 4000, raising=False)
+    kept = counted(monkeypatch, jaccard_join)
+    assert sorted(jaccard_join.similar_components(docs, 3, 80).collect()) == whole
+    parts = [n for name, n in kept if name == "jaccard-nodes-of-keys"]
+    assert max(parts[: jaccard_join.SLICES]) < sum(parts[: jaccard_join.SLICES]) / 2
+    assert [name for name, _ in kept].count("jaccard-links") > 3
+
+
+def test_jaccard_large_sets_that_only_share_a_passage_do_not_travel(spark, monkeypatch):
+    passage = words(1, 600, 10**9)
+    rows = [(i, " ".join(passage + words(100 + i, 2400, 10**9))) for i in range(8)]
+    kept = counted(monkeypatch, jaccard_join)
+    found = jaccard_join.similar_components(docs_of(spark, rows), 5, 80).collect()
+    assert all(f.component_id == f.doc_id for f in found)
+    by = [(name, n) for name, n in kept if name in ("jaccard-nodes-of-keys", "jaccard-sets")]
+    assert by[0][1] > 0 and sum(n for name, n in by if name == "jaccard-sets") == 0
+
+
+def test_jaccard_wide_sketch_is_a_lower_bound():
+    r = np.random.default_rng(3)
+    for n, extra in ((3, 0), (700, 90), (1000, 60), (5000, 3000)):
+        both = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        one, two = (np.unique(np.concatenate([both, r.integers(0, 2**63, k).astype(np.uint64)])) for k in (extra, extra // 2))
+        least = jaccard_join.apart_at_least(jaccard_join.wide_sketch(one), jaccard_join.wide_sketch(two))
+        assert 0.4 * len(np.setxor1d(one, two)) <= least <= len(np.setxor1d(one, two))
+
+
 def test_jaccard_edges(spark):
     found = jaccard_join.similar_components(docs_of(spark, EDGES), 3, 90).collect()
     by = {f.doc_id: (f.n_shingles, f.component_id) for f in found}
