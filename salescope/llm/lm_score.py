@@ -9,7 +9,8 @@ Counts cover all training texts: Spark counts the (DEPTH + 1)-grams of all of th
 nodes that grows with the corpus: a node is split off where it was met SPLIT times, whatever the size of the input. What was met less often
 stays with the parent in one "rest" child, a leaf of the tree; nothing is left out of the counts. Weights go up the
 tree by one grouping per depth and mixtures down by one join per depth, for the nodes of every distinct gram of the texts. The
-probabilities of grams are broadcast to the texts if there are at most BROADCAST_GRAMS of them and joined by shuffle otherwise, with equal scores.
+probabilities of grams are broadcast to the texts, BROADCAST_GRAMS of them at a time: with more of them the texts are stored once and read once
+for each part, up to PASSES parts; beyond, each gram of each text is joined by shuffle, which takes many times the input of disk. Scores are equal.
 Scoring takes every byte of every text. ``ContextTree`` is the same model in memory, for small tables of whole contexts.
 
 The base score is a smoothed unigram over words. Counts of frequent words (a bounded number by their share) are broadcast;
@@ -29,6 +30,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,10 @@ CONTEXTS = 32768
 #: Times a node is met before it is split off its parent.
 SPLIT = 2
 BROADCAST_GRAMS = 4_000_000
+#: Most parts of the grams that are broadcast one after another.
+PASSES = 16
+#: A gram's part is its remainder by this prime, which mixes its bytes, by the number of parts.
+PART_PRIME = 1_000_003
 END = 255
 #: Bytes that are counted or scored together in a task.
 CHUNK = 1 << 20
@@ -304,19 +310,34 @@ def ctw_scores(docs: DataFrame, train: Column, keep: list, split: int = SPLIT, b
     table = gram_scores(grams, split)
     discard(grams)
     n_bytes = F.octet_length(text).cast("long").alias("n_bytes")
-    if table.count() > broadcast_grams:
+    n = table.count()
+    if n <= broadcast_grams:
+        return docs.select(*keep, n_bytes, broadcast_scores(text, table)[0])
+    if n > PASSES * broadcast_grams:
         return joined_scores(docs.select(*keep, n_bytes, text.alias("_text")), table)
-    found = table.select("gram", "bits").toArrow()  # ``broadcast_grams`` rows at most
+    return scores_in_parts(docs.select(*keep, n_bytes, text.alias("_text")), table, -(-n // broadcast_grams))
+
+
+def broadcast_scores(text: Column, table: DataFrame, part: int = 0, parts: int = 1) -> tuple[Column, Broadcast]:
+    """The score of ``text`` by the grams of ``table`` (gram, bits), and their broadcast; of its grams in one of ``parts``, if there are more."""
+    found = table.select("gram", "bits").toArrow()  # about BROADCAST_GRAMS rows at most
     gram, bits = found["gram"].to_numpy(), found["bits"].to_numpy()
     order = np.argsort(gram)
-    shared = docs.sparkSession.sparkContext.broadcast((gram[order], bits[order]))
+    shared = table.sparkSession.sparkContext.broadcast((gram[order], bits[order]))
 
     def score(texts: pd.Series) -> pd.Series:
         gram, bits = shared.value
         out = []
         for _, run in grouped(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), 0):
             number = np.repeat(np.arange(len(run)), [len(t) + 1 for t in run])
-            met = np.sort(grams_of(run) << RUN_BITS | number)
+            own = grams_of(run)
+            if parts > 1:
+                mine = own % PART_PRIME % parts == part
+                own, number = own[mine], number[mine]
+            if not len(own):
+                out.append(np.zeros(len(run)))
+                continue
+            met = np.sort(own << RUN_BITS | number)
             found = met >> RUN_BITS
             first = np.concatenate([[0], np.flatnonzero(found[1:] != found[:-1]) + 1])
             # each gram of the run is looked up once, in ascending order
@@ -325,7 +346,22 @@ def ctw_scores(docs: DataFrame, train: Column, keep: list, split: int = SPLIT, b
             out.append(np.bincount(met & (RUN_TEXTS - 1), each, len(run)))
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
-    return docs.select(*keep, n_bytes, F.pandas_udf(score, "double")(text).alias("score"))
+    return F.pandas_udf(score, "double")(text).alias("score"), shared
+
+
+def scores_in_parts(docs: DataFrame, table: DataFrame, parts: int) -> DataFrame:
+    """``docs`` without _text and with the score; ``parts`` parts of ``table`` (gram, bits) are broadcast one after another."""
+    names = [c for c in docs.columns if c != "_text"]
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*names).alias("_doc"), "_text"), "lm-texts")
+    found = []
+    for part in range(parts):
+        score, shared = broadcast_scores(F.col("_text"), table.filter(F.col("gram") % PART_PRIME % parts == part), part, parts)
+        found.append(stored(rows.select("_row", score), "lm-part"))
+        shared.unpersist()
+    sums = reduce(DataFrame.unionByName, found).groupBy("_row").agg(F.sum("score").alias("score"))
+    out = stored(rows.select("_row", "_doc").join(sums.hint("merge"), "_row").select("_doc.*", "score"), "lm-sums")
+    discard(rows, *found)
+    return out
 
 
 def joined_scores(docs: DataFrame, table: DataFrame) -> DataFrame:

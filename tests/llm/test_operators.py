@@ -221,6 +221,17 @@ def test_lm_scores_use_every_context_by_either_way(spark):
         assert all(f.score == pytest.approx(want[f.doc_id], rel=1e-4, abs=1e-3) for f in found)
 
 
+def test_lm_broadcasts_many_grams_in_parts(spark, monkeypatch):
+    learnt = docs_of(spark, [(100 + i, " ".join(words(i, 60, 20)) + " é") for i in range(20)] + EDGES[:-1])
+    want = sorted((r.doc_id or -1, r.n_bytes, r.score) for r in lm_score.ctw_scores(learnt, F.lit(True), ["doc_id"]).collect())
+    monkeypatch.setattr(lm_score, "joined_scores", None)  # no gram of a text is shuffled
+    kept = counted(monkeypatch, lm_score)
+    found = sorted((r.doc_id or -1, r.n_bytes, r.score) for r in lm_score.ctw_scores(learnt, F.lit(True), ["doc_id"], broadcast_grams=200).collect())
+    n = next(n for name, n in kept if name == "lm-bits")
+    assert 200 < n <= 200 * lm_score.PASSES and [name for name, _ in kept].count("lm-part") == -(-n // 200)
+    assert [f[:2] for f in found] == [w[:2] for w in want] and [f[2] for f in found] == pytest.approx([w[2] for w in want], rel=1e-9)
+
+
 def test_lm_keeps_what_it_learnt_in_a_larger_corpus(spark):
     rare = "Quokkas juggle vexing zephyrs."
     few = [(i, rare) for i in range(6)] + [(10, rare)]
